@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality
+from . import bpe, chat, decontaminate, fingerprint, quality, url_filter
 from .common import table
 
 #: The vocabulary that op10 and the pipeline use.
@@ -20,10 +20,37 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+#: A conversation whose texts hold the template's control strings.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text").unionByName(own)
+    out = chat.format_chat(chat.text_parts(rows)).withColumn("turns", chat.read_chat(F.col("formatted")))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform(F.filter(F.arrays_zip("turns", "loss"), lambda x: x["loss"]), lambda x: x["turns"]["text"]), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Fixed values: (verdict, host, path).
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page counts as bad if the document with its id is labelled of low quality or toxic."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filter.judge_urls(pages, labels, URL_RULES).withColumnRenamed("id", "page_id")
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
@@ -34,13 +61,26 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fingerprint
+    rows = f.fingerprints(table(spark, sf_dir, "documents"))
+    own, new, following = F.col("own"), F.col("edited_sketch"), F.col("next_sketch")
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), f.as_string(own).alias("fingerprint"), f.as_string(new).alias("edited_fingerprint"),
+        f.likeness(own, new).alias("near_edited"), f.likeness(own, following).alias("near_next"), f.containment(own, new).alias("contained_in_edited"),
+    )
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_decontamination": op2_decontamination,
+    "op4_url_filter": op4_url_filter,
     "op6_quality_classifier": op6_quality_classifier,
+    "op9_fingerprints": op9_fingerprints,
     "op10_bpe": op10_bpe,
 }
 
