@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprint, quality, url_filter
+from . import bpe, chat, decontaminate, fingerprint, minhash, quality, url_filter
 from .common import table
 
 #: The vocabulary that op10 and the pipeline use.
@@ -61,6 +61,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fingerprint
     rows = f.fingerprints(table(spark, sf_dir, "documents"))
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op4_url_filter": op4_url_filter,
     "op6_quality_classifier": op6_quality_classifier,
+    "op8_minhash": op8_minhash,
     "op9_fingerprints": op9_fingerprints,
     "op10_bpe": op10_bpe,
 }
