@@ -29,13 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[str] = []
+_CLEANUP = ("spark.sql.shuffleDependency.fileCleanup.enabled", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # The shuffle files behind the table are of no use once it is written.
+    before = {k: spark.conf.get(k, None) for k in _CLEANUP}
+    for k in _CLEANUP:
+        spark.conf.set(k, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
