@@ -49,11 +49,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that cut() wrote so far.  Only for callers whose earlier results are stored elsewhere."""
+def written() -> list[str]:
+    """The tables that cut() wrote and drop() did not delete."""
+    return list(_written)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of cut() whose readers have finished."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        p = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for path in paths:
+        if path in _written:
+            _written.remove(path)
+        p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
 
 
