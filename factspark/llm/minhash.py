@@ -16,7 +16,8 @@ round's own, which guarantees it.
 3. Links that remain can only join classes of different components that meet
    in a band.  The classes in such buckets are joined on rare shingles: with
    shingles ordered by how many classes have them, two sets within the
-   threshold must share one of their rarest n - ceil(threshold * n) + 1.
+   threshold must share one of their rarest n - ceil(threshold * n) + 1, and
+   the first that they share must leave shingles enough after it in both.
    Pairs within a component are not formed, nor pairs within the largest
    component of a shingle.
 4. Those pairs are verified on full sets and the components joined.
@@ -145,12 +146,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     common = held.groupBy("sh").agg(F.count("*").alias("df"))
     ordered = held.join(common, "sh").groupBy("id", "component").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("by"))
     n = F.size("by")
-    rare = ordered.select("id", "component", n.alias("n"), F.explode(F.slice("by", F.lit(1), n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1)).alias("e"))
-    rare = cut(rare.filter("e.df > 1").select("id", "component", "n", F.col("e.sh").alias("sh")))
+    rare = ordered.select("id", "component", n.alias("n"), F.posexplode(F.slice("by", F.lit(1), n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1)).alias("pos", "e"))
+    rare = cut(rare.filter("e.df > 1").select("id", "component", "n", "pos", F.col("e.sh").alias("sh")))
     tally = rare.groupBy("sh", "component").count().groupBy("sh").agg(F.count("*").alias("kinds"), F.max_by("component", "count").alias("major")).filter("kinds > 1").select("sh", "major")
-    one = rare.join(tally, "sh").filter("component != major").select("sh", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    two = rare.select(F.col("sh").alias("sh2"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    fits = (F.col("sh") == F.col("sh2")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    one = rare.join(tally, "sh").filter("component != major").select("sh", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    two = rare.select(F.col("sh").alias("sh2"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    # If this is the first shingle that two sets share, they share at most it and what follows it in both; a link needs percent / (100 + percent) of the sizes' sum.
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    fits = (F.col("sh") == F.col("sh2")) & (F.col("ca") != F.col("cb")) & ((100 + percent) * reach >= percent * (F.col("na") + F.col("nb")))
     rest = one.join(two, fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = cut(verify(rest, sets, percent))
     if not more.isEmpty():
