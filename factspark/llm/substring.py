@@ -25,7 +25,7 @@ from .superkmer import covered, repeated_windows
 SIZE, MINIMISER = 50, 8
 
 
-def by_sorting(strings: list[bytes], ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def by_sorting(strings: list[bytes], buckets: np.ndarray, ids: np.ndarray, mid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows that a document with a smaller id holds: the windows of all strings are sorted as word sequences."""
     windows: list[tuple[bytes, int, int, int]] = []
     for i, s in enumerate(strings):

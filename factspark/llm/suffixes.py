@@ -25,6 +25,7 @@ Extra columns are not passed on.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,8 +75,22 @@ def suffix_order(strings: list[bytes]) -> np.ndarray:
     return rows - np.searchsorted(ends, rows).astype(np.int32)  # without the end marks
 
 
-def by_suffixes(strings: list[bytes], ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that an earlier string also holds; strings come by document and start, and no string holds a window twice."""
+def with_company(strings: list[bytes], buckets: np.ndarray, mid: np.ndarray) -> np.ndarray:
+    """Strings that may share a window with another one of their bucket.
+
+    A window is the minimiser and SIZE - MINIMISER bytes around it, so it has
+    half of those on one side; strings that share it agree there.
+    """
+    half = (SIZE - MINIMISER + 1) // 2
+    sides = [(b, s[p - half : p] if p >= half else None, s[p + MINIMISER : p + MINIMISER + half]) for b, p, s in zip(buckets.tolist(), mid.tolist(), strings, strict=True)]
+    left, right = Counter((b, x) for b, x, _ in sides if x is not None), Counter((b, y) for b, _, y in sides if len(y) == half)
+    return np.array([i for i, (b, x, y) in enumerate(sides) if (x is not None and left[b, x] > 1) or right[b, y] > 1], np.int64)
+
+
+def by_suffixes(strings: list[bytes], buckets: np.ndarray, ids: np.ndarray, mid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that an earlier string of the bucket also holds; no string holds a window twice."""
+    some = with_company(strings, buckets, mid)
+    strings = [strings[i] for i in some]
     rows = suffix_order(strings)
     text = np.frombuffer(b"".join(strings), np.uint8)
     first = np.cumsum([0, *map(len, strings)])
@@ -92,7 +107,7 @@ def by_suffixes(strings: list[bytes], ids: np.ndarray, starts: np.ndarray) -> tu
     group = np.cumsum(fresh) - 1
     least = np.minimum.reduceat(owner, np.flatnonzero(fresh))
     again = owner != least[group]
-    return owner[again], rows[again] - first[owner[again]]
+    return some[owner[again]], rows[again] - first[owner[again]]
 
 
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:

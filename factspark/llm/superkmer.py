@@ -31,7 +31,7 @@ from .common import blocks, cut, map_batches, small_batches, text_bytes
 from .rolling import BYTE_VALUES, Prefix, U, mix, word_bounds, word_hashes
 
 #: Strings of a bucket that go to one task at most, and bytes of strings a task's group aims at.
-HOT, GROUP_BYTES = 5_000, 2 << 20
+HOT, GROUP_BYTES, CHUNK_BYTES = 5_000, 2 << 20, 100_000
 _PLACE = 24  # bits of a place in a block; the hash keeps the rest
 
 
@@ -56,12 +56,12 @@ class Units:
         return self.buf[a:b].tobytes()
 
 
-def super_kmers(values: np.ndarray, off: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, number of windows, minimiser hash) of each super-k-mer of a block."""
+def super_kmers(values: np.ndarray, off: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, number of windows, minimiser's place, its hash) of each super-k-mer of a block."""
     n = len(values)
     none = np.zeros(0, np.int64)
     if n < k:
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, none, np.zeros(0, np.uint64)
     h = Prefix(values).windows(m)
     least = (h >> U(_PLACE) << U(_PLACE)) | np.arange(len(h), dtype=np.uint64)
     width, reach = k - m + 1, 1
@@ -75,10 +75,10 @@ def super_kmers(values: np.ndarray, off: np.ndarray, k: int, m: int) -> tuple[np
     doc = np.repeat(np.arange(len(size)), size)[: len(place)]
     window = np.flatnonzero(np.arange(len(place)) + k <= off[doc + 1])
     if not len(window):
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, none, np.zeros(0, np.uint64)
     p, d = place[window], doc[window]
     first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (d[1:] != d[:-1])])
-    return d[first], window[first], np.diff(np.r_[first, len(window)]), h[p[first]]
+    return d[first], window[first], np.diff(np.r_[first, len(window)]), p[first], h[p[first]]
 
 
 def _units(batch: pa.RecordBatch, words: bool) -> Iterator[tuple[int, int, Units]]:
@@ -97,7 +97,7 @@ def _minimisers(docs: DataFrame, words: bool, k: int, m: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         for a, b, u in _units(batch, words):
-            doc, _, _, h = super_kmers(u.values(), u.off, k, m)
+            doc, _, _, _, h = super_kmers(u.values(), u.off, k, m)
             order = np.lexsort((h, doc))
             doc, h = doc[order], h[order]
             first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
@@ -108,7 +108,7 @@ def _minimisers(docs: DataFrame, words: bool, k: int, m: int) -> DataFrame:
 
 
 def _listed(docs: DataFrame, words: bool, k: int, m: int) -> DataFrame:
-    """h, c1, c2, doc_id, start, windows: the super-k-mers of docs (doc_id, text, hs) whose minimiser is in hs."""
+    """h, c1, c2, doc_id, start, windows, mid (the minimiser's place from the start): the super-k-mers of docs (doc_id, text, hs) whose minimiser is in hs."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -118,22 +118,22 @@ def _listed(docs: DataFrame, words: bool, k: int, m: int) -> DataFrame:
             count = np.array(pa.compute.list_value_length(lists).to_pylist(), np.int64)
             hs = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             values = u.values()
-            doc, start, windows, h = super_kmers(values, u.off, k, m)
+            doc, start, windows, place, h = super_kmers(values, u.off, k, m)
             here = mix(h ^ mix(doc.astype(np.uint64) + U(1)))
             keep = np.isin(here, mix(hs ^ mix(np.repeat(np.arange(b - a, dtype=np.uint64), count) + U(1))))
-            doc, start, windows, h = doc[keep], start[keep], windows[keep], h[keep]
+            doc, start, windows, place, h = doc[keep], start[keep], windows[keep], place[keep], h[keep]
             end = start + windows + k - 1
             c1, c2 = Prefix(values).spans(start, end), Prefix(u.values(1), 1).spans(start, end)
             yield pa.RecordBatch.from_arrays(
-                [_signed(h), _signed(c1), _signed(c2), pa.array(ids[a:b][doc]), pa.array((start - u.off[doc]).astype(np.int32)), pa.array(windows.astype(np.int32))],
-                names=["h", "c1", "c2", "doc_id", "start", "windows"],
+                [_signed(h), _signed(c1), _signed(c2), pa.array(ids[a:b][doc]), pa.array((start - u.off[doc]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array((place - start).astype(np.int32))],
+                names=["h", "c1", "c2", "doc_id", "start", "windows", "mid"],
             )
 
-    return map_batches(docs, run, "h long, c1 long, c2 long, doc_id long, start int, windows int")
+    return map_batches(docs, run, "h long, c1 long, c2 long, doc_id long, start int, windows int, mid int")
 
 
 def _strings(docs: DataFrame, words: bool, k: int) -> DataFrame:
-    """h, doc_id, start, packed, w1, w2 for docs (doc_id, text, at: places as struct(h, start, windows, hot)).
+    """h, doc_id, start, mid, packed, w1, w2 for docs (doc_id, text, at: places as struct(h, start, windows, mid, hot)).
 
     A hot place gives a row for each window, with its hash in w1 and w2; any other one row with its packed string.
     """
@@ -150,18 +150,18 @@ def _strings(docs: DataFrame, words: bool, k: int) -> DataFrame:
                     if p["hot"]:
                         if w1 is None:
                             w1, w2 = Prefix(u.values()).windows(k).view(np.int64), Prefix(u.values(1), 1).windows(k).view(np.int64)
-                        rows += [(p["h"], ids[i], p["start"] + j, None, int(w1[s + j]), int(w2[s + j])) for j in range(p["windows"])]
+                        rows += [(p["h"], ids[i], p["start"] + j, 0, None, int(w1[s + j]), int(w2[s + j])) for j in range(p["windows"])]
                     else:
-                        rows.append((p["h"], ids[i], p["start"], u.packed(s, s + p["windows"] + k - 1), 0, 0))
+                        rows.append((p["h"], ids[i], p["start"], p["mid"], u.packed(s, s + p["windows"] + k - 1), 0, 0))
             if rows:
-                h, d, s, text, x, y = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(text, pa.binary()), pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["h", "doc_id", "start", "packed", "w1", "w2"])
+                types = {"h": pa.int64(), "doc_id": pa.int64(), "start": pa.int32(), "mid": pa.int32(), "packed": pa.binary(), "w1": pa.int64(), "w2": pa.int64()}
+                yield pa.RecordBatch.from_pydict({n: pa.array(x, t) for (n, t), x in zip(types.items(), zip(*rows, strict=True), strict=True)})
 
-    return map_batches(docs, run, "h long, doc_id long, start int, packed binary, w1 long, w2 long")
+    return map_batches(docs, run, "h long, doc_id long, start int, mid int, packed binary, w1 long, w2 long")
 
 
-#: From strings with their doc_ids and starts, by doc_id and start: (string, window in it) of windows that an earlier place holds.
-Kernel = Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: From strings of whole buckets (bucket, doc_id, start, mid, packed), sorted by the first three: (string, window in it) of windows that an earlier place holds.
+Kernel = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def repeated_windows(docs: DataFrame, k: int, m: int, words: bool, same_doc: bool, kernel: Kernel) -> DataFrame:
@@ -183,19 +183,26 @@ def repeated_windows(docs: DataFrame, k: int, m: int, words: bool, same_doc: boo
     per = contents.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1")
     later = (F.col("doc_id") != F.col("first.doc_id")) | ((F.col("start") != F.col("first.start")) if same_doc else F.lit(False))
     # The first places of contents in buckets with several; without same_doc all places in the first document.
-    marked = cut(listed.join(contents, ["h", "c1", "c2"]).join(per, "h", "left").select("h", "doc_id", "start", "windows", later.alias("later"), "many").filter("later or many is not null"))
+    marked = cut(listed.join(contents, ["h", "c1", "c2"]).join(per, "h", "left").select("h", "doc_id", "start", "windows", "mid", later.alias("later"), "many").filter("later or many is not null"))
     whole = marked.filter("later").select("doc_id", "start", "windows")
 
-    open_ = marked.filter("not later").groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "windows", (F.col("many") > HOT).alias("hot"))).alias("at"))
+    open_ = marked.filter("not later").groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "windows", "mid", (F.col("many") > HOT).alias("hot"))).alias("at"))
     strings = cut(_strings(docs.join(open_, "doc_id"), words, k))
     size = strings.agg(F.sum(F.length("packed"))).first()[0] or 0
     parts = max(1, -(-size // GROUP_BYTES))
-    dealt = strings.filter("packed is not null").select(F.pmod(F.xxhash64("h"), F.lit(parts)).alias("part"), "h", "doc_id", "start", "packed")
+    dealt = strings.filter("packed is not null").select(F.pmod(F.xxhash64("h"), F.lit(parts)).alias("part"), "h", "doc_id", "start", "mid", "packed")
 
     def in_bucket(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("start", "ascending")])
-        ids, starts = group.column("doc_id").to_numpy(), group.column("start").to_numpy()
-        string, window = kernel(group.column("packed").to_pylist(), ids, starts)
+        group = group.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
+        h, ids, starts, mid = (group.column(c).to_numpy() for c in ("h", "doc_id", "start", "mid"))
+        strings = group.column("packed").to_pylist()
+        # Whole buckets, some CHUNK_BYTES at once, so that the kernel's arrays stay in the processor's cache.
+        bucket = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        upto = np.r_[0, np.cumsum([len(x) for x in strings])]
+        chunk = upto[bucket] // CHUNK_BYTES
+        cuts = [*bucket[np.r_[True, chunk[1:] != chunk[:-1]]].tolist(), len(h)]
+        found = [(a, kernel(strings[a:b], h[a:b], ids[a:b], mid[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        string, window = np.concatenate([a + x for a, (x, _) in found]), np.concatenate([y for _, (_, y) in found])
         order = np.lexsort((window, string))
         string, window = string[order], window[order]
         first = np.flatnonzero(np.r_[True, (string[1:] != string[:-1]) | (window[1:] != window[:-1] + 1)]) if len(string) else np.zeros(0, np.int64)
