@@ -31,7 +31,7 @@ from .common import blocks, cut, map_batches, small_batches, text_bytes
 from .rolling import BYTE_VALUES, Prefix, U, mix, word_bounds, word_hashes
 
 #: Strings of a bucket that go to one task at most, and bytes of strings a task's group aims at.
-HOT, GROUP_BYTES, CHUNK_BYTES = 5_000, 2 << 20, 100_000
+HOT, GROUP_BYTES, CHUNK_BYTES = 5_000, 1 << 20, 100_000
 _PLACE = 24  # bits of a place in a block; the hash keeps the rest
 
 
