@@ -15,11 +15,11 @@ equal sketches.  Extra columns are not used.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import let
+
 SHINGLE, SCALE, FLOOR = 5, 16, 64
 _LEAST, _MOST = -(2**63), 2**63 - 1
 CUT = _LEAST + 2**64 // SCALE
@@ -27,11 +27,6 @@ CUT = _LEAST + 2**64 // SCALE
 BUCKET_IDS, MOST_BUCKETS = 256, 65_536
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def shingle_hashes(text: Column) -> Column:
     """Distinct hashes of the text's shingles."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

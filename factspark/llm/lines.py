@@ -32,47 +32,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, let
 
 THRESHOLD, MIN_CHARS = 2, 20
 
 
-def _cuts(length: Column, parts: int) -> list[tuple[Column, Column]]:
-    """(first place from 1, length) of each of the even segments of a line: the last ones are longer by one where it does not divide."""
+def _key(line: Column, length: Column, i: Column, shift: Column, n: Column, parts: int, least: int) -> Column:
+    """The key of the i-th of the even segments of a line with a length, read from a line of n code points at that place moved by shift; null where it does not lie in the line."""
     base, more = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    out = []
-    for i in range(parts):
-        extra = F.greatest(F.lit(i) - (F.lit(parts) - more), F.lit(0))  # longer segments before this one
-        out.append((base * i + extra + 1, base + (F.lit(i) >= F.lit(parts) - more).cast("int")))
-    return out
-
-
-def _key(length: Column, i: int, piece: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), piece)
+    at = base * i + F.greatest(i - (parts - more), F.lit(0)) + 1 + shift  # the last segments are the longer ones
+    size = base + (i >= parts - more).cast("int")
+    inside = (length >= least) & (at >= 1) & (at + size - 1 <= n)
+    return F.when(inside, F.xxhash64(length, i, line.substr(at, size)))
 
 
 def index_keys(line: Column, n: Column, threshold: int) -> Column:
     """The segments of a line, as keys."""
-    return F.array(*[_key(n, i, line.substr(p, size)) for i, (p, size) in enumerate(_cuts(n, threshold + 1))])
+    return F.transform(F.sequence(F.lit(0), F.lit(threshold)), lambda i: _key(line, n, i, F.lit(0), n, threshold + 1, 0))
 
 
 def probe_keys(line: Column, n: Column, threshold: int, least: int) -> Column:
-    """Keys of the substrings of a line that may equal a segment of a line shorter by 0 to threshold, at least ``least`` long."""
-    keys = []
-    for shorter in range(threshold + 1):
-        m = n - shorter
-        for i, (p, size) in enumerate(_cuts(m, threshold + 1)):
-            # From the left at most i edits precede the segment, from the right at most threshold - i follow it.
-            for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1):
-                at = p + shift
-                keys.append(F.when((m >= least) & (at >= 1) & (at + size - 1 <= n), _key(m, i, line.substr(at, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    """Keys of the substrings of a line that may equal a segment of a line shorter by 0 to threshold, at least ``least`` long.
+
+    One fold over the places to probe: the same keys as separate expressions
+    make a method too large for the virtual machine to compile.
+    """
+    places = [
+        (shorter, i, shift)
+        for shorter in range(threshold + 1)
+        for i in range(threshold + 1)
+        # From the left at most i edits precede the segment, from the right at most threshold - i follow it.
+        for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1)
+    ]
+    at = F.array(*[F.struct(F.lit(a).alias("shorter"), F.lit(b).alias("i"), F.lit(c).alias("shift")) for a, b, c in places])
+    return F.array_distinct(F.array_compact(F.transform(at, lambda p: _key(line, n - p["shorter"], p["i"], p["shift"], n, threshold + 1, least))))
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, pos, line, h1, h2: the distinct long lines of each text with their first place."""
-    rows = docs.filter("text is not null and doc_id is not null").select("doc_id", F.posexplode(F.array_distinct(F.split("text", "\n"))).alias("pos", "line"))
-    return rows.filter(F.length("line") >= min_chars).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), "line"))
+    """doc_id, pos, line, n, h1, h2: the distinct long lines of each text with their first place and length."""
+    measured = F.transform(F.array_distinct(F.split("text", "\n")), lambda x: F.struct(x.alias("line"), F.length(x).alias("n")))
+    rows = docs.filter("text is not null and doc_id is not null").select("doc_id", F.posexplode(measured).alias("pos", "l")).select("doc_id", "pos", "l.line", "l.n")
+    return rows.filter(F.col("n") >= min_chars).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), "line"))
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int, min_chars: int) -> DataFrame:
@@ -82,7 +82,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int, min_chars: in
     met = keys.groupBy("key").agg(F.sum(F.col("own").cast("int")).alias("entries"), F.sum((~F.col("own")).cast("int")).alias("probes")).filter("entries >= 1 and probes >= 1 and entries + probes > 2").select("key")
     live = cut(keys.join(met, "key"))
     wanted = live.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
-    texts = docs.join(wanted, "doc_id").select("doc_id", "places", F.array_distinct(F.split("text", "\n")).alias("all")).select("doc_id", F.explode(F.transform("places", lambda p: F.struct(p.alias("pos"), F.get("all", p).alias("line")))).alias("l")).select("doc_id", "l.*")
+    picked = let(F.array_distinct(F.split("text", "\n")), lambda lines: F.transform("places", lambda p: F.struct(p.alias("pos"), F.get(lines, p).alias("line"))))
+    texts = docs.join(wanted, "doc_id").select("doc_id", F.explode(picked).alias("l")).select("doc_id", "l.*")
     texts = cut(texts.dropDuplicates(["doc_id", "pos"]))
     full = live.join(texts, ["doc_id", "pos"])
     one = full.filter("own").select("key", F.col("doc_id").alias("da"), F.col("pos").alias("pa"), F.col("line").alias("la"))
@@ -97,9 +98,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int, min_chars: in
 
 def removed_places(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id and places: indexes, among the distinct lines of the text, of those that go."""
-    n = F.length("line")
     lines = _lines(docs, min_chars)
-    keyed = lines.withColumn("own", index_keys(F.col("line"), n, threshold)).withColumn("probes", probe_keys(F.col("line"), n, threshold, min_chars))
+    keyed = lines.withColumn("own", index_keys(F.col("line"), F.col("n"), threshold)).withColumn("probes", probe_keys(F.col("line"), F.col("n"), threshold, min_chars))
     firsts = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos", "own", "probes")).alias("f")).select("h1", "h2", "f.*")
     firsts = cut(firsts)
     near = cut(near_lines(docs, firsts, threshold, min_chars)).withColumn("near", F.lit(True))
@@ -108,31 +108,36 @@ def removed_places(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
 
 
-def _with_kept(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """docs with lines (all) and kept (those that stay)."""
-    places = removed_places(docs, threshold, min_chars)
-    all_lines = F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
-    rows = docs.join(places, "doc_id", "left").withColumn("_lines", all_lines)
-    distinct = F.array_distinct("_lines")
-    rows = rows.withColumn("_distinct", distinct)
-    gone = F.transform(F.coalesce("places", F.array().cast("array<int>")), lambda p: F.get(F.col("_distinct"), p))
-    rows = rows.withColumn("_gone", gone)
-    # A line of which an equal one stands before it in the text, or that goes everywhere.
-    has_again = F.size("_distinct") < F.size("_lines")
-    stays = lambda x, i: (F.length(x) < min_chars) | (~F.array_contains("_gone", x) & (F.array_position("_lines", x) == i + 1))
-    some = F.filter("_lines", stays)
-    return rows.withColumn("_kept", F.when((F.size("_gone") == 0) & ~has_again, F.col("_lines")).otherwise(some)).drop("places", "_distinct", "_gone")
+def _kept(places: Column, min_chars: int) -> Column:
+    """struct(n, kept): the number of lines of the column text, and those that stay."""
+
+    def stay(lines: Column, distinct: Column) -> Column:
+        gone = F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda p: F.get(distinct, p))
+        # A line goes that goes everywhere, or that an equal one stands before in the text.
+        some = let(gone, lambda g: F.filter(lines, lambda x, i: (F.length(x) < min_chars) | (~F.array_contains(g, x) & (F.array_position(lines, x) == i + 1))))
+        return F.when(places.isNull() & (F.size(distinct) == F.size(lines)), lines).otherwise(some)
+
+    text = F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
+    return let(text, lambda lines: F.struct(F.size(lines).alias("n"), let(F.array_distinct(lines), lambda distinct: stay(lines, distinct)).alias("kept")))
 
 
 def line_report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the lines that stay, joined by newlines) of each row."""
-    rows = _with_kept(docs.select("doc_id", "text"), threshold, min_chars)
-    return rows.select("doc_id", F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_removed"), F.sha2(F.array_join("_kept", "\n"), 256).alias("kept_sha256"))
+    docs = docs.select("doc_id", "text")
+    rows = docs.join(removed_places(docs, threshold, min_chars), "doc_id", "left")
+    report = let(_kept(F.col("places"), min_chars), lambda k: F.struct(k["n"].cast("long").alias("n_lines"), (k["n"] - F.size(k["kept"])).cast("long").alias("n_removed"), F.sha2(F.array_join(k["kept"], "\n"), 256).alias("kept_sha256")))
+    return rows.select("doc_id", F.explode(F.array(report)).alias("r")).select("doc_id", "r.*")
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with the lines removed from their texts; a document that loses all its lines goes."""
-    rows = _with_kept(docs, threshold, min_chars)
-    text = F.when(F.size("_lines") == F.size("_kept"), F.col("text")).otherwise(F.array_join("_kept", "\n"))
-    lost = (F.size("_lines") > 0) & (F.size(F.filter("_kept", lambda x: x != "")) == 0) & (F.size("_kept") < F.size("_lines"))
-    return rows.withColumn("text", text).filter(~lost).select(docs.columns)
+    """docs with the lines removed from their texts; a document that loses lines and keeps none with content goes."""
+    rows = docs.join(removed_places(docs, threshold, min_chars).withColumnRenamed("places", "_places"), "doc_id", "left")
+
+    def rewritten(k: Column) -> Column:
+        lost = (F.size(k["kept"]) < k["n"]) & (F.size(F.filter(k["kept"], lambda x: x != "")) == 0)
+        return F.struct(F.when(F.size(k["kept"]) == k["n"], F.col("text")).otherwise(F.array_join(k["kept"], "\n")).alias("text"), lost.alias("lost"))
+
+    new = let(_kept(F.col("_places"), min_chars), rewritten)
+    # The row of one passes the rewritten text on as a column, so that no later use of it computes it again.
+    rows = rows.withColumn("_new", F.explode(F.array(new))).filter(~F.col("_new.lost"))
+    return rows.withColumn("text", F.col("_new.text")).select(docs.columns)
