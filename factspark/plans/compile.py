@@ -430,7 +430,13 @@ def within(clauses: tuple, ctx: Context, names: list[str], src: Src) -> Rel:
         # Only what the clauses use of the context goes in.
         used = set(vars_of(clauses))
         inner = inner.with_(rels=[r.project([v for v in r.kinds if v in used]).distinct() for r in ctx.rels if set(r.kinds) & used])
-    return product(resolve(clauses, inner), [n for n in names if n not in fixed])
+    after = resolve(clauses, inner)
+    rel = product(after, [n for n in names if n not in fixed])
+    for n in names:  # what the clauses ground is a constant column outside
+        if n not in fixed and n not in rel.kinds and n in after.fixed:
+            c = constant(after.fixed[n])
+            rel = Rel(rel.df.withColumn(n, c.col), rel.kinds | {n: c.kind}, rel.unique)
+    return rel
 
 
 def product(ctx: Context, names: list[str]) -> Rel:
