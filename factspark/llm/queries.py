@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, fingerprint, lines, minhash, quality, substring, suffixes, url_filter
 from .common import table
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 #: The vocabulary that op10 and the pipeline use.
 VOCABULARY = "byte_bpe_50k.json"
@@ -37,7 +38,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,4 +105,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
