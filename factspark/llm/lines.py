@@ -79,7 +79,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int, min_chars: in
     """h1, h2 of the lines of firsts (doc_id, pos, h1, h2, own, probes) that are within the threshold of an earlier one."""
     keys = firsts.select("doc_id", "pos", F.explode(F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(True).alias("own"))), F.transform("probes", lambda k: F.struct(k.alias("key"), F.lit(False).alias("own"))))).alias("k")).select("doc_id", "pos", "k.*")
     # A key counts where an index entry and a probe of two different lines meet; every line probes its own entries once for each segment.
-    met = keys.groupBy("key").agg(F.sum(F.col("own").cast("int")).alias("entries"), F.sum((~F.col("own")).cast("int")).alias("probes")).filter("entries >= 1 and probes >= 1 and entries + probes > 2").select("key")
+    met = cut(keys.groupBy("key").agg(F.sum(F.col("own").cast("int")).alias("entries"), F.sum((~F.col("own")).cast("int")).alias("probes")).filter("entries >= 1 and probes >= 1 and entries + probes > 2").select("key"))
     live = cut(keys.join(met, "key"))
     wanted = live.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
     picked = let(F.array_distinct(F.split("text", "\n")), lambda lines: F.transform("places", lambda p: F.struct(p.alias("pos"), F.get(lines, p).alias("line"))))

@@ -132,7 +132,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     some = known.filter("n > 0")
     classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
     banded = some.join(classes.select("s1", "s2", F.col("rep").alias("doc_id"), "copies"), ["s1", "s2", "doc_id"]).select(F.col("doc_id").alias("rep"), "copies", F.explode("bands").alias("band")).distinct()
-    hubs = banded.groupBy("band").agg(F.count("*").alias("many"), F.max_by("rep", "copies").alias("hub")).filter("many > 1").drop("many")
+    # What a join takes from an aggregation of the same keys is written first: only between two shuffles can adaptive execution split a hot key.
+    hubs = cut(banded.groupBy("band").agg(F.count("*").alias("many"), F.max_by("rep", "copies").alias("hub")).filter("many > 1").drop("many"))
     shared = cut(banded.join(hubs, "band").select("band", "rep", "hub"))
     star = shared.filter("rep != hub").groupBy("rep", "hub").count().groupBy("rep").agg(F.max_by("hub", "count").alias("b")).withColumnRenamed("rep", "a")
     sets = cut(set_table(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")))
@@ -140,7 +141,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     label = components(links)
 
     meets = shared.select("band", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = meets.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("band")
+    mixed = cut(meets.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("band"))
     open_ = meets.join(mixed, "band", "left_semi").select(F.col("rep").alias("id"), "component").distinct()
     held = sets.join(open_, "id").select("id", "component", F.explode("sh").alias("sh"))
     common = held.groupBy("sh").agg(F.count("*").alias("df"))
@@ -148,7 +149,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     n = F.size("by")
     rare = ordered.select("id", "component", n.alias("n"), F.posexplode(F.slice("by", F.lit(1), n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1)).alias("pos", "e"))
     rare = cut(rare.filter("e.df > 1").select("id", "component", "n", "pos", F.col("e.sh").alias("sh")))
-    tally = rare.groupBy("sh", "component").count().groupBy("sh").agg(F.count("*").alias("kinds"), F.max_by("component", "count").alias("major")).filter("kinds > 1").select("sh", "major")
+    tally = cut(rare.groupBy("sh", "component").count().groupBy("sh").agg(F.count("*").alias("kinds"), F.max_by("component", "count").alias("major")).filter("kinds > 1").select("sh", "major"))
     one = rare.join(tally, "sh").filter("component != major").select("sh", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     two = rare.select(F.col("sh").alias("sh2"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     # If this is the first shingle that two sets share, they share at most it and what follows it in both; a link needs percent / (100 + percent) of the sizes' sum.

@@ -174,13 +174,14 @@ def repeated_windows(docs: DataFrame, k: int, m: int, words: bool, same_doc: boo
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     minimisers = _minimisers(docs, words, k, m)
     found = minimisers.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("times").alias("times"))
-    met = found.filter((F.col("lo") != F.col("hi")) | ((F.col("times") > 1) if same_doc else F.lit(False))).select("h")
+    # What a join takes from an aggregation of the same keys is written first: only between two shuffles can adaptive execution split a hot key.
+    met = cut(found.filter((F.col("lo") != F.col("hi")) | ((F.col("times") > 1) if same_doc else F.lit(False))).select("h"))
     wanted = minimisers.join(met, "h").groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
     listed = cut(_listed(docs.join(wanted, "doc_id"), words, k, m))
 
     place = F.struct("doc_id", "start")
-    contents = listed.groupBy("h", "c1", "c2").agg(F.min(place).alias("first"))
-    per = contents.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1")
+    contents = cut(listed.groupBy("h", "c1", "c2").agg(F.min(place).alias("first")))
+    per = cut(contents.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1"))
     later = (F.col("doc_id") != F.col("first.doc_id")) | ((F.col("start") != F.col("first.start")) if same_doc else F.lit(False))
     # The first places of contents in buckets with several; without same_doc all places in the first document.
     marked = cut(listed.join(contents, ["h", "c1", "c2"]).join(per, "h", "left").select("h", "doc_id", "start", "windows", "mid", later.alias("later"), "many").filter("later or many is not null"))
