@@ -172,7 +172,7 @@ def repeated_windows(docs: DataFrame, k: int, m: int, words: bool, same_doc: boo
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    minimisers = _minimisers(docs, words, k, m)
+    minimisers = cut(_minimisers(docs, words, k, m))
     found = minimisers.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("times").alias("times"))
     # What a join takes from an aggregation of the same keys is written first: only between two shuffles can adaptive execution split a hot key.
     met = cut(found.filter((F.col("lo") != F.col("hi")) | ((F.col("times") > 1) if same_doc else F.lit(False))).select("h"))
