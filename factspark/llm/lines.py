@@ -29,43 +29,46 @@ columns are not used by ``line_report`` and kept by ``dedup_lines``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, let
 
 THRESHOLD, MIN_CHARS = 2, 20
+#: Rows of a side that is broadcast at most: some 40 MB.
+MOST_BROADCAST = 1_000_000
 
 
-def _key(line: Column, length: Column, i: Column, shift: Column, n: Column, parts: int, least: int) -> Column:
-    """The key of the i-th of the even segments of a line with a length, read from a line of n code points at that place moved by shift; null where it does not lie in the line."""
-    base, more = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    at = base * i + F.greatest(i - (parts - more), F.lit(0)) + 1 + shift  # the last segments are the longer ones
-    size = base + (i >= parts - more).cast("int")
-    inside = (length >= least) & (at >= 1) & (at + size - 1 <= n)
-    return F.when(inside, F.xxhash64(length, i, line.substr(at, size)))
-
+def keys_of(line: Column, n: Column, threshold: int, least: int) -> tuple[Column, Column]:
+    """Keys of a line of n code points: its segments, which are also its probes at their own places, and its other probes.
 
-def index_keys(line: Column, n: Column, threshold: int) -> Column:
-    """The segments of a line, as keys."""
-    return F.transform(F.sequence(F.lit(0), F.lit(threshold)), lambda i: _key(line, n, i, F.lit(0), n, threshold + 1, 0))
+    A probe is a substring that may equal a segment of a line shorter by 0 to
+    threshold code points.  Before the i-th segment are at most i edits, behind
+    it at most threshold - i, which bounds its shift.  Lengths below ``least``
+    have no index; where they leave room for all shifts, no probe is out of
+    range.
+    """
+    parts = threshold + 1
+    roomy = least >= parts * parts
 
+    def key(m: Column, base: Column, more: Column, i: int, shift: int) -> Column:
+        """Of the i-th of parts even segments of a line of m code points, the last ``more`` of which are longer by one, at a place moved by shift."""
+        at = base * i + F.greatest(F.lit(i - parts) + more, F.lit(0)) + (1 + shift) if i else F.lit(1 + shift)
+        size = base + (more >= parts - i).cast("int") if i else base
+        found = F.xxhash64(m, F.lit(i), line.substr(at, size))
+        return found if roomy else F.when((m >= least) & (at >= 1) & (at + size - 1 <= n), found)
 
-def probe_keys(line: Column, n: Column, threshold: int, least: int) -> Column:
-    """Keys of the substrings of a line that may equal a segment of a line shorter by 0 to threshold, at least ``least`` long.
+    def of(shorter: int, wanted: Callable[[int], bool]) -> Column:
+        m = n - shorter
+        shifts = lambda i: range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1)
+        split = F.struct(m.alias("m"), F.call_function("div", m, F.lit(parts)).cast("int").alias("base"), (m % parts).alias("more"))
+        return let(split, lambda x: F.array(*[key(x["m"], x["base"], x["more"], i, shift) for i in range(parts) for shift in shifts(i) if wanted(shift)]))
 
-    One fold over the places to probe: the same keys as separate expressions
-    make a method too large for the virtual machine to compile.
-    """
-    places = [
-        (shorter, i, shift)
-        for shorter in range(threshold + 1)
-        for i in range(threshold + 1)
-        # From the left at most i edits precede the segment, from the right at most threshold - i follow it.
-        for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1)
-    ]
-    at = F.array(*[F.struct(F.lit(a).alias("shorter"), F.lit(b).alias("i"), F.lit(c).alias("shift")) for a, b, c in places])
-    return F.array_distinct(F.array_compact(F.transform(at, lambda p: _key(line, n - p["shorter"], p["i"], p["shift"], n, threshold + 1, least))))
+    rest = [of(0, lambda shift: shift != 0)] if threshold > 1 else []
+    probes = F.flatten(F.array(*rest, *[of(shorter, lambda _: True) for shorter in range(1, parts)])) if threshold else F.array().cast("array<bigint>")
+    return of(0, lambda shift: shift == 0), probes if roomy else F.array_compact(probes)
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -75,22 +78,27 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.filter(F.col("n") >= min_chars).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), "line"))
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if its counted rows are within the bound; beyond it the join shuffles."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+
+
+def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int) -> DataFrame:
     """h1, h2 of the lines of firsts (doc_id, pos, h1, h2, own, probes) that are within the threshold of an earlier one."""
-    keys = firsts.select("doc_id", "pos", F.explode(F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(True).alias("own"))), F.transform("probes", lambda k: F.struct(k.alias("key"), F.lit(False).alias("own"))))).alias("k")).select("doc_id", "pos", "k.*")
-    # A key counts where an index entry and a probe of two different lines meet; every line probes its own entries once for each segment.
-    met = cut(keys.groupBy("key").agg(F.sum(F.col("own").cast("int")).alias("entries"), F.sum((~F.col("own")).cast("int")).alias("probes")).filter("entries >= 1 and probes >= 1 and entries + probes > 2").select("key"))
-    live = cut(keys.join(met, "key"))
+    own, probe = F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(True).alias("own"))), F.transform("probes", lambda k: F.struct(k.alias("key"), F.lit(False).alias("own")))
+    keys = firsts.select("doc_id", "pos", F.explode(F.concat(own, probe)).alias("k")).select("doc_id", "pos", "k.*")
+    # A key counts where a segment meets another one or a probe.
+    met = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("some")).filter("n > 1 and some").select("key"))
+    live = cut(keys.join(_small(met, met.count()), "key"))
     wanted = live.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
     picked = let(F.array_distinct(F.split("text", "\n")), lambda lines: F.transform("places", lambda p: F.struct(p.alias("pos"), F.get(lines, p).alias("line"))))
-    texts = docs.join(wanted, "doc_id").select("doc_id", F.explode(picked).alias("l")).select("doc_id", "l.*")
+    texts = docs.join(_small(wanted, live.count()), "doc_id").select("doc_id", F.explode(picked).alias("l")).select("doc_id", "l.*")
     texts = cut(texts.dropDuplicates(["doc_id", "pos"]))
     full = live.join(texts, ["doc_id", "pos"])
     one = full.filter("own").select("key", F.col("doc_id").alias("da"), F.col("pos").alias("pa"), F.col("line").alias("la"))
-    two = full.filter("not own").select(F.col("key").alias("key2"), F.col("doc_id").alias("db"), F.col("pos").alias("pb"), F.col("line").alias("lb"))
-    close = F.levenshtein("la", "lb", threshold)
+    two = full.select(F.col("key").alias("key2"), F.col("doc_id").alias("db"), F.col("pos").alias("pb"), F.col("line").alias("lb"))
     differs = (F.col("da") != F.col("db")) | (F.col("pa") != F.col("pb"))
-    pairs = one.join(two, (F.col("key") == F.col("key2")) & differs & (close >= 0))
+    pairs = one.join(two, (F.col("key") == F.col("key2")) & differs & (F.levenshtein("la", "lb", threshold) >= 0))
     later = F.greatest(F.struct(F.col("da").alias("doc_id"), F.col("pa").alias("pos")), F.struct(F.col("db").alias("doc_id"), F.col("pb").alias("pos")))
     gone = pairs.select(later.alias("l")).select("l.*").distinct()
     return firsts.join(gone, ["doc_id", "pos"]).select("h1", "h2")
@@ -98,11 +106,12 @@ def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int, min_chars: in
 
 def removed_places(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id and places: indexes, among the distinct lines of the text, of those that go."""
+    docs = docs.select("doc_id", "text")
     lines = _lines(docs, min_chars)
-    keyed = lines.withColumn("own", index_keys(F.col("line"), F.col("n"), threshold)).withColumn("probes", probe_keys(F.col("line"), F.col("n"), threshold, min_chars))
-    firsts = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos", "own", "probes")).alias("f")).select("h1", "h2", "f.*")
-    firsts = cut(firsts)
-    near = cut(near_lines(docs, firsts, threshold, min_chars)).withColumn("near", F.lit(True))
+    own, probes = keys_of(F.col("line"), F.col("n"), threshold, min_chars)
+    keyed = lines.select("h1", "h2", F.struct("doc_id", "pos", own.alias("own"), probes.alias("probes")).alias("f"))
+    firsts = cut(keyed.groupBy("h1", "h2").agg(F.min("f").alias("f")).select("h1", "h2", "f.*"))
+    near = cut(near_lines(docs, firsts, threshold)).withColumn("near", F.lit(True))
     kept = firsts.select("h1", "h2", F.col("doc_id").alias("d"), F.col("pos").alias("p")).join(near, ["h1", "h2"], "left")
     gone = lines.select("doc_id", "pos", "h1", "h2").join(kept, ["h1", "h2"]).filter("near or doc_id != d or pos != p")
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
@@ -131,13 +140,13 @@ def line_report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the lines removed from their texts; a document that loses lines and keeps none with content goes."""
-    rows = docs.join(removed_places(docs, threshold, min_chars).withColumnRenamed("places", "_places"), "doc_id", "left")
+    places, new = (f"__lines_{x}" + "_" * max(map(len, docs.columns)) for x in ("gone", "new"))  # names that docs has not
+    rows = docs.join(removed_places(docs, threshold, min_chars).withColumnRenamed("places", places), "doc_id", "left")
 
     def rewritten(k: Column) -> Column:
         lost = (F.size(k["kept"]) < k["n"]) & (F.size(F.filter(k["kept"], lambda x: x != "")) == 0)
         return F.struct(F.when(F.size(k["kept"]) == k["n"], F.col("text")).otherwise(F.array_join(k["kept"], "\n")).alias("text"), lost.alias("lost"))
 
-    new = let(_kept(F.col("_places"), min_chars), rewritten)
     # The row of one passes the rewritten text on as a column, so that no later use of it computes it again.
-    rows = rows.withColumn("_new", F.explode(F.array(new))).filter(~F.col("_new.lost"))
-    return rows.withColumn("text", F.col("_new.text")).select(docs.columns)
+    rows = rows.withColumn(new, F.explode(F.array(let(_kept(F.col(places), min_chars), rewritten)))).filter(~F.col(new)["lost"])
+    return rows.withColumn("text", F.col(new)["text"]).select(docs.columns)
