@@ -6,9 +6,9 @@ with the rule's; the longest fitting rule decides.
 The other urls are judged by a template tree.  A host's paths are split into
 segments; ids, hashes and dates become wildcards by their form.  Then, level
 by level under each host and template so far, a segment stays itself only if
-its labelled share of bad pages differs from that of its siblings (two-
-proportion z test beyond ``Z``) and it has labels enough; all other siblings
-merge into the wildcard branch.  A template is rejected if its smoothed
+its labelled share of bad pages exceeds that of its siblings (two-proportion z
+test beyond ``Z``) and it has labels enough; all other siblings are taken as
+alike and merge into the wildcard branch.  A template is rejected if its smoothed
 purity, (bad + SMOOTH * base rate) / (labelled + SMOOTH), reaches ``REJECT``.
 
 The tree is built from counts by host and form of path, far fewer than the
@@ -84,7 +84,7 @@ def template_tree(pages: DataFrame, labels: DataFrame) -> DataFrame:
         all_of = child.groupBy("host", "t").agg(F.sum("cl").alias("al"), F.sum("cb").alias("ab"))
         rest_l, rest_b = F.col("al") - F.col("cl"), F.col("ab") - F.col("cb")
         pooled = F.col("ab") / F.col("al")
-        z = F.abs(F.col("cb") / F.col("cl") - rest_b / rest_l) / F.sqrt(pooled * (1 - pooled) * (1 / F.col("cl") + 1 / rest_l))
+        z = (F.col("cb") / F.col("cl") - rest_b / rest_l) / F.sqrt(pooled * (1 - pooled) * (1 / F.col("cl") + 1 / rest_l))
         alone = (F.col("cl") >= LEAST) & (rest_l >= LEAST)
         stays = F.when(alone & (pooled > 0) & (pooled < 1), z > Z).otherwise(False)
         token = F.when(F.col("seg") == "", "").when(stays | F.col("seg").startswith("{") | (F.col("seg") == "**"), F.concat(F.lit("/"), "seg")).otherwise("/*")
