@@ -83,14 +83,15 @@ def template_tree(pages: DataFrame, labels: DataFrame) -> DataFrame:
         child = tree.groupBy("host", "t", "seg").agg(F.sum("labelled").alias("cl"), F.sum("bad").alias("cb"))
         all_of = child.groupBy("host", "t").agg(F.sum("cl").alias("al"), F.sum("cb").alias("ab"))
         rest_l, rest_b = F.col("al") - F.col("cl"), F.col("ab") - F.col("cb")
-        pooled = F.col("ab") / F.col("al")
-        z = (F.col("cb") / F.col("cl") - rest_b / rest_l) / F.sqrt(pooled * (1 - pooled) * (1 / F.col("cl") + 1 / rest_l))
+        ratio = F.try_divide
+        pooled = ratio(F.col("ab"), F.col("al"))
+        z = ratio(ratio(F.col("cb"), F.col("cl")) - ratio(rest_b, rest_l), F.sqrt(pooled * (1 - pooled) * (ratio(F.lit(1), F.col("cl")) + ratio(F.lit(1), rest_l))))
         alone = (F.col("cl") >= LEAST) & (rest_l >= LEAST)
-        stays = F.when(alone & (pooled > 0) & (pooled < 1), z > Z).otherwise(False)
+        stays = F.when(alone & (pooled > 0) & (pooled < 1), F.coalesce(z > Z, F.lit(False))).otherwise(False)
         token = F.when(F.col("seg") == "", "").when(stays | F.col("seg").startswith("{") | (F.col("seg") == "**"), F.concat(F.lit("/"), "seg")).otherwise("/*")
         kept = child.join(all_of, ["host", "t"]).select("host", "t", "seg", token.alias("token"))
         tree = cut(tree.join(kept, ["host", "t", "seg"]).withColumn("t", F.concat("t", "token")).drop("seg", "token"))
-    base = tree.agg((F.sum("bad") / F.sum("labelled")).alias("base"))
+    base = tree.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("base"))
     pure = tree.groupBy("host", "t").agg(F.sum("labelled").alias("tl"), F.sum("bad").alias("tb")).crossJoin(F.broadcast(base))
     purity = F.when(F.col("tl") >= LEAST, (F.col("tb") + SMOOTH * F.col("base")) / (F.col("tl") + SMOOTH)).otherwise(0.0)
     pure = pure.select("host", "t", purity.alias("purity"))
