@@ -110,10 +110,12 @@ def removed_places(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     lines = _lines(docs, min_chars)
     own, probes = keys_of(F.col("line"), F.col("n"), threshold, min_chars)
     keyed = lines.select("h1", "h2", F.struct("doc_id", "pos", own.alias("own"), probes.alias("probes")).alias("f"))
-    firsts = cut(keyed.groupBy("h1", "h2").agg(F.min("f").alias("f")).select("h1", "h2", "f.*"))
+    firsts = cut(keyed.groupBy("h1", "h2").agg(F.min("f").alias("f"), F.count("*").alias("times")).select("h1", "h2", "f.*", "times"))
     near = cut(near_lines(docs, firsts, threshold)).withColumn("near", F.lit(True))
-    kept = firsts.select("h1", "h2", F.col("doc_id").alias("d"), F.col("pos").alias("p")).join(near, ["h1", "h2"], "left")
-    gone = lines.select("doc_id", "pos", "h1", "h2").join(kept, ["h1", "h2"]).filter("near or doc_id != d or pos != p")
+    # Only lines that occur again, or are near an earlier one, are looked up.
+    marked = firsts.select("h1", "h2", F.col("doc_id").alias("d"), F.col("pos").alias("p"), "times").join(near, ["h1", "h2"], "left").filter("times > 1 or near")
+    marked = cut(marked.select("h1", "h2", "d", "p", "near"))
+    gone = lines.select("doc_id", "pos", "h1", "h2").join(_small(marked, marked.count()), ["h1", "h2"]).filter("near or doc_id != d or pos != p")
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
 
 
