@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, map_batches, small_batches, text_bytes
+from .common import BLOCK_BYTES, blocks, cut, map_batches, small_batches, text_bytes
 from .rolling import BYTE_VALUES, Prefix, U, mix, word_bounds, word_hashes
 
 #: Strings of a bucket that go to one task at most, and bytes of strings a task's group aims at.
 HOT, GROUP_BYTES, CHUNK_BYTES = 5_000, 1 << 20, 100_000
+#: Bytes of a text's part that is hashed at once at most.
+LONG_BYTES = 4 << 20
 _PLACE = 24  # bits of a place in a block; the hash keeps the rest
 
 
@@ -81,10 +83,27 @@ def super_kmers(values: np.ndarray, off: np.ndarray, k: int, m: int) -> tuple[np
     return d[first], window[first], np.diff(np.r_[first, len(window)]), p[first], h[p[first]]
 
 
-def _units(batch: pa.RecordBatch, words: bool) -> Iterator[tuple[int, int, Units]]:
+def _units(batch: pa.RecordBatch, words: bool, k: int, long: int) -> Iterator[tuple[int, int, int, Units]]:
+    """Row ranges of a batch as blocks, and the place of the block's first unit in its text.
+
+    A text of more than long bytes comes in parts that share k - 1 units, so
+    that each window is in one part and no array grows with the text.
+    """
     buf, off = text_bytes(batch.column("text"))
-    for a, b in blocks(off):
-        yield a, b, Units(buf[off[a] : off[b]], off[a : b + 1] - off[a], words)
+    for a, b in blocks(off, min(BLOCK_BYTES, long)):
+        text = buf[off[a] : off[b]]
+        if b - a > 1 or len(text) <= long:
+            yield a, b, 0, Units(text, off[a : b + 1] - off[a], words)
+        elif not words:
+            for s in range(0, len(text) - k + 1, long):
+                part = text[s : s + long + k - 1]
+                yield a, b, s, Units(part, np.array([0, len(part)]), False)
+        else:
+            start, end, _ = word_bounds(text, np.array([0, len(text)]))
+            step = max(1, long // 8)
+            for i in range(0, len(start) - k + 1, step):
+                part = text[start[i] : end[min(i + step + k - 1, len(start)) - 1]]
+                yield a, b, i, Units(part, np.array([0, len(part)]), True)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -93,10 +112,11 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _minimisers(docs: DataFrame, words: bool, k: int, m: int) -> DataFrame:
     """h, doc_id, times: the minimisers of each text and in how many of its super-k-mers each occurs."""
+    long = LONG_BYTES
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        for a, b, u in _units(batch, words):
+        for a, b, _, u in _units(batch, words, k, long):
             doc, _, _, _, h = super_kmers(u.values(), u.off, k, m)
             order = np.lexsort((h, doc))
             doc, h = doc[order], h[order]
@@ -109,11 +129,12 @@ def _minimisers(docs: DataFrame, words: bool, k: int, m: int) -> DataFrame:
 
 def _listed(docs: DataFrame, words: bool, k: int, m: int) -> DataFrame:
     """h, c1, c2, doc_id, start, windows, mid (the minimiser's place from the start): the super-k-mers of docs (doc_id, text, hs) whose minimiser is in hs."""
+    long = LONG_BYTES
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         wanted = batch.column("hs")
-        for a, b, u in _units(batch, words):
+        for a, b, base, u in _units(batch, words, k, long):
             lists = wanted.slice(a, b - a)
             count = np.array(pa.compute.list_value_length(lists).to_pylist(), np.int64)
             hs = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
@@ -125,7 +146,7 @@ def _listed(docs: DataFrame, words: bool, k: int, m: int) -> DataFrame:
             end = start + windows + k - 1
             c1, c2 = Prefix(values).spans(start, end), Prefix(u.values(1), 1).spans(start, end)
             yield pa.RecordBatch.from_arrays(
-                [_signed(h), _signed(c1), _signed(c2), pa.array(ids[a:b][doc]), pa.array((start - u.off[doc]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array((place - start).astype(np.int32))],
+                [_signed(h), _signed(c1), _signed(c2), pa.array(ids[a:b][doc]), pa.array((start - u.off[doc] + base).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array((place - start).astype(np.int32))],
                 names=["h", "c1", "c2", "doc_id", "start", "windows", "mid"],
             )
 
@@ -140,7 +161,9 @@ def _strings(docs: DataFrame, words: bool, k: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, wanted = batch.column("doc_id").to_pylist(), batch.column("at").to_pylist()
-        for a, b, u in _units(batch, words):
+        buf, off = text_bytes(batch.column("text"))
+        for a, b in blocks(off):
+            u = Units(buf[off[a] : off[b]], off[a : b + 1] - off[a], words)
             rows: list[tuple] = []
             w1 = w2 = None
             for i in range(a, b):

@@ -218,7 +218,11 @@ def test_url_templates(spark):
 # ---- 5 and 7
 
 
-def test_repeated_words(spark):
+@pytest.mark.parametrize("long", [4 << 20, 3000])
+def test_repeated_words(spark, monkeypatch, long):
+    from factspark.llm import superkmer
+
+    monkeypatch.setattr(superkmer, "LONG_BYTES", long)
     texts = edge_texts(random.Random(1))
     first, expected = {}, {}
     for i, t in enumerate(texts):
@@ -233,11 +237,12 @@ def test_repeated_words(spark):
     assert substring.remove_repeats(docs_of(spark, texts).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [5_000, 1])
-def test_repeated_bytes(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "long"), [(5_000, 4 << 20), (1, 500)])
+def test_repeated_bytes(spark, monkeypatch, hot, long):
     from factspark.llm import superkmer
 
     monkeypatch.setattr(superkmer, "HOT", hot)
+    monkeypatch.setattr(superkmer, "LONG_BYTES", long)
     texts = edge_texts(random.Random(2))
     seen, expected = set(), {}
     for i, t in enumerate(texts):
