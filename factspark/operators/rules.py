@@ -177,6 +177,8 @@ def _fixpoint(name: str, ctx: Context, args: tuple) -> Rel:
             total[n] = Rel(materialise(rel.df), rel.kinds, frozenset(rel.kinds))
     if not total:
         raise QueryError(f"rule '{name}' has no branch to start from")
+    if _is_closure(name, rules, group):
+        return _closure(total[name])
     delta = dict(total)
     while delta:
         found: dict[str, Rel] = {}
@@ -201,3 +203,41 @@ def _fixpoint(name: str, ctx: Context, args: tuple) -> Rel:
     if name not in total:
         raise QueryError(f"rule '{name}' has no branch to start from")
     return total[name]
+
+
+def _is_closure(name: str, rules: dict[str, list[Branch]], group: set[str]) -> bool:
+    """Whether a rule is the transitive closure of its first branch: r(a, b) from e(a, b), or from e(a, t) and r(t, b), or from r(a, t) and e(t, b)."""
+    if len(group) > 1 or len(rules[name]) != 2:
+        return False
+    base, step = sorted(rules[name], key=lambda b: any(c.name in group for c in calls_in(b.clauses)))
+    calls = [c for c in step.clauses if isinstance(c, RuleCall) and c.name in group]
+    if calls_in(base.clauses) or len(calls_in(step.clauses)) != 1 or len(calls) != 1 or len(calls[0].args) != 2:
+        return False
+    rest = tuple(c for c in step.clauses if c is not calls[0])
+    (a, b), (x, y) = [*step.required, *step.free], calls[0].args
+    h0, h1 = Var("?h0"), Var("?h1")
+    p, r = [*base.required, *base.free]
+    target = rename(base.clauses, {p.name: h0, r.name: h1})
+    if isinstance(x, Var) and y == b and x not in (a, b):
+        return rename(rest, {a.name: h0, x.name: h1}) == target
+    if isinstance(y, Var) and x == a and y not in (a, b):
+        return rename(rest, {y.name: h0, b.name: h1}) == target
+    return False
+
+
+def _closure(edges: Rel) -> Rel:
+    """Paths of any length, doubling the length that is covered each round."""
+    from ..sources.base import common_kind
+
+    if common_kind(edges.kinds["h0"], edges.kinds["h1"]) is None:
+        return edges
+    total = edges
+    while True:
+        left = Rel(total.df.select(total.col("h0"), total.col("h1").alias("t")), {"h0": total.kinds["h0"], "t": total.kinds["h1"]})
+        right = Rel(total.df.select(total.col("h0").alias("t"), total.col("h1")), {"t": total.kinds["h0"], "h1": total.kinds["h1"]})
+        new = join(join(left, right).project(["h0", "h1"]).distinct(), total, "left_anti")
+        new = Rel(materialise(new.df), new.kinds, frozenset(new.kinds))
+        if new.df.isEmpty():
+            return total
+        both = union(total, new)
+        total = Rel(both.df, both.kinds, frozenset(both.kinds))

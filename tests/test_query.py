@@ -130,6 +130,13 @@ def test_rules(spark):
         run("[:find ?x :in $ % :where (nope ?x)]", FOLLOW, RULE)
 
 
+def test_left_linear_and_long_chains(spark):
+    left = "[[(follow ?a ?b) [?a :follow ?b]] [(follow ?x ?y) (follow ?x ?t) [?t :follow ?y]]]"
+    chain = [(i, K(":follow"), i + 1) for i in range(1, 40)]
+    assert len(q("[:find ?a ?b :in $ % :where (follow ?a ?b)]", chain, left, spark=spark)) == 40 * 39 // 2
+    assert q("[:find ?b :in $ % :where (follow 37 ?b)]", chain, RULE, spark=spark) == {(38,), (39,), (40,)}
+
+
 def test_rule_equals_inline_on_many_entities(spark):
     rows = [(i, K(":status"), ("started", "pending", "stopped")[i % 3]) for i in range(1, 3000)]
     rule = '[[(running ?e) [?e :status "started"]] [(running ?e) [?e :status "pending"]]]'

@@ -182,5 +182,14 @@ def test_store_and_stream(spark, tmp_path):
     assert sum(seen) == 2 + 2 + 9
 
 
+def test_edn_store(conn, tmp_path):
+    from factspark.store import EdnStore
+
+    store = EdnStore(str(tmp_path / "x" / "db.edn"))
+    assert store.restore() is None
+    store.store(conn.db)
+    assert store.restore() == conn.db
+
+
 def test_conn_from_db(conn):
     assert conn_from_db(conn.db).db == conn.db and hash(conn.db) == hash(from_json(to_json(conn.db)))
