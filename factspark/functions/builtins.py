@@ -129,10 +129,6 @@ def _bool(f: Callable[..., Column]) -> Callable[[list[Arg]], Arg]:
     return lambda a: Arg(f(*[x.col for x in a]), "bool")
 
 
-def _string(f: Callable[..., Column]) -> Callable[[list[Arg]], Arg]:
-    return lambda a: Arg(f(*[x.col for x in a]), "string")
-
-
 def truth(a: Arg) -> Column:
     """Everything but nil and false is true."""
     if a.kind == "nil":

@@ -341,12 +341,3 @@ def _facts(source: Any, ids: DataFrame, specs: tuple) -> DataFrame:
             facts = facts.select("__e", F.col("__v.x").alias("__v"))
         out = out.join(facts, F.col("id") == F.col("__e"), "left").withColumn(n.lstrip("_"), _finish(s, F.col("__v"))).drop("__e", "__v")
     return out
-
-
-def visited(db: Db, pattern: Any, ref: Any) -> list[tuple]:
-    """What a pull reads, in order."""
-    out: list[tuple] = []
-    pull(db, pattern, ref, lambda *x: out.append(x))
-    return out
-
-

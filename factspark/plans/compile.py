@@ -23,7 +23,7 @@ from ..sources.base import Rel, Source, convert, join, union
 from ..sources.collection import CollectionSource, frame
 from ..values import kind_of_type, to_any
 from .syntax import (
-    And, BindColl, BindIgnore, BindRules, BindScalar, BindSource, BindTuple, Blank, Branch, Const, Function, Not, Or, Pattern, Plain, Predicate, Query, QueryError, RuleCall, Src, Var, vars_of,
+    And, BindIgnore, BindRules, BindScalar, BindSource, BindTuple, Blank, Branch, Const, Function, Not, Or, Pattern, Plain, Predicate, Query, QueryError, RuleCall, Src, Var, vars_of,
 )
 
 

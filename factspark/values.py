@@ -9,7 +9,6 @@ numbers, strings, instants, uuids.
 from __future__ import annotations
 
 import datetime as dt
-import json
 import uuid
 from decimal import Decimal
 from fractions import Fraction
@@ -127,7 +126,3 @@ def from_any(c: Column, kind: str) -> Column:
     """The native column of a tagged one whose values all have the kind."""
     part = {"long": "lng", "double": "num", "bool": "bool", "ts": "ts"}.get(kind, "str")
     return c[part] if kind not in ("any", "array", "other") else c
-
-
-def json_value(x: Any) -> Any:
-    return json.loads(json.dumps(x, default=str))

@@ -165,6 +165,14 @@ def test_scans_are_pruned(spark):
     assert "PushedFilters: [IsNotNull(c_mktsegment), EqualTo(c_mktsegment,BUILDING)" in plan and plan.count("FileScan") == 1 and "c_acctbal" not in plan.split("FileScan")[1]
 
 
+def test_column_functions(spark):
+    from factspark.plans.compile import column_function
+
+    double = column_function("long")(lambda c: c * 2)
+    assert q("[:find ?y :in [?x ...] ?f :where [(?f ?x) ?y]]", [1, 2], double, spark=spark) == {(2,), (4,)}
+    assert q("[:find ?x :in [?x ...] ?f :where [(?f ?x)]]", [1, 2], lambda c: c > 1, spark=spark) == {(2,)}
+
+
 def test_init_from_datoms(spark):
     db = conn_from_datoms([(1, ":p", (1, 2)), (2, ":p", (1, 2, 3)), (3, ":p", (0, 9))], {":p": {":db/index": True}}).db
     assert [d.v for d in db.index("avet")] == [(0, 9), (1, 2), (1, 2, 3)]

@@ -191,5 +191,20 @@ def test_edn_store(conn, tmp_path):
     assert store.restore() == conn.db
 
 
+def test_helpers(spark, conn, tmp_path):
+    from factspark.operators.pull import pull
+    from factspark.streaming import LOG, per_window
+    from factspark.tx import db_with, resolve_tempid, tempid
+
+    assert db_with(conn.db, read("[[:db/add 1 :age 3]]")).value(1, ":age") == 3 and conn.db.value(1, ":age") == 15
+    t = tempid()
+    r = conn.transact([{":db/id": t, ":name": "T"}])
+    assert resolve_tempid(r.tempids, t) == conn.db.entid([K(":name"), "T"]) and tempid(None, -3) == -3
+    seen = []
+    pull(conn.db, "[:name :_friend]", 2, lambda *x: seen.append(x[:3]))
+    assert (K(":db.pull/attr"), 2, ":name") in seen and (K(":db.pull/reverse"), 2, ":friend") in seen
+    assert per_window(spark.readStream.schema(LOG).parquet(str(tmp_path))).isStreaming
+
+
 def test_conn_from_db(conn):
     assert conn_from_db(conn.db).db == conn.db and hash(conn.db) == hash(from_json(to_json(conn.db)))
