@@ -100,10 +100,6 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         a = b
 
 
-def no_rows(schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([], schema=schema)
-
-
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with f for each batch that has rows."""
 

@@ -91,9 +91,10 @@ def template_tree(pages: DataFrame, labels: DataFrame) -> DataFrame:
         token = F.when(F.col("seg") == "", "").when(stays | F.col("seg").startswith("{") | (F.col("seg") == "**"), F.concat(F.lit("/"), "seg")).otherwise("/*")
         kept = child.join(all_of, ["host", "t"]).select("host", "t", "seg", token.alias("token"))
         tree = cut(tree.join(kept, ["host", "t", "seg"]).withColumn("t", F.concat("t", "token")).drop("seg", "token"))
-    base = tree.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("base"))
-    pure = tree.groupBy("host", "t").agg(F.sum("labelled").alias("tl"), F.sum("bad").alias("tb")).crossJoin(F.broadcast(base))
-    purity = F.when(F.col("tl") >= LEAST, (F.col("tb") + SMOOTH * F.col("base")) / (F.col("tl") + SMOOTH)).otherwise(0.0)
+    totals = tree.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).first()
+    base = totals["bad"] / totals["labelled"] if totals["labelled"] else 0.0
+    pure = tree.groupBy("host", "t").agg(F.sum("labelled").alias("tl"), F.sum("bad").alias("tb"))
+    purity = F.when(F.col("tl") >= LEAST, (F.col("tb") + SMOOTH * base) / (F.col("tl") + SMOOTH)).otherwise(0.0)
     pure = pure.select("host", "t", purity.alias("purity"))
     return tree.join(pure, ["host", "t"]).select("host", "form", F.col("t").alias("template"), "labelled", "bad", "purity")
 
