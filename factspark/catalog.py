@@ -68,6 +68,8 @@ datalog("left_join_default", '[:find ?k ?q :where [?d :documents/doc_id ?k] [(ge
 datalog("lookup_ref_const", '[:find ?k :where [?o :orders/o_custkey [:customer/c_custkey 7]] [?o :orders/o_orderkey ?k]]', "SELECT o_orderkey AS k FROM orders WHERE o_custkey = 7")
 datalog("lookup_ref_var", '[:find ?k :in $ ?c :where [?o :orders/o_custkey ?c] [?o :orders/o_orderkey ?k]]', "SELECT o_orderkey AS k FROM orders WHERE o_custkey = 11", [Keyword(":customer/c_custkey"), 11])
 
+datalog("lookup_ref_coll", '[:find ?k :in $ [?c ...] :where [?o :orders/o_custkey ?c] [?o :orders/o_orderkey ?k]]', "SELECT o_orderkey AS k FROM orders WHERE o_custkey IN (11, 12)", [[Keyword(":customer/c_custkey"), 11], [Keyword(":customer/c_custkey"), 12]])
+
 # ---- inputs
 
 datalog("in_scalar", '[:find ?k :in $ ?seg :where [?c :customer/c_mktsegment ?seg] [?c :customer/c_custkey ?k]]', "SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'MACHINERY'", "MACHINERY")

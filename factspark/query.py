@@ -7,11 +7,15 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .edn import Keyword
 from .functions.aggregates import aggregate
-from .plans.compile import Context, bind_inputs, check_order, product, resolve
+from .operators.rules import rename
+from .plans.compile import Context, bind_inputs, check_order, flatten, product, resolve
 from .plans.parse import parse_query
-from .plans.syntax import Aggregate, Plain, Pull, Query, QueryError, Var, vars_of
+from .plans.syntax import Aggregate, BindColl, BindTuple, Plain, Pull, Query, QueryError, Var, vars_of
 from .sources.base import Rel
+from .sources.collection import frame
+from .sources.mapped import MappedSource
 from .values import untagged
 
 
@@ -41,7 +45,8 @@ def _run(q: Query, inputs: tuple, spark: SparkSession | None) -> tuple[DataFrame
     spark = _session(spark)
     ctx = bind_inputs(q, inputs, spark)
     check_order(q.where, ctx.bound(), ctx.rules)
-    after = resolve(q.where, ctx)
+    where, ctx = _lookup_refs(q, inputs, ctx)
+    after = resolve(where, ctx)
     names = vars_of(q.find) + [v.name for v in q.with_]
     wanted = [n for n in dict.fromkeys(names) if not callable(after.fixed.get(n))]
     rel = product(after, wanted)
@@ -94,6 +99,33 @@ def _run(q: Query, inputs: tuple, spark: SparkSession | None) -> tuple[DataFrame
     return result, final_kinds, after
 
 
+def _is_ref(x: Any) -> bool:
+    return isinstance(x, list | tuple) and len(x) == 2 and isinstance(x[0], Keyword)
+
+
+def _lookup_refs(q: Query, inputs: tuple, ctx: Context) -> tuple[tuple, Context]:
+    """Clauses and context in which variables of collection inputs that hold lookup refs are joined by the entities they name; the find clause still gives the refs."""
+    where, source = q.where, ctx.sources.get("$")
+    for b, x in zip(q.inputs, inputs, strict=True):
+        if not isinstance(b, BindColl | BindTuple) or isinstance(x, DataFrame) or source is None:
+            continue
+        rows = flatten(b, x)
+        for v in vars_of(b):
+            refs = {tuple(r[v]) for r in rows if _is_ref(r.get(v))}
+            if not refs or len(refs) < len({str(r[v]) for r in rows}):
+                continue
+            if isinstance(source, MappedSource):
+                table = source.column(next(iter(refs))[0])[0]
+                found, kind = [(r, source.key_of(list(r), table)) for r in refs], f"eid:{table}"
+            else:
+                found, kind = [(r, source.resolve(list(r))) for r in refs], "long"
+            hidden = f"{v}__entity"
+            df, kinds = frame(ctx.spark, [(list(r), e) for r, e in found if e is not None], 2)
+            pairs = Rel(df.select(F.col("c0").alias(v), F.col("c1").alias(hidden)), {v: kinds[0], hidden: kind})
+            where, ctx = rename(where, {v: Var(hidden)}), ctx.add(pairs)
+    return where, ctx
+
+
 def q(query: Any, *inputs: Any, spark: SparkSession | None = None) -> Any:
     """What a query finds, as Python values in the shape of its find clause.
 
@@ -121,7 +153,7 @@ def q(query: Any, *inputs: Any, spark: SparkSession | None = None) -> Any:
 
 
 def _python(v: Any, kind: str) -> Any:
-    from .edn import Keyword, Symbol
+    from .edn import Symbol
 
     if v is None:
         return None

@@ -89,6 +89,10 @@ def tagged(x: Any) -> tuple:
     return (RANKS[k], num, x if k == "long" else None, text, x if k == "bool" else None, x if k == "ts" else None)
 
 
+def frozen(x: Any) -> Any:
+    return tuple(map(frozen, x)) if isinstance(x, list | tuple) else x
+
+
 def untagged(row: Any) -> Any:
     """The Python value of the fields of ANY."""
     from .edn import read
@@ -97,7 +101,7 @@ def untagged(row: Any) -> Any:
     if rank == RANKS["keyword"]:
         return Keyword(text)
     if rank == RANKS["array"]:
-        return read(text[8:] if text[:8].isdigit() else text)
+        return frozen(read(text[8:] if text[:8].isdigit() else text))
     if rank == RANKS["symbol"]:
         return Symbol(text)
     if rank == RANKS["bool"]:
