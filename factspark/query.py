@@ -31,7 +31,7 @@ def _name(q: Query, i: int, f: Any) -> str:
 
 def q_df(query: Any, *inputs: Any, spark: SparkSession | None = None) -> DataFrame:
     """The rows that a query finds, with a column for each find element: named by :keys, :syms or :strs, else after its variable."""
-    return _run(parse_query(query), inputs, spark)[0]
+    return _run(parse_query(query), inputs, spark, {})[0]
 
 
 def _session(spark: SparkSession | None) -> SparkSession:
@@ -41,7 +41,12 @@ def _session(spark: SparkSession | None) -> SparkSession:
     return found
 
 
-def _run(q: Query, inputs: tuple, spark: SparkSession | None) -> tuple[DataFrame, list[str], Context]:
+def _run(q: Query, inputs: tuple, spark: SparkSession | None, pulls_here: dict[Any, Any]) -> tuple[DataFrame, list[str], Context]:
+    """The result, the kinds of its columns, and the context after the clauses.
+
+    With "driver" in pulls_here, pulls from a database that is on the driver
+    are left to the caller: they are put there by column, which stays an id.
+    """
     spark = _session(spark)
     ctx = bind_inputs(q, inputs, spark)
     check_order(q.where, ctx.bound(), ctx.rules)
@@ -92,6 +97,9 @@ def _run(q: Query, inputs: tuple, spark: SparkSession | None) -> tuple[DataFrame
             if pattern is None and isinstance(f.pattern, Plain) and f.pattern.name == "*":
                 pattern = ["*"]
             source = after.source(f.src)
+            if getattr(source, "db", None) is not None and "driver" in pulls_here:
+                pulls_here[i] = (source.db, pattern)
+                continue
             ids = result.select(F.col(columns[i]).alias("id")).distinct()
             pulled = pull_df(source, ids, pattern, final_kinds[i])
             packed = pulled.select(F.col("id").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in pulled.columns if c != "id"]).alias("__p"))
@@ -134,10 +142,14 @@ def q(query: Any, *inputs: Any, spark: SparkSession | None = None) -> Any:
     the like.
     """
     parsed = parse_query(query)
-    df, kinds, _ = _run(parsed, inputs, spark)
+    pulls: dict[Any, Any] = {"driver": True}
+    df, kinds, _ = _run(parsed, inputs, spark, pulls)
     if parsed.shape in ("tuple", "scalar"):
         df = df.limit(1)
-    rows = [tuple(_python(v, k) for v, k in zip(r, kinds, strict=True)) for r in df.collect()]
+    from .operators.pull import pull
+
+    value = lambda i, v, k: pull(*pulls[i], v) if i in pulls else _python(v, k)
+    rows = [tuple(value(i, v, k) for i, (v, k) in enumerate(zip(r, kinds, strict=True))) for r in df.collect()]
     if parsed.keys:
         dicts = [dict(zip(parsed.keys, r, strict=True)) for r in rows]
         return dicts if parsed.shape == "rel" else dicts[0] if dicts else None
