@@ -84,9 +84,8 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int) -> DataFrame:
-    """h1, h2 of the lines of firsts (doc_id, pos, h1, h2, own, probes) that are within the threshold of an earlier one."""
-    own, probe = F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(True).alias("own"))), F.transform("probes", lambda k: F.struct(k.alias("key"), F.lit(False).alias("own")))
-    keys = firsts.select("doc_id", "pos", F.explode(F.concat(own, probe)).alias("k")).select("doc_id", "pos", "k.*")
+    """h1, h2 of the lines of firsts (doc_id, pos, h1, h2, keys: own segments first) that are within the threshold of an earlier one."""
+    keys = firsts.select("doc_id", "pos", F.posexplode("keys").alias("k", "key")).select("doc_id", "pos", "key", (F.col("k") <= threshold).alias("own"))
     # A key counts where a segment meets another one or a probe.
     met = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("some")).filter("n > 1 and some").select("key"))
     live = cut(keys.join(_small(met, met.count()), "key"))
@@ -96,9 +95,10 @@ def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int) -> DataFrame:
     texts = cut(texts.dropDuplicates(["doc_id", "pos"]))
     full = live.join(texts, ["doc_id", "pos"])
     one = full.filter("own").select("key", F.col("doc_id").alias("da"), F.col("pos").alias("pa"), F.col("line").alias("la"))
-    two = full.select(F.col("key").alias("key2"), F.col("doc_id").alias("db"), F.col("pos").alias("pb"), F.col("line").alias("lb"))
-    differs = (F.col("da") != F.col("db")) | (F.col("pa") != F.col("pb"))
-    pairs = one.join(two, (F.col("key") == F.col("key2")) & differs & (F.levenshtein("la", "lb", threshold) >= 0))
+    two = full.select(F.col("key").alias("key2"), F.col("doc_id").alias("db"), F.col("pos").alias("pb"), F.col("line").alias("lb"), F.col("own").alias("segment"))
+    # Two segments meet in either order: one of them is enough.
+    once = ((F.col("da") != F.col("db")) | (F.col("pa") != F.col("pb"))) & (~F.col("segment") | (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("pa") < F.col("pb"))))
+    pairs = one.join(two, (F.col("key") == F.col("key2")) & once & (F.levenshtein("la", "lb", threshold) >= 0))
     later = F.greatest(F.struct(F.col("da").alias("doc_id"), F.col("pa").alias("pos")), F.struct(F.col("db").alias("doc_id"), F.col("pb").alias("pos")))
     gone = pairs.select(later.alias("l")).select("l.*").distinct()
     return firsts.join(gone, ["doc_id", "pos"]).select("h1", "h2")
@@ -109,7 +109,7 @@ def removed_places(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     docs = docs.select("doc_id", "text")
     lines = _lines(docs, min_chars)
     own, probes = keys_of(F.col("line"), F.col("n"), threshold, min_chars)
-    keyed = lines.select("h1", "h2", F.struct("doc_id", "pos", own.alias("own"), probes.alias("probes")).alias("f"))
+    keyed = lines.select("h1", "h2", F.struct("doc_id", "pos", F.concat(own, probes).alias("keys")).alias("f"))
     firsts = cut(keyed.groupBy("h1", "h2").agg(F.min("f").alias("f"), F.count("*").alias("times")).select("h1", "h2", "f.*", "times"))
     near = cut(near_lines(docs, firsts, threshold)).withColumn("near", F.lit(True))
     # Only lines that occur again, or are near an earlier one, are looked up.
