@@ -20,6 +20,8 @@ from factspark.llm.queries import held_out, vocabulary_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _mine: list[str] = []
+#: Percent of shared shingles from which the pipeline calls documents near duplicates; op8 has its own.
+NEAR_PERCENT = 80
 
 
 def _stage(f: Stage) -> Stage:
@@ -57,7 +59,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each group of near duplicates."""
-    return minhash.keep_first(docs)
+    return minhash.keep_first(docs, percent=NEAR_PERCENT)
 
 
 @_stage

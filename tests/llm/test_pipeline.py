@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import re
+from itertools import combinations
 
 import corpus_pipeline as p
 from factspark.llm import decontaminate
@@ -43,3 +45,23 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     out = p.run(spark, SF)
     assert {"doc_id", "n_tokens"} <= set(out.columns) and 0 < out.count() < spark.read.parquet(f"{SF}/documents.parquet").count() and p.ORACLE_SQL is None
+
+
+def test_near_duplicates_from_80_percent(spark):
+    """The stage against brute force, with planted pairs on both sides of 80 and of 85 percent."""
+    rng = random.Random(5)
+    texts, planted = [], []
+    for changed in (1, 2, 3, 4, 5, 6):  # a changed word far from the others and the ends costs five shingles on either side
+        for _ in range(3):
+            w = [f"t{rng.randrange(10**6)}" for _ in range(164)]
+            x = list(w)
+            for k in range(changed):
+                x[10 + 25 * k] = f"e{rng.randrange(10**6)}"
+            planted.append((len(texts), len(texts) + 1))
+            texts += [" ".join(w), " ".join(x)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(range(len(texts)), 2)}
+    assert all(sum(low <= alike[x] < high for x in planted) >= 3 for low, high in ((0.6, 0.8), (0.8, 0.85), (0.85, 1)))
+    kept = set(range(len(texts))) - {b for (_, b), s in alike.items() if s >= 0.8}
+    out = p.drop_near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), SF)
+    assert {r["doc_id"] for r in out.collect()} == kept
