@@ -3,7 +3,10 @@
 Lines are what newlines separate.  A line of at least ``MIN_CHARS`` code points
 goes if it is equal to an earlier line, or within ``threshold`` edits of a line
 that first occurs earlier; earlier means in a document with a smaller doc_id,
-or before it in the same one.  Shorter lines always stay.
+or before it in the same one.  A shorter line of at least ``exact`` code points
+goes only if it is equal to an earlier line, and still shorter ones always stay:
+``exact`` is ``MIN_CHARS`` in ``line_report``, as in op3's SQL, and 1 in
+``dedup_lines``.
 
 Each line is cut into threshold + 1 segments of even length.  Lines within the
 threshold share one of them, at a place that the lengths bound: so a line
@@ -72,7 +75,7 @@ def keys_of(line: Column, n: Column, threshold: int, least: int) -> tuple[Column
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, pos, line, n, h1, h2: the distinct long lines of each text with their first place and length."""
+    """doc_id, pos, line, n, h1, h2: the distinct lines of at least min_chars of each text with their first place and length."""
     measured = F.transform(F.array_distinct(F.split("text", "\n")), lambda x: F.struct(x.alias("line"), F.length(x).alias("n")))
     rows = docs.filter("text is not null and doc_id is not null").select("doc_id", F.posexplode(measured).alias("pos", "l")).select("doc_id", "pos", "l.line", "l.n")
     return rows.filter(F.col("n") >= min_chars).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), "line"))
@@ -104,12 +107,14 @@ def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int) -> DataFrame:
     return firsts.join(gone, ["doc_id", "pos"]).select("h1", "h2")
 
 
-def removed_places(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_places(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact: int = MIN_CHARS) -> DataFrame:
     """doc_id and places: indexes, among the distinct lines of the text, of those that go."""
     docs = docs.select("doc_id", "text")
-    lines = _lines(docs, min_chars)
-    own, probes = keys_of(F.col("line"), F.col("n"), threshold, min_chars)
-    keyed = lines.select("h1", "h2", F.struct("doc_id", "pos", F.concat(own, probes).alias("keys")).alias("f"))
+    lines = _lines(docs, min(exact, min_chars))
+    keys = F.concat(*keys_of(F.col("line"), F.col("n"), threshold, min_chars))
+    if exact < min_chars:
+        keys = F.when(F.col("n") >= min_chars, keys).otherwise(F.array().cast("array<bigint>"))
+    keyed = lines.select("h1", "h2", F.struct("doc_id", "pos", keys.alias("keys")).alias("f"))
     firsts = cut(keyed.groupBy("h1", "h2").agg(F.min("f").alias("f"), F.count("*").alias("times")).select("h1", "h2", "f.*", "times"))
     near = cut(near_lines(docs, firsts, threshold)).withColumn("near", F.lit(True))
     # Only lines that occur again, or are near an earlier one, are looked up.
@@ -119,13 +124,13 @@ def removed_places(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
 
 
-def _kept(places: Column, min_chars: int) -> Column:
+def _kept(places: Column, least: int) -> Column:
     """struct(n, kept): the number of lines of the column text, and those that stay."""
 
     def stay(lines: Column, distinct: Column) -> Column:
         gone = F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda p: F.get(distinct, p))
         # A line goes that goes everywhere, or that an equal one stands before in the text.
-        some = let(gone, lambda g: F.filter(lines, lambda x, i: (F.length(x) < min_chars) | (~F.array_contains(g, x) & (F.array_position(lines, x) == i + 1))))
+        some = let(gone, lambda g: F.filter(lines, lambda x, i: (F.length(x) < least) | (~F.array_contains(g, x) & (F.array_position(lines, x) == i + 1))))
         return F.when(places.isNull() & (F.size(distinct) == F.size(lines)), lines).otherwise(some)
 
     text = F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
@@ -135,20 +140,20 @@ def _kept(places: Column, min_chars: int) -> Column:
 def line_report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the lines that stay, joined by newlines) of each row."""
     docs = docs.select("doc_id", "text")
-    rows = docs.join(removed_places(docs, threshold, min_chars), "doc_id", "left")
+    rows = docs.join(removed_places(docs, threshold, min_chars, min_chars), "doc_id", "left")
     report = let(_kept(F.col("places"), min_chars), lambda k: F.struct(k["n"].cast("long").alias("n_lines"), (k["n"] - F.size(k["kept"])).cast("long").alias("n_removed"), F.sha2(F.array_join(k["kept"], "\n"), 256).alias("kept_sha256")))
     return rows.select("doc_id", F.explode(F.array(report)).alias("r")).select("doc_id", "r.*")
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact: int = 1) -> DataFrame:
     """docs with the lines removed from their texts; a document that loses lines and keeps none with content goes."""
     places, new = (f"__lines_{x}" + "_" * max(map(len, docs.columns)) for x in ("gone", "new"))  # names that docs has not
-    rows = docs.join(removed_places(docs, threshold, min_chars).withColumnRenamed("places", places), "doc_id", "left")
+    rows = docs.join(removed_places(docs, threshold, min_chars, exact).withColumnRenamed("places", places), "doc_id", "left")
 
     def rewritten(k: Column) -> Column:
         lost = (F.size(k["kept"]) < k["n"]) & (F.size(F.filter(k["kept"], lambda x: x != "")) == 0)
         return F.struct(F.when(F.size(k["kept"]) == k["n"], F.col("text")).otherwise(F.array_join(k["kept"], "\n")).alias("text"), lost.alias("lost"))
 
     # The row of one passes the rewritten text on as a column, so that no later use of it computes it again.
-    rows = rows.withColumn(new, F.explode(F.array(let(_kept(F.col(places), min_chars), rewritten)))).filter(~F.col(new)["lost"])
+    rows = rows.withColumn(new, F.explode(F.array(let(_kept(F.col(places), min(exact, min_chars)), rewritten)))).filter(~F.col(new)["lost"])
     return rows.withColumn("text", F.col(new)["text"]).select(docs.columns)

@@ -186,6 +186,20 @@ def test_line_dedup_texts(spark):
     assert lines.dedup_lines(docs_of(spark, texts)).columns == docs_of(spark, texts).columns and lines.line_report(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_line_dedup_short_lines(spark):
+    """Equal lines of any length go but the first; short ones that are only near, and empty ones, stay."""
+    rng = random.Random(8)
+    short = ["x", "xy", "xz", "And so on.", "And so on!", "Les.", "\u00e9\u00e9", " ", ""]
+    texts = ["\n".join(rng.choice(short) if rng.random() < 0.6 else f"line {rng.randrange(10**12):040d}" for _ in range(rng.randrange(1, 7))) for _ in range(60)]
+    seen, expected = set(), {}
+    for i, t in enumerate(texts):
+        every = t.split("\n")
+        kept = [x for x in every if x == "" or not (x in seen or seen.add(x))]
+        if len(kept) == len(every) or any(kept):
+            expected[i] = "\n".join(kept)
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, texts)).collect()} == expected
+
+
 # ---- 4
 
 
