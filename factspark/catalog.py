@@ -183,6 +183,34 @@ def rule_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 plain("rule_source", rule_source, f"WITH {EDGES} SELECT DISTINCT a AS x, p_name AS n FROM e JOIN part ON p_partkey = b")
 
+# ---- the same rules over a graph of all parts: part k div 2 leads to k, so that reach grows with the table
+
+
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr("p_partkey div 2").alias("a"), F.col("p_partkey").cast("long").alias("b"))
+
+
+ALL_EDGES = "e AS (SELECT (p_partkey // 2)::BIGINT AS a, p_partkey::BIGINT AS b FROM part)"
+ALL_CLOSURE = f"WITH RECURSIVE {ALL_EDGES}, t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a)"
+_REACH = "[[(reach ?a ?b) [?a ?b]] [(reach ?a ?b) [?a ?t] (reach ?t ?b)]]"
+for _name, _q, _sql, _rules, _more in (
+    ("rule_simple_all", "[:find ?x ?y :in $ % :where (step ?x ?y)]", f"WITH {ALL_EDGES} SELECT a AS x, b AS y FROM e", "[[(step ?a ?b) [?a ?b]]]", ()),
+    ("rule_branches_all", "[:find ?x ?y :in $ % :where (near ?x ?y)]", f"WITH {ALL_EDGES} SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e", "[[(near ?a ?b) [?a ?b]] [(near ?a ?b) [?b ?a]]]", ()),
+    ("rule_recursive_all", "[:find ?x ?y :in $ % :where (reach ?x ?y)]", f"{ALL_CLOSURE} SELECT a AS x, b AS y FROM t", _REACH, ()),
+    ("rule_const_arg_all", "[:find ?y :in $ % :where (reach 3 ?y)]", f"{ALL_CLOSURE} SELECT b AS y FROM t WHERE a = 3", _REACH, ()),
+    ("rule_mutual_all", "[:find ?x ?y :in $ % :where (odd ?x ?y)]", f"WITH RECURSIVE {ALL_EDGES}, t(a, b, p) AS (SELECT a, b, 1 FROM e UNION SELECT t.a, e.b, 1 - t.p FROM t JOIN e ON t.b = e.a) SELECT DISTINCT a AS x, b AS y FROM t WHERE p = 1",
+     "[[(odd ?a ?b) [?a ?b]] [(odd ?a ?b) [?a ?t] (even ?t ?b)] [(even ?a ?b) [?a ?t] (odd ?t ?b)]]", ()),
+    ("rule_pred_arg_all", "[:find ?x :in $ % ?p :where (pick ?p ?x)]", f"WITH {ALL_EDGES} SELECT DISTINCT a AS x FROM e WHERE a % 3 = 0", "[[(pick ?p ?a) [?a _] [(?p ?a)]]]", (lambda c: c % 3 == 0,)),
+):
+    plain(_name, (lambda q, rules, more: lambda spark, d: q_df(q, all_edges(spark, d), rules, *more, spark=spark))(_q, _rules, _more), _sql)
+
+
+def rule_source_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q_df("[:find ?x ?n :in $ $g % :where ($g step ?x ?y) [?p :part/p_partkey ?y] [?p :part/p_name ?n]]", tpch_tables(spark, sf_dir), all_edges(spark, sf_dir), "[[(step ?a ?b) [?a ?b]]]", spark=spark)
+
+
+plain("rule_source_all", rule_source_all, f"WITH {ALL_EDGES} SELECT DISTINCT a AS x, p_name AS n FROM e JOIN part ON p_partkey = b")
+
 # ---- functions: over parts (?k key, ?s size, ?n name, ?r price) unless they need others
 
 def fn(name: str, clauses: str, sql: str, find: str = "?k ?o") -> None:

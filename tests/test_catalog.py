@@ -50,3 +50,11 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and e.entry(spark).columns == ["name", "price"]
+
+
+def test_rules_on_all_parts(spark, tmp_path):
+    """The closure of a table beyond 200 parts, against brute force."""
+    spark.range(1, 701).selectExpr("id AS p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    reach = {(k >> i, k) for k in range(1, 701) for i in range(1, k.bit_length() + 1)}
+    assert {tuple(r) for r in QUERIES["rule_recursive_all"](spark, str(tmp_path)).collect()} == reach
+    assert {r[0] for r in QUERIES["rule_const_arg_all"](spark, str(tmp_path)).collect()} == {b for a, b in reach if a == 3}
