@@ -62,6 +62,7 @@ datalog("pred", '[:find ?k ?q :where [?p :part/p_partkey ?k] [?p :part/p_size ?q
 datalog("pred_multi_rel", '[:find ?a ?b :where [?x :nation/n_name ?a] [?y :region/r_name ?b] [(not= ?a ?b)] [(compare ?a ?b) ?c] [(!= ?c 0)]]', "SELECT DISTINCT n_name AS a, r_name AS b FROM nation, region WHERE n_name <> r_name")
 datalog("cross_join", '[:find ?a ?b :where [?x :nation/n_name ?a] [?y :region/r_name ?b]]', "SELECT DISTINCT n_name AS a, r_name AS b FROM nation, region")
 datalog("theta_join", '[:find ?a ?b :where [?x :supplier/s_suppkey ?a] [?x :supplier/s_acctbal ?p] [?y :customer/c_custkey ?b] [?y :customer/c_acctbal ?q] [(> ?p ?q)] [(< ?a 5)]]', "SELECT s_suppkey AS a, c_custkey AS b FROM supplier, customer WHERE s_acctbal > c_acctbal AND s_suppkey < 5")
+datalog("theta_join_all", '[:find ?a ?b :where [?x :supplier/s_suppkey ?a] [?x :supplier/s_nationkey ?n] [?x :supplier/s_acctbal ?p] [?y :customer/c_nationkey ?n] [?y :customer/c_custkey ?b] [?y :customer/c_acctbal ?q] [(> ?p ?q)]]', "SELECT s_suppkey AS a, c_custkey AS b FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_acctbal > c_acctbal")
 datalog("graph_join", '[:find ?r (count ?o) :where [?o :orders/o_custkey ?c] [?c :customer/c_nationkey ?n] [?n :nation/n_regionkey ?g] [?g :region/r_name ?r]]', "SELECT r_name AS r, count(*) AS count_o FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 datalog("hash_join", '[:find ?k ?d :where [?l :lineitem/l_orderkey ?o] [?o :orders/o_orderkey ?k] [?o :orders/o_orderdate ?d] [?l :lineitem/l_quantity 1.0]]', "SELECT DISTINCT o_orderkey AS k, o_orderdate AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 1.0")
 datalog("left_join_default", '[:find ?k ?q :where [?d :documents/doc_id ?k] [(get-else $ ?d :documents/lang "none") ?q]]', "SELECT doc_id AS k, coalesce(lang, 'none') AS q FROM documents")
@@ -337,6 +338,21 @@ def db_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 plain("db_diff", db_diff, f"WITH {FACTS} SELECT CASE WHEN e <= 100 THEN 'a' WHEN e <= 120 THEN 'both' ELSE 'b' END AS side, count(*) AS n FROM f WHERE e <= 130 GROUP BY 1")
 
 
+def db_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All facts against a version without the nation 5 and with 99 for the nation 7."""
+    from .operators.index import diff
+
+    base = few(spark, sf_dir)
+    nation = F.when(F.col("a") == ":nationkey", F.col("v.lng"))
+    moved = nation.eqNullSafe(7)
+    after = base.filter(~nation.eqNullSafe(5) & ~moved).unionByName(_set_nation(base.filter(moved), 99))
+    found = diff(base, after)
+    return found.select("side", "e", "a", F.coalesce("v.str", F.col("v.lng").cast("string")).alias("v"))
+
+
+plain("db_diff_all", db_diff_all, f"WITH {FACTS} SELECT CASE WHEN a = ':nationkey' AND v IN ('5', '7') THEN 'a' ELSE 'both' END AS side, e, a, v FROM f UNION ALL SELECT 'b', e, a, '99' FROM f WHERE a = ':nationkey' AND v = '7'")
+
+
 def changed(f: Callable[[SparkSession, DataFrame, DataFrame], DataFrame]) -> Run:
     def run(spark: SparkSession, d: str) -> DataFrame:
         base = few(spark, d)
