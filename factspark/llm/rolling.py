@@ -1,15 +1,19 @@
-"""Hashes of spans of bytes and words, for whole blocks of texts at once in numpy.
+"""Hashes of words and of runs of words or bytes, for whole blocks of texts at once in numpy.
 
-A span's hash is the difference of two prefix sums of value * base**place, made
-independent of the place by the base's inverse; all arithmetic is modulo 2**64.
+No hash here is a polynomial: every step of a chain goes through a mixing
+function, so that texts built from repeated patterns do not collide.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_ODD = U(0x9E3779B97F4A7C15)
+#: Words of more bytes are hashed one by one with BLAKE2b.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -19,42 +23,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def stream(seed: int, n: int) -> np.ndarray:
-    """n fixed pseudo-random values."""
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(seed))
-
-
-BYTE_VALUES = (stream(11, 256), stream(23, 256))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
+def _seed(which: int) -> np.ndarray:
+    return mix(np.array([which + 1], np.uint64) * _ODD)
 
-def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i below n."""
-    held = _powers.get(which)
-    if held is None or len(held[0]) < n:
-        size = max(n, 1 << 16)
-        base = _BASES[which]
-        grow = lambda b: np.cumprod(np.r_[U(1), np.full(size - 1, b, np.uint64)])
-        held = grow(base), grow(pow(base, -1, 2**64))
-        _powers[which] = held
-    return held
 
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one integer; zeros follow the end."""
+    pad = np.zeros(len(buf) + 8, np.uint8)
+    pad[: len(buf)] = buf
+    return np.ndarray(len(buf) + 1, "<u8", pad, strides=(1,))
 
-class Prefix:
-    """Span hashes over a sequence of 64-bit values."""
 
-    def __init__(self, values: np.ndarray, which: int = 0) -> None:
-        power, self.inverse = powers(len(values) + 1, which)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * power[: len(values)], out=self.sums[1:])
+def runs(values: np.ndarray, base: int, size: int) -> np.ndarray:
+    """Hashes of all runs of size units; values are those of all runs of base units.
 
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
-
-    def windows(self, size: int) -> np.ndarray:
-        """The hash of every run of size values."""
-        n = len(self.sums) - size
-        return mix((self.sums[size:] - self.sums[:-size]) * self.inverse[:n]) if n > 0 else np.zeros(0, np.uint64)
+    Lengths double, and the last step lets two runs overlap.
+    """
+    reach = base
+    while reach * 2 <= size:
+        values = mix(values[:-reach] * _ODD + values[reach:]) if len(values) > reach else values[:0]
+        reach *= 2
+    rest = size - reach
+    if rest:
+        values = mix(values[:-rest] * _ODD + values[rest:] + U(rest)) if len(values) > rest else values[:0]
+    return values
 
 
 SPACES = np.zeros(256, bool)
@@ -78,22 +70,46 @@ def word_bounds(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return s, e, np.searchsorted(off, s, "right") - 1
 
 
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+
+
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    return mix(Prefix(BYTE_VALUES[which][buf], which).spans(start, end) + (end - start).astype(np.uint64))
+    """A hash of each word's bytes: a chain over eight bytes a step, which gives different words of up to eight bytes different hashes."""
+    size = end - start
+    out = mix(size.astype(np.uint64) + _seed(which))
+    at = eights(buf)
+    live = np.flatnonzero(size <= LONG_WORD)
+    for i in range(0, LONG_WORD, 8):
+        live = live[size[live] > i] if i else live
+        if not len(live):
+            break
+        out[live] = mix((out[live] ^ (at[start[live] + i] & _MASK[np.minimum(size[live] - i, 8)])) * _ODD + U(i + 1))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8, key=bytes([which])).digest(), "little")
+    return out
+
+
+def digests(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of each string's 128-bit BLAKE2b digest, as signed integers."""
+    both = np.frombuffer(b"".join([hashlib.blake2b(s, digest_size=16).digest() for s in strings]), "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of the distinct runs of size words, by text; a text with fewer words has its whole sequence."""
     s, e, doc = word_bounds(buf, off)
     words = np.bincount(doc, minlength=len(off) - 1) if len(doc) else np.zeros(len(off) - 1, np.int64)
-    prefix = Prefix(word_hashes(buf, s, e))
+    values = word_hashes(buf, s, e)
     first = np.r_[0, np.cumsum(words)]
     at = np.arange(len(s))
-    whole = at + size <= first[doc + 1] if len(s) else np.zeros(0, bool)
+    whole = at[at + size <= first[doc + 1]] if len(s) else at
     short = np.flatnonzero((words > 0) & (words < size))
-    begin, owner = np.r_[at[whole], first[short]], np.r_[doc[whole], short]
-    h = prefix.spans(begin, begin + np.minimum(size, words[owner]))
-    h = mix(h + np.minimum(size, words[owner]).astype(np.uint64))
+    few = mix(words[short].astype(np.uint64))
+    for i in range(size - 1):
+        more = words[short] > i
+        few[more] = mix(few[more] * _ODD + values[first[short[more]] + i])
+    owner = np.r_[doc[whole], short]
+    h = np.r_[runs(values, 1, size)[whole], few]
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     new = np.ones(len(h), bool)

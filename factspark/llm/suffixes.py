@@ -5,17 +5,22 @@ in a document with a smaller doc_id, or earlier in the same one.  Overlaps
 count, strings do not cross documents, and all is judged on the input.
 
 The collection is cut into super-k-mers, so that each bucket holds short
-strings only (below 2 * SIZE bytes).  There the Burrows-Wheeler transform of
-all strings grows by one column a round: each string inserts the symbol before
-its last suffix, from right to left, and the place of the longer suffix
-follows from the symbol's rank.  The order of the suffixes that results gives
-the common prefixes of neighbours, and runs with at least SIZE bytes in common
-are the places of one string.
-
-Departure from the method's usual form: the transform and the common prefixes
-are numpy arrays of a bounded bucket instead of external files of the whole
-collection, as a round over all documents would be one pass over all data for
-each byte of the longest.
+strings only (below 2 * SIZE bytes).  All strings of a range of buckets make
+one collection, whose Burrows-Wheeler transform and common prefixes are built
+column by column: a round inserts, for every string that is long enough, the
+suffix that is longer by one symbol.  Its row follows from the rank of its
+first symbol in the transform so far, its common prefix with its neighbours
+from the least common prefix between that symbol and the one before it.  Old
+rows keep their order; a round reads transform and common prefixes once, in
+sequence, and writes them anew.  In the end rows with at least SIZE symbols in
+common are the places of one string, and walking the transform backwards tells
+which places they are.
+
+Departure from the method's usual form: transform and common prefixes are
+arrays of a bounded range of buckets in memory (some ``CHUNK_BYTES``) instead
+of external files of the whole collection.  A round over all documents would
+be a pass over all data for each byte of the longest, and files of a task
+would lie in a folder of one machine.
 
 Null text counts as empty.  Rows that share a doc_id are one document whose
 equal starts do not count as earlier; rows with a null doc_id stay whole.
@@ -38,41 +43,73 @@ from .superkmer import covered, repeated_windows
 SIZE, MINIMISER = 100, 20
 
 
-def suffix_order(strings: list[bytes]) -> np.ndarray:
-    """Places, in the joined strings, of all non-empty suffixes in lexical order; equal ones in the order of the strings.
+def transform_and_prefixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The Burrows-Wheeler transform of strings of less than 256 bytes, and each row's common prefix with the row before.
 
-    After round j, ``rows`` has every suffix of up to j symbols in order, the
-    empty ones first.  A round takes the transform, that is the symbol before
-    each row's suffix (0 where a string begins), and sorts the rows stably by
-    it: rows that begin with a symbol stand in the order of the rows that it
-    precedes.  So each string's next longer suffix finds its place, and the
-    others keep their order.
+    Symbols are dense ranks from 1, 0 stands where a string begins.  The first
+    rows are the empty suffixes in the order of the strings; they differ, as
+    every string has an end mark of its own.
     """
     length = np.array([len(s) for s in strings], np.int64)
     text = np.frombuffer(b"".join(strings), np.uint8)
-    if not len(text):
-        return np.zeros(0, np.int32)
-    # Symbols as dense ranks from 1; an end mark behind each string has a place of its own.
     used = np.flatnonzero(np.bincount(text, minlength=256))
     dense = np.zeros(256, np.uint8 if len(used) < 255 else np.uint16)
     dense[used] = np.arange(1, len(used) + 1)
-    ends = (np.cumsum(length + 1) - 1).astype(np.int32)
-    before = np.zeros(len(text) + len(length), dense.dtype)
-    inner = np.ones(len(before), bool)
-    inner[np.r_[0, ends[:-1] + 1]] = False  # nothing stands before a string's first symbol
-    symbols = np.ones(len(before), bool)
-    symbols[ends] = False
-    laid = np.zeros(len(before), dense.dtype)
-    laid[symbols] = dense[text]
-    before[1:] = laid[:-1]
-    before[~inner] = 0
-    rows = ends
-    for _ in range(int(length.max())):
-        column = before[rows]
-        order = np.argsort(column, kind="stable")
-        rows = np.concatenate([ends, rows[order[np.count_nonzero(column == 0) :]] - 1])
-    rows = rows[len(ends) :]
-    return rows - np.searchsorted(ends, rows).astype(np.int32)  # without the end marks
+    # Each string with a 0 before it: the symbol before the suffix of j symbols is laid[end - j].
+    end = np.cumsum(length + 1) - 1
+    laid = np.zeros(len(text) + len(length), dense.dtype)
+    inner = np.ones(len(laid), bool)
+    inner[end - length] = False
+    laid[inner] = dense[text]
+    m = len(strings)
+    transform, common = laid[end], np.zeros(m, np.uint8)
+    # Strings whose suffix grows, and its row now.
+    end, length, row = end[length > 0], length[length > 0], np.arange(m)[length > 0]
+    size = 1
+    while len(end):
+        n = len(transform)
+        by_symbol = np.argsort(transform, kind="stable")  # one counting pass: the rows that precede each symbol, in order
+        starts = n - int(np.count_nonzero(transform))  # rows where a string begins stand before
+        rank = np.empty(n, np.int64)
+        rank[by_symbol] = np.arange(m - starts, m - starts + n)
+        new = rank[row]
+        # The common prefix of a new row, and of the one behind it: one more than the least between the two symbols.
+        touched = np.unique(np.r_[new, new + 1])
+        touched = touched[touched < m + n - starts]
+        upper = by_symbol[touched - m + starts]
+        lower = by_symbol[np.maximum(touched - 1 - m + starts, 0)]
+        alike = (touched > m) & (transform[upper] == transform[lower])
+        value = np.zeros(len(touched), np.uint8)
+        if alike.any():
+            between = np.stack([lower[alike] + 1, upper[alike] + 1], 1).ravel()
+            value[alike] = np.minimum.reduceat(np.r_[common, np.uint8(0)], between)[::2] + 1
+        old = np.ones(m + n - starts, bool)
+        old[new] = False
+        grown, prefixes = np.empty(len(old), transform.dtype), np.empty(len(old), np.uint8)
+        grown[old], prefixes[old] = transform, common
+        grown[new] = laid[end - size]
+        prefixes[touched] = value
+        transform, common = grown, prefixes
+        longer = length > size
+        end, length, row = end[longer], length[longer], new[longer]
+        size += 1
+    return transform, common
+
+
+def places_of_rows(transform: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each row of a transform the place of its suffix in the joined strings; for empty suffixes the string's end."""
+    rank = np.empty(len(transform), np.int64)
+    rank[np.argsort(transform, kind="stable")] = np.arange(len(transform))
+    out = np.empty(len(transform), np.int64)
+    end, row = np.cumsum(length), np.arange(len(length))
+    out[row] = end
+    size = 1
+    while len(row):
+        longer = length >= size
+        row, end, length = rank[row[longer]], end[longer], length[longer]
+        out[row] = end - size
+        size += 1
+    return out
 
 
 def with_company(strings: list[bytes], buckets: np.ndarray, mid: np.ndarray) -> np.ndarray:
@@ -91,23 +128,22 @@ def by_suffixes(strings: list[bytes], buckets: np.ndarray, ids: np.ndarray, mid:
     """Windows that an earlier string of the bucket also holds; no string holds a window twice."""
     some = with_company(strings, buckets, mid)
     strings = [strings[i] for i in some]
-    rows = suffix_order(strings)
-    text = np.frombuffer(b"".join(strings), np.uint8)
-    first = np.cumsum([0, *map(len, strings)])
-    owner = np.searchsorted(first, rows, "right") - 1
-    full = rows + SIZE <= first[owner + 1]
-    rows, owner = rows[full], owner[full]
-    if not len(rows):
+    if not strings:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    length = np.array([len(s) for s in strings], np.int64)
+    transform, common = transform_and_prefixes(strings)
+    place = places_of_rows(transform, length)
+    at = np.flatnonzero(common >= SIZE)
+    if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(text, SIZE)
-    fresh = np.ones(len(rows), bool)  # the common prefix with the suffix before is shorter than SIZE
-    for a in range(1, len(rows), 50_000):
-        b = min(a + 50_000, len(rows))
-        fresh[a:b] = (views[rows[a:b]] != views[rows[a - 1 : b - 1]]).any(1)
+    first = np.cumsum([0, *length.tolist()])
+    rows = np.unique(np.r_[at, at - 1])
+    fresh = common[rows] < SIZE
+    owner = np.searchsorted(first, place[rows], "right") - 1
     group = np.cumsum(fresh) - 1
     least = np.minimum.reduceat(owner, np.flatnonzero(fresh))
     again = owner != least[group]
-    return some[owner[again]], rows[again] - first[owner[again]]
+    return some[owner[again]], place[rows[again]] - first[owner[again]]
 
 
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:

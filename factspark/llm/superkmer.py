@@ -14,13 +14,19 @@ bucket, and a super-k-mer never holds the same window twice.
 3. A bucket with one content is settled.  In the others the first occurrences
    travel as packed strings to their bucket, many buckets a task; there a
    kernel (sorting, or a collection suffix array) finds windows that an
-   earlier string also holds.  A bucket with more than ``HOT`` strings is
-   dealt by window instead, so that no task gets it whole.
+   earlier string also holds.  The strings of a bucket with more than ``HOT``
+   go to two smaller ones, by the minimiser with half of the rest of a window
+   to its left, and to its right: windows that are equal agree on one side.
+   Only a half that more than ``HOT`` strings share is dealt by window.
+
+Contents are compared by their BLAKE2b digests of 128 bits, windows by two
+64-bit hashes; the kernels compare the units themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLOCK_BYTES, blocks, cut, map_batches, small_batches, text_bytes
-from .rolling import BYTE_VALUES, Prefix, U, mix, word_bounds, word_hashes
+from .rolling import U, digests, eights, mix, runs, word_bounds, word_hashes
 
 #: Strings of a bucket that go to one task at most, and bytes of strings a task's group aims at.
 HOT, GROUP_BYTES, CHUNK_BYTES = 5_000, 1 << 20, 100_000
@@ -49,22 +55,25 @@ class Units:
             self.off = off
         self.n = int(self.off[-1])
 
-    def values(self, which: int = 0) -> np.ndarray:
-        return word_hashes(self.buf, self.start, self.end, which) if self.words else BYTE_VALUES[which][self.buf]
-
-    def packed(self, a: int, b: int) -> bytes:
+    def windows(self, size: int, which: int = 0) -> np.ndarray:
+        """A hash of each run of size units (of eight bytes at least) of the block."""
         if self.words:
-            return b" ".join(self.buf[s:e].tobytes() for s, e in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True))
-        return self.buf[a:b].tobytes()
+            return runs(word_hashes(self.buf, self.start, self.end, which), 1, size)
+        at = eights(self.buf)[: max(0, len(self.buf) - 7)]
+        return runs(mix(at + U(which)) if which else at, 8, size)
+
 
+def _packed(raw: bytes, words: bool) -> bytes:
+    """The units that raw consists of, words parted by single spaces."""
+    return b" ".join(raw.split()) if words else raw
 
-def super_kmers(values: np.ndarray, off: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, number of windows, minimiser's place, its hash) of each super-k-mer of a block."""
-    n = len(values)
+
+def super_kmers(h: np.ndarray, off: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, number of windows, minimiser's place, its hash) of each super-k-mer of a block, from the hashes of its runs of m units."""
+    n = int(off[-1])
     none = np.zeros(0, np.int64)
     if n < k:
         return none, none, none, none, np.zeros(0, np.uint64)
-    h = Prefix(values).windows(m)
     least = (h >> U(_PLACE) << U(_PLACE)) | np.arange(len(h), dtype=np.uint64)
     width, reach = k - m + 1, 1
     while reach * 2 <= width:  # the smallest of 2, 4, ... runs
@@ -83,8 +92,8 @@ def super_kmers(values: np.ndarray, off: np.ndarray, k: int, m: int) -> tuple[np
     return d[first], window[first], np.diff(np.r_[first, len(window)]), p[first], h[p[first]]
 
 
-def _units(batch: pa.RecordBatch, words: bool, k: int, long: int) -> Iterator[tuple[int, int, int, Units]]:
-    """Row ranges of a batch as blocks, and the place of the block's first unit in its text.
+def _units(batch: pa.RecordBatch, words: bool, k: int, long: int) -> Iterator[tuple[int, int, int, int, Units]]:
+    """Row ranges of a batch as blocks, and the place of the block's first unit, and of its first byte, in its text.
 
     A text of more than long bytes comes in parts that share k - 1 units, so
     that each window is in one part and no array grows with the text.
@@ -93,17 +102,17 @@ def _units(batch: pa.RecordBatch, words: bool, k: int, long: int) -> Iterator[tu
     for a, b in blocks(off, min(BLOCK_BYTES, long)):
         text = buf[off[a] : off[b]]
         if b - a > 1 or len(text) <= long:
-            yield a, b, 0, Units(text, off[a : b + 1] - off[a], words)
+            yield a, b, 0, 0, Units(text, off[a : b + 1] - off[a], words)
         elif not words:
             for s in range(0, len(text) - k + 1, long):
                 part = text[s : s + long + k - 1]
-                yield a, b, s, Units(part, np.array([0, len(part)]), False)
+                yield a, b, s, s, Units(part, np.array([0, len(part)]), False)
         else:
             start, end, _ = word_bounds(text, np.array([0, len(text)]))
             step = max(1, long // 8)
             for i in range(0, len(start) - k + 1, step):
                 part = text[start[i] : end[min(i + step + k - 1, len(start)) - 1]]
-                yield a, b, i, Units(part, np.array([0, len(part)]), True)
+                yield a, b, i, int(start[i]), Units(part, np.array([0, len(part)]), True)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -116,8 +125,8 @@ def _minimisers(docs: DataFrame, words: bool, k: int, m: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        for a, b, _, u in _units(batch, words, k, long):
-            doc, _, _, _, h = super_kmers(u.values(), u.off, k, m)
+        for a, b, _, _, u in _units(batch, words, k, long):
+            doc, _, _, _, h = super_kmers(u.windows(m), u.off, k, m)
             order = np.lexsort((h, doc))
             doc, h = doc[order], h[order]
             first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
@@ -128,59 +137,97 @@ def _minimisers(docs: DataFrame, words: bool, k: int, m: int) -> DataFrame:
 
 
 def _listed(docs: DataFrame, words: bool, k: int, m: int) -> DataFrame:
-    """h, c1, c2, doc_id, start, windows, mid (the minimiser's place from the start): the super-k-mers of docs (doc_id, text, hs) whose minimiser is in hs."""
+    """h, c1, c2, doc_id, start, windows, mid, at, size: the super-k-mers of docs (doc_id, text, hs) whose minimiser is in hs.
+
+    c1 and c2 are the digest of the content, mid is the minimiser's place from
+    the start; at and size are the content's bytes in the text, for words only.
+    """
     long = LONG_BYTES
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         wanted = batch.column("hs")
-        for a, b, base, u in _units(batch, words, k, long):
+        _, text = text_bytes(batch.column("text"))
+        for a, b, base, first_byte, u in _units(batch, words, k, long):
             lists = wanted.slice(a, b - a)
             count = np.array(pa.compute.list_value_length(lists).to_pylist(), np.int64)
             hs = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            values = u.values()
-            doc, start, windows, place, h = super_kmers(values, u.off, k, m)
+            doc, start, windows, place, h = super_kmers(u.windows(m), u.off, k, m)
             here = mix(h ^ mix(doc.astype(np.uint64) + U(1)))
             keep = np.isin(here, mix(hs ^ mix(np.repeat(np.arange(b - a, dtype=np.uint64), count) + U(1))))
             doc, start, windows, place, h = doc[keep], start[keep], windows[keep], place[keep], h[keep]
             end = start + windows + k - 1
-            c1, c2 = Prefix(values).spans(start, end), Prefix(u.values(1), 1).spans(start, end)
+            first, last = (u.start[start], u.end[end - 1]) if words else (start, end)
+            raw = u.buf.tobytes()
+            c1, c2 = digests([_packed(raw[x:y], words) for x, y in zip(first.tolist(), last.tolist(), strict=True)])
+            at = first - (text[a:b] - text[a])[doc] + first_byte if words else np.zeros(len(doc), np.int64)
+            size = last - first if words else at
             yield pa.RecordBatch.from_arrays(
-                [_signed(h), _signed(c1), _signed(c2), pa.array(ids[a:b][doc]), pa.array((start - u.off[doc] + base).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array((place - start).astype(np.int32))],
-                names=["h", "c1", "c2", "doc_id", "start", "windows", "mid"],
+                [_signed(h), _signed(c1), _signed(c2), pa.array(ids[a:b][doc]), *(pa.array(x.astype(np.int32)) for x in (start - u.off[doc] + base, windows, place - start, at, size))],
+                names=["h", "c1", "c2", "doc_id", "start", "windows", "mid", "at", "size"],
             )
 
-    return map_batches(docs, run, "h long, c1 long, c2 long, doc_id long, start int, windows int, mid int")
+    return map_batches(docs, run, "h long, c1 long, c2 long, doc_id long, start int, windows int, mid int, at int, size int")
 
 
-def _strings(docs: DataFrame, words: bool, k: int) -> DataFrame:
-    """h, doc_id, start, mid, packed, w1, w2 for docs (doc_id, text, at: places as struct(h, start, windows, mid, hot)).
+_STRING = "h long, doc_id long, start int, mid int, packed binary, hot boolean"
 
-    A hot place gives a row for each window, with its hash in w1 and w2; any other one row with its packed string.
-    """
+
+def _strings(docs: DataFrame, words: bool, k: int) -> DataFrame:
+    """h, doc_id, start, mid, packed, hot for docs (doc_id, text, at: places as struct(h, start, windows, mid, at, size, hot))."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, wanted = batch.column("doc_id").to_pylist(), batch.column("at").to_pylist()
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         buf, off = text_bytes(batch.column("text"))
+        wanted = batch.column("at")
+        doc = np.repeat(np.arange(batch.num_rows), np.array(pa.compute.list_value_length(wanted).to_pylist(), np.int64))
+        places = wanted.flatten()
+        of = lambda name: places.field(name).to_numpy(zero_copy_only=False)
+        first = off[doc] + (of("at") if words else of("start"))
+        last = first + (of("size") if words else of("windows") + (k - 1))
+        raw = memoryview(buf)
+        for a, b in blocks(np.r_[0, np.cumsum(last - first)]):
+            packed = [_packed(bytes(raw[x:y]), words) for x, y in zip(first[a:b].tolist(), last[a:b].tolist(), strict=True)]
+            columns = [places.field("h").slice(a, b - a), pa.array(ids[doc[a:b]]), places.field("start").slice(a, b - a), places.field("mid").slice(a, b - a), pa.array(packed, pa.binary()), places.field("hot").slice(a, b - a)]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "doc_id", "start", "mid", "packed", "hot"])
+
+    return map_batches(docs, run, _STRING)
+
+
+def _halves(strings: DataFrame, words: bool, k: int, m: int) -> DataFrame:
+    """The strings once for each side of the minimiser that has half of the rest of a window; h is the hash of that half with the minimiser."""
+    half = (k - m + 1) // 2
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        row, keys = [], []
+        for i, (s, p) in enumerate(zip(batch.column("packed").to_pylist(), batch.column("mid").to_pylist(), strict=True)):
+            units = s.split(b" ") if words else s
+            for side in (units[p - half : p + m] if p >= half else b"", units[p : p + m + half]):
+                if len(side) == half + m:
+                    row.append(i)
+                    keys.append(b" ".join(side) if words else side)
+        if row:
+            out = batch.take(pa.array(row))
+            yield out.set_column(0, "h", _signed(digests(keys)[0]))
+
+    return map_batches(strings, run, _STRING)
+
+
+def _by_window(strings: DataFrame, words: bool, k: int) -> DataFrame:
+    """w1, w2, doc_id, start: two hashes of each window of the strings."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, starts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("start").to_numpy(zero_copy_only=False)
+        buf, off = text_bytes(batch.column("packed"))
         for a, b in blocks(off):
             u = Units(buf[off[a] : off[b]], off[a : b + 1] - off[a], words)
-            rows: list[tuple] = []
-            w1 = w2 = None
-            for i in range(a, b):
-                base = int(u.off[i - a])
-                for p in wanted[i]:
-                    s = base + p["start"]
-                    if p["hot"]:
-                        if w1 is None:
-                            w1, w2 = Prefix(u.values()).windows(k).view(np.int64), Prefix(u.values(1), 1).windows(k).view(np.int64)
-                        rows += [(p["h"], ids[i], p["start"] + j, 0, None, int(w1[s + j]), int(w2[s + j])) for j in range(p["windows"])]
-                    else:
-                        rows.append((p["h"], ids[i], p["start"], p["mid"], u.packed(s, s + p["windows"] + k - 1), 0, 0))
-            if rows:
-                types = {"h": pa.int64(), "doc_id": pa.int64(), "start": pa.int32(), "mid": pa.int32(), "packed": pa.binary(), "w1": pa.int64(), "w2": pa.int64()}
-                yield pa.RecordBatch.from_pydict({n: pa.array(x, t) for (n, t), x in zip(types.items(), zip(*rows, strict=True), strict=True)})
-
-    return map_batches(docs, run, "h long, doc_id long, start int, mid int, packed binary, w1 long, w2 long")
+            w1, w2 = u.windows(k), u.windows(k, 1)
+            string = np.repeat(np.arange(b - a), np.diff(u.off))[: len(w1)]
+            at = np.flatnonzero(np.arange(len(w1)) + k <= u.off[string + 1])
+            string = string[at]
+            yield pa.RecordBatch.from_arrays([_signed(w1[at]), _signed(w2[at]), pa.array(ids[a:b][string]), pa.array((starts[a:b][string] + at - u.off[string]).astype(np.int32))], names=["w1", "w2", "doc_id", "start"])
+
+    return map_batches(strings, run, "w1 long, w2 long, doc_id long, start int")
 
 
 #: From strings of whole buckets (bucket, doc_id, start, mid, packed), sorted by the first three: (string, window in it) of windows that an earlier place holds.
@@ -207,14 +254,23 @@ def repeated_windows(docs: DataFrame, k: int, m: int, words: bool, same_doc: boo
     per = cut(contents.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1"))
     later = (F.col("doc_id") != F.col("first.doc_id")) | ((F.col("start") != F.col("first.start")) if same_doc else F.lit(False))
     # The first places of contents in buckets with several; without same_doc all places in the first document.
-    marked = cut(listed.join(contents, ["h", "c1", "c2"]).join(per, "h", "left").select("h", "doc_id", "start", "windows", "mid", later.alias("later"), "many").filter("later or many is not null"))
+    marked = cut(listed.join(contents, ["h", "c1", "c2"]).join(per, "h", "left").select("h", "doc_id", "start", "windows", "mid", "at", "size", later.alias("later"), "many").filter("later or many is not null"))
     whole = marked.filter("later").select("doc_id", "start", "windows")
 
-    open_ = marked.filter("not later").groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "windows", "mid", (F.col("many") > HOT).alias("hot"))).alias("at"))
+    open_ = marked.filter("not later").groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "windows", "mid", "at", "size", (F.col("many") > HOT).alias("hot"))).alias("at"))
     strings = cut(_strings(docs.join(open_, "doc_id"), words, k))
-    size = strings.agg(F.sum(F.length("packed"))).first()[0] or 0
+    found = [whole]
+    dealt = strings.filter("not hot")
+    if not strings.filter("hot").isEmpty():
+        sides = cut(_halves(strings.filter("hot"), words, k, m))
+        full = cut(sides.groupBy("h").agg(F.count("*").alias("many")).filter(F.col("many") > HOT).select("h"))
+        dealt = dealt.unionByName(sides.join(full, "h", "left_anti"))
+        windows = cut(_by_window(sides.join(full, "h", "left_semi"), words, k))
+        first = cut(windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("w1", "w2", "first"))
+        found.append(windows.join(first, ["w1", "w2"]).filter(later).select("doc_id", "start", F.lit(1).alias("windows")))
+    size = dealt.agg(F.sum(F.length("packed"))).first()[0] or 0
     parts = max(1, -(-size // GROUP_BYTES))
-    dealt = strings.filter("packed is not null").select(F.pmod(F.xxhash64("h"), F.lit(parts)).alias("part"), "h", "doc_id", "start", "mid", "packed")
+    dealt = dealt.select(F.pmod(F.xxhash64("h"), F.lit(parts)).alias("part"), "h", "doc_id", "start", "mid", "packed")
 
     def in_bucket(group: pa.Table) -> pa.Table:
         group = group.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
@@ -225,8 +281,8 @@ def repeated_windows(docs: DataFrame, k: int, m: int, words: bool, same_doc: boo
         upto = np.r_[0, np.cumsum([len(x) for x in strings])]
         chunk = upto[bucket] // CHUNK_BYTES
         cuts = [*bucket[np.r_[True, chunk[1:] != chunk[:-1]]].tolist(), len(h)]
-        found = [(a, kernel(strings[a:b], h[a:b], ids[a:b], mid[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        string, window = np.concatenate([a + x for a, (x, _) in found]), np.concatenate([y for _, (_, y) in found])
+        kept = [(a, kernel(strings[a:b], h[a:b], ids[a:b], mid[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        string, window = np.concatenate([a + x for a, (x, _) in kept]), np.concatenate([y for _, (_, y) in kept])
         order = np.lexsort((window, string))
         string, window = string[order], window[order]
         first = np.flatnonzero(np.r_[True, (string[1:] != string[:-1]) | (window[1:] != window[:-1] + 1)]) if len(string) else np.zeros(0, np.int64)
@@ -234,10 +290,8 @@ def repeated_windows(docs: DataFrame, k: int, m: int, words: bool, same_doc: boo
         return pa.table({"doc_id": pa.array(ids[string[first]], pa.int64()), "start": pa.array(starts[string[first]] + window[first], pa.int32()), "windows": pa.array(run, pa.int32())})
 
     inside = dealt.groupBy("part").applyInArrow(in_bucket, "doc_id long, start int, windows int")
-    hot = strings.filter("packed is null").select("w1", "w2", "doc_id", "start")
-    first = hot.groupBy("w1", "w2").agg(F.min(place).alias("first"))
-    by_window = hot.join(first, ["w1", "w2"]).filter(later).select("doc_id", "start", F.lit(1).alias("windows"))
-    return whole.unionAll(inside).unionAll(by_window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    spans = reduce(DataFrame.unionAll, [*found, inside])
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 
 def covered(n: int, spans: list[dict] | None, k: int) -> np.ndarray:

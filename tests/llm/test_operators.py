@@ -232,10 +232,11 @@ def test_url_templates(spark):
 # ---- 5 and 7
 
 
-@pytest.mark.parametrize("long", [4 << 20, 3000])
-def test_repeated_words(spark, monkeypatch, long):
+@pytest.mark.parametrize(("hot", "long"), [(5_000, 4 << 20), (1, 3000)])
+def test_repeated_words(spark, monkeypatch, hot, long):
     from factspark.llm import superkmer
 
+    monkeypatch.setattr(superkmer, "HOT", hot)
     monkeypatch.setattr(superkmer, "LONG_BYTES", long)
     texts = edge_texts(random.Random(1))
     first, expected = {}, {}
@@ -271,13 +272,47 @@ def test_repeated_bytes(spark, monkeypatch, hot, long):
     assert got == expected and sum(x[1] for x in got.values()) > 2000
 
 
-def test_suffix_order():
+def test_transform_and_prefixes():
     rng = random.Random(3)
-    for _ in range(100):
+    for _ in range(150):
         strings = [bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 8))]
         first = np.cumsum([0, *map(len, strings)])
-        expected = sorted((s[j:], i, int(first[i]) + j) for i, s in enumerate(strings) for j in range(len(s)))
-        assert suffixes.suffix_order(strings).tolist() == [x[2] for x in expected]
+        rows = sorted((s[j:], i, j) for i, s in enumerate(strings) for j in range(len(s) + 1))  # ends rank by string, before all symbols
+        transform, common = suffixes.transform_and_prefixes(strings)
+        used = sorted({b for s in strings for b in s})
+        assert transform.tolist() == [used.index(strings[i][j - 1]) + 1 if j else 0 for _, i, j in rows]
+        shared = lambda x, y: next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+        assert common.tolist() == [0, *(shared(x[0], y[0]) for x, y in zip(rows[:-1], rows[1:], strict=True))]
+        assert suffixes.places_of_rows(transform, np.array([len(s) for s in strings])).tolist() == [int(first[i]) + j for _, i, j in rows]
+
+
+def thue_morse(n, a, b):
+    """n symbols and their complement: equal under every polynomial hash modulo a power of two from some length on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [2048, 4096])
+def test_no_collisions_of_patterns(spark, n):
+    """Neither long words nor long runs of two words collide with their complements."""
+    word, other = thue_morse(n, "a", "b")
+    tail = " ".join(f"w{i}" for i in range(49))
+    assert [r["n_removed"] for r in substring.remove_repeats(docs_of(spark, [f"{word} {tail}", f"{other} {tail}"])).collect()] == [0, 0]
+    both = [x.replace("a", "x ").replace("b", "y ") for x in (word, other)]
+    docs = docs_of(spark, [word, other, *both])
+    assert all(r["kept"] for r in minhash.near_duplicates(docs_of(spark, [word, other])).collect())
+    for op, size in ((substring, 50), (suffixes, 100)):
+        cut = lambda t: t.encode().split() if size == 50 else t.encode()  # noqa: E731, B023
+        texts, seen, gone = [word, other, *both], {}, {}
+        for i, t in enumerate(texts):
+            units = cut(t)
+            flags = [False] * len(units)
+            for j in range(len(units) - size + 1):
+                w = tuple(units[j : j + size])
+                if (seen.setdefault(w, i) < i) if size == 50 else (seen.setdefault(w, (i, j)) != (i, j)):
+                    flags[j : j + size] = [True] * size
+            gone[i] = sum(flags)
+        assert {r["doc_id"]: r["n_removed"] for r in op.remove_repeats(docs).collect()} == gone
 
 
 # ---- 6
