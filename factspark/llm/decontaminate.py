@@ -8,28 +8,33 @@ there, and every word inside a window is hit.
 
 The automata are broadcast.  Items are taken in blocks of at most
 ``BLOCK_WORDS`` words, so that each automaton has a bound whatever the size of
-the benchmark; each block is streamed over all documents and the hits of the
-blocks are joined (the usual case is a single block).
+the benchmark.  A task reads its documents once, holds some ``HELD_BYTES`` of
+them, and streams those through one automaton after the other; what the blocks
+find is united for each row, so that the result does not depend on the blocks.
 
 Null text has no words.  Without items nothing is hit.  Repeated rows give
-repeated results when there is one block, and so do equal items: each counts.
-Extra columns of either input are ignored by ``decontamination_report`` and
-kept by ``remove_contaminated``.
+repeated results, and equal items each count.  An item's null id counts as the
+string "None".  Extra columns of either input are ignored by
+``decontamination_report`` and kept by ``remove_contaminated``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import map_batches, small_batches
+from .common import small_batches
 
 #: Words of one automaton at most: some 100 MB in a worker.
 BLOCK_WORDS = 300_000
+#: Bytes of documents that a task holds while it goes through the blocks.
+HELD_BYTES = 32 << 20
 #: Every byte that is no part of a word becomes a space; A-Z become a-z.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -116,9 +121,10 @@ class Automaton:
         symbols = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
         edge = np.flatnonzero(np.diff(np.r_[0, symbols != 0, 0]))
         spans: list[tuple[int, int]] = []
-        found: set[int] = set()
+        anchors: set[int] = set()
+        ended: set[tuple[int, int]] = set()
         longest, size = 0, self.size
-        nxt, link, length, anchor, items, above, short = self.next, self.link, self.length, self.anchor, self.items, self.above, self.short
+        nxt, link, length, anchor, above, short = self.next, self.link, self.length, self.anchor, self.above, self.short
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             if b - a < self.least:  # no window fits between words that no item has
                 continue
@@ -134,19 +140,21 @@ class Automaton:
                     longest = l
                 start = i
                 if l >= size:
-                    found |= items[anchor[v]]
+                    anchors.add(anchor[v])
                     start = i - size
                 u = above[v]
                 while u > 0:
-                    for n, ks in short[u].items():
+                    for n in short[u]:
                         if n <= l:
-                            found |= ks
+                            ended.add((u, n))
                             start = min(start, i - n)
                     u = above[link[u]]
                 if start < i:
                     while spans and spans[-1][1] >= start:
                         start = min(start, spans.pop()[0])
                     spans.append((start, i))
+        # A window's items are united once, however often the document has it.
+        found = set().union(*(self.items[x] for x in anchors), *(short[u][n] for u, n in ended))
         return spans, found, longest
 
 
@@ -166,42 +174,70 @@ def automata(items: DataFrame, size: int) -> Iterator[Automaton]:
         yield Automaton(block, size)
 
 
-def _hits(docs: DataFrame, automaton: Automaton | None) -> DataFrame:
-    """doc_id, n_words, spans, items, longest of each row."""
-    small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(automaton)
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as disjoint spans in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+Found = tuple[list[tuple[int, int]], set[str], int]
+
+
+def _matched(texts: list[list[bytes]], held: list[Broadcast]) -> list[Found]:
+    """Spans, items and longest match of each text, over all automata; only one of several is in memory at a time."""
+    found: list[Found] = [([], set(), 0) for _ in texts]
+    for block in held:
+        sam = block.value
+        for i, words in enumerate(texts):
+            spans, items, longest = sam.match(words)
+            before = found[i]
+            found[i] = united(before[0] + spans) if before[0] else spans, before[1] | {sam.ids[k] for k in items}, max(before[2], longest)
+        if len(held) > 1:
+            del sam, block._value
+    return found
+
+
+def _with_matches(docs: DataFrame, items: DataFrame, size: int, rows: Callable[[pa.RecordBatch, list[list[bytes]], list[Found]], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """rows of each batch of docs, its words and what the automata of the items find in it."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    held = [spark.sparkContext.broadcast(sam) for sam in automata(items, size)]
+
+    def answers(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = [[words_of(t.as_py()) for t in b.column("text")] for b in batches]
+        found = iter(_matched([w for ws in words for w in ws], held))
+        for batch, ws in zip(batches, words, strict=True):
+            yield rows(batch, ws, [next(found) for _ in ws])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(batch)
+            if waiting and (len(held) < 2 or sum(b.nbytes for b in waiting) > HELD_BYTES):
+                yield from answers(waiting)
+                waiting = []
+        if waiting:
+            yield from answers(waiting)
+
+    return docs.mapInArrow(run, schema)
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sam, rows = held.value, []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            words = words_of(text.as_py())
-            spans, found, longest = sam.match(words) if sam else ([], set(), 0)
-            rows.append((doc_id, len(words), [{"start": a, "end": b} for a, b in spans], sorted({sam.ids[k] for k in found}) if found else [], longest))
-        ids, n, spans, items, longest = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())], names=["doc_id", "n_words", "spans", "items", "longest"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>, longest long")
+def decontamination_hits(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """doc_id, n_words, spans (of words hit, disjoint, in order), items (ids as sorted strings), longest (matching length) of each row."""
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    def rows(batch: pa.RecordBatch, words: list[list[bytes]], found: list[Found]) -> pa.RecordBatch:
+        spans = [[{"start": a, "end": b} for a, b in s] for s, _, _ in found]
+        columns = [pa.array(map(len, words), pa.int64()), pa.array(spans, span), pa.array([sorted(x) for _, x, _ in found], pa.list_(pa.string())), pa.array([x for _, _, x in found], pa.int64())]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_words", "spans", "items", "longest"])
 
-def decontamination_hits(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """doc_id, n_words, spans (of words hit, disjoint, in order), items (ids as sorted strings), longest (matching length)."""
-    parts = [_hits(docs, sam) for sam in automata(items, size)] or [_hits(docs, None)]
-    if len(parts) == 1:
-        return parts[0]
-    together = parts[0]
-    for p in parts[1:]:
-        together = together.unionAll(p)
-    merged = together.groupBy("doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
-    return merged.withColumn(
-        "spans",
-        F.expr(
-            "aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint>>), (acc, x) -> "
-            "if(size(acc) > 0 and element_at(acc, -1).end >= x.start, "
-            "concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end)))), "
-            "concat(acc, array(x))))"
-        ),
-    )
+    return _with_matches(docs.select("doc_id", "text"), items, size, rows, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>, longest long")
 
 
 def decontamination_report(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
@@ -220,28 +256,21 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, max_l
     A document goes if the share of its words that is hit exceeds
     ``max_coverage``, or if its longest match exceeds ``max_length`` words;
     with coverage 0, any window is enough.  In documents that stay, the hit
-    spans are cut out of the text.  An automaton reads the text in the same
-    pass that filters it, so that no join brings texts and hits together; with
-    several blocks of items the blocks apply one after the other.
+    spans are cut out of the text.  Both are judged on the whole text and all
+    items.  The automata read the text in the same pass that filters it, so
+    that no join brings texts and hits together.
     """
-    small_batches(docs.sparkSession)
-    for sam in list(automata(items, size)):
-        held = docs.sparkSession.sparkContext.broadcast(sam)
-
-        def run(batch: pa.RecordBatch, held=held) -> Iterator[pa.RecordBatch]:
-            keep, texts = [], []
-            for text in batch.column("text"):
-                text = text.as_py()  # noqa: PLW2901
-                words = words_of(text)
-                spans, _, longest = held.value.match(words)
-                hit = sum(b - a for a, b in spans)
-                keep.append(not hit or (hit <= max_coverage * len(words) and (max_length is None or longest <= max_length)))
-                texts.append(_cut(text, spans) if hit and keep[-1] else text)
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).filter(pa.array(keep))
-
-        docs = map_batches(docs, run, docs.schema)
-    return docs
+
+    def rows(batch: pa.RecordBatch, words: list[list[bytes]], found: list[Found]) -> pa.RecordBatch:
+        keep, texts = [], []
+        for text, ws, (spans, _, longest) in zip(batch.column("text"), words, found, strict=True):
+            hit = sum(b - a for a, b in spans)
+            keep.append(not hit or (hit <= max_coverage * len(ws) and (max_length is None or longest <= max_length)))
+            texts.append(_cut(text.as_py(), spans) if hit and keep[-1] else text.as_py())
+        at = batch.schema.get_field_index("text")
+        return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).filter(pa.array(keep))
+
+    return _with_matches(docs, items, size, rows, docs.schema)
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:

@@ -117,6 +117,21 @@ def test_decontamination(spark, monkeypatch, block):
     assert len(got) == len(texts)
 
 
+def test_decontamination_does_not_depend_on_blocks(spark, monkeypatch):
+    """Coverage is of the whole text and all items; repeated rows and ids give rows each; a window of all items counts for all."""
+    items = spark.createDataFrame([(f"i{k}", f"a{k} b{k} c{k} d{k} e{k} s t u v w") for k in range(6)], "item_id string, text string")
+    rows = [(1, "x " * 10 + "a1 b1 c1 d1 e1 and a2 b2 c2 d2 e2"), (1, "x " * 10 + "a1 b1 c1 d1 e1 and a2 b2 c2 d2 e2"), (1, "other a3 b3 c3 d3 e3"), (2, "s t u v w"), (None, "a1 b1 c1 d1 e1"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    results = []
+    for block, held in ((10_000, 1 << 20), (10, 1 << 20), (10, 1)):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+        monkeypatch.setattr(decontaminate, "HELD_BYTES", held)
+        report = sorted((tuple(r) for r in decontaminate.decontamination_report(docs, items, 5).collect()), key=str)
+        results.append((report, [sorted(map(str, decontaminate.remove_contaminated(docs, items, 5, max_coverage=c).collect())) for c in (0.3, 0.5, 1)]))
+    assert results[0] == results[1] == results[2] and len(results[0][0]) == len(rows)
+    assert {r[3] for r in results[0][0] if r[0] == 2} == {6} and not any("doc_id=1, text='x" in x for x in results[0][1][0]) and sum("doc_id=1, text='x" in x for x in results[0][1][1]) == 2
+
+
 def test_decontamination_removes(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
     texts = ["clean text", "a b c d e f One two, three four five six seven eight nine ten! g", None]
