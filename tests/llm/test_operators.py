@@ -403,31 +403,71 @@ def test_components(spark):
 # ---- 9
 
 
+def shingle_set(t):
+    w = [x for x in re.split(r"[\x20\x09-\x0d]+", t) if x]
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def test_fingerprints(spark):
     rows = op9_fingerprints(spark, SF).collect()
     texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.coalesce("text", F.lit(""))).collect())
     order = sorted(texts, reverse=True)
     after = {d: order[(i + 1) % len(order)] for i, d in enumerate(order)}
-    shingle = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))([x for x in re.split(r"[\x20\x09-\x0d]+", t) if x])
-    off, by_text = [], defaultdict(set)
+    off, next_off, inside, by_text = [], [], [], defaultdict(set)
     for r in rows:
         t, nxt = texts[r["doc_id"]], texts[after[r["doc_id"]]]
         third = len(t) // 3
         new = t[: len(t) - third] + nxt[:third]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == sha(new)
-        a, b = shingle(t), shingle(new)
-        true = len(a & b) / len(a | b) if a | b else 1.0
-        off.append(abs(r["near_edited"] - true))
+        a, b, c = shingle_set(t), shingle_set(new), shingle_set(nxt)
+        off.append(abs(r["near_edited"] - alike(a, b)))
+        next_off.append(abs(r["near_next"] - alike(a, c)))
+        if r["contained_in_edited"] is not None:
+            inside.append(abs(r["contained_in_edited"] - len(a & b) / max(1, len(a))))
         if len(a) <= fingerprint.FLOOR and len(b) <= fingerprint.FLOOR:
-            assert r["near_edited"] == pytest.approx(true)
+            assert r["near_edited"] == pytest.approx(alike(a, b))
         by_text[t].add(r["fingerprint"])
-    assert len(rows) == len(texts) and np.mean(off) < 0.05 and all(len(x) == 1 for x in by_text.values())
+        by_text[new].add(r["edited_fingerprint"])
+    assert len(rows) == len(texts) and np.mean(off) < 0.03 and np.mean(next_off) < 0.02 and np.mean(inside) < 0.05 and len(inside) > 0.95 * len(rows)
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_fingerprint_containment_of_unequal_texts(spark):
+    """A short text held whole in a long one, for many pairs: the share is 1, whatever the sizes."""
+    rng = random.Random(11)
+    pairs = []
+    for i in range(40):
+        short, filler = prose(rng, 40, 10**6), prose(rng, 4000 * (1 + i % 5), 10**6)
+        pairs.append((short, filler + " " + short + " " + filler[::-1]))
+    df = spark.createDataFrame(pairs, "a string, b string").select(*[fingerprint.sketch(fingerprint.shingle_hashes(F.col(c))).alias(c) for c in "ab"])
+    got = df.select(fingerprint.containment(F.col("a"), F.col("b")).alias("ab"), fingerprint.containment(F.col("b"), F.col("a")).alias("ba"), F.size("a.kept").alias("n")).collect()
+    assert all(r["ab"] == 1.0 for r in got) and all(r["ba"] < 0.05 for r in got) and all(r["n"] for r in got)
+
+
+def test_next_document_for_any_ids(spark, monkeypatch):
+    """One outlier, a third of the ids null and one id repeated: the order holds, and no bucket has more than its share."""
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(fingerprint, "INTERVALS", 16)
+    ids = [*range(900), 10**15, *[None] * 700, *[5] * 300]
+    docs = spark.createDataFrame([(i, f"t{k} a b", "x", "y") for k, i in enumerate(ids)], "doc_id long, text string, bucket string, mark string")
+    id_of = F.coalesce("doc_id", F.lit(-1))
+    bucket = fingerprint.buckets(docs.select(id_of.alias("id")))
+    assert docs.groupBy(bucket(id_of, F.xxhash64("text")).alias("b")).count().agg(F.max("count")).first()[0] <= 2 * len(ids) / 16
+    mark = dict(docs.select("text", F.xxhash64("text")).collect())
+    order = sorted(docs.collect(), key=lambda r: (1 if r["doc_id"] is None else -r["doc_id"], mark[r["text"]]))
+    expected = {r["text"]: order[(i + 1) % len(order)]["text"] for i, r in enumerate(order)}
+    out = fingerprint.with_next(docs, F.length).collect()
+    assert {r["text"]: r["next_text"] for r in out} == expected and len(out) == len(ids) and all(r["next_own"] == len(r["next_text"]) for r in out)
 
 
 def test_fingerprint_edges(spark):
-    docs = spark.createDataFrame([(5, None), (9, ""), (7, "a b c"), (7, "a b c"), (None, "z"), (1000, "x " * 50)], "doc_id long, text string")
+    docs = spark.createDataFrame([(5, None), (9, ""), (7, "a b c"), (7, "a b c"), (None, "z"), (1000, "x " * 50), (1001, prose(random.Random(1), 30_000, 10**6))], "doc_id long, text string")
     out = fingerprint.fingerprints(docs).select("doc_id", fingerprint.likeness(F.col("own"), F.col("own")).alias("l"), fingerprint.containment(F.col("own"), fingerprint.merge(F.col("own"), F.col("next_sketch"))).alias("c")).collect()
-    assert len(out) == 6 and {r["l"] for r in out} == {1.0} and {r["c"] for r in out} <= {1.0, None}
+    assert len(out) == 7 and {r["l"] for r in out} == {1.0} and {r["c"] for r in out} <= {1.0, None}
     assert fingerprint.fingerprints(docs.limit(0)).count() == 0
 
 
