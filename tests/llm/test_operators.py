@@ -227,21 +227,145 @@ def test_line_dedup_short_lines(spark):
     ],
 )
 def test_url_rules(spark, url, host, path, rule, verdict):
-    df = url_filter.with_host_path(spark.createDataFrame([(url,)], "url string"))
-    name, kind = url_filter.rule_of(URL_RULES, F.col("host"), F.col("path"))
-    r = df.select("host", "path", name.alias("rule"), F.coalesce(kind, F.lit("allow")).alias("verdict")).first()
+    df = url_filter.with_rules(url_filter.with_host_path(spark.createDataFrame([(url,)], "url string")), URL_RULES)
+    r = df.select("host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict")).first()
     assert tuple(r) == (host, path, rule, verdict)
 
 
+def test_url_rules_of_any_number(spark):
+    rules = [("block", f"h{i}.net", "/a") for i in range(3000)] + [("allow", "net", "/"), ("allow", "h7.net", "/a"), ("block", "h8.net", "/a/b")]
+    urls = ["http://x.h2999.net/ab", "http://h7.net/a", "http://h8.net/a/b", "http://q.net/", "http://q.org/"]
+    df = url_filter.with_rules(url_filter.with_host_path(spark.createDataFrame([(u,) for u in urls], "url string")), rules)
+    assert {r["url"]: (r["rule"], r["by_rule"]) for r in df.collect()} == dict(zip(urls, [("h2999.net/a", "block"), ("h7.net/a", "allow"), ("h8.net/a/b", "block"), ("net/", "allow"), (None, None)], strict=True))
+
+
+def brute_tree(pages, labels):
+    """template and verdict of each (host, form) by the stated rules, in plain Python."""
+    u = url_filter
+
+    def form(path):
+        def of(x):
+            if re.fullmatch(r"[0-9]+", x):
+                return "{n}"
+            if re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", x):
+                return "{date}"
+            if re.fullmatch(r"[0-9a-fA-F]{8,}(-[0-9a-fA-F]+)*", x):
+                return "{hex}"
+            if re.fullmatch(r"[0-9]+\.[A-Za-z]+", x):
+                return "{n}." + x.split(".")[1]
+            return re.sub(r"[0-9]{3,}", "{n}", x)
+
+        return tuple(of(x) for x in path.split("/") if x)
+
+    marks = defaultdict(list)
+    for i, bad in labels:
+        if bad is not None:
+            marks[i].append(bad)
+    leaves = defaultdict(lambda: [0, 0])
+    for i, host, path in pages:
+        x = leaves[host, form(path)]
+        x[0] += len(marks[i])
+        x[1] += sum(marks[i])
+
+    def classes(children):
+        held = {c: "" for c in children}
+        while True:
+            sums = defaultdict(lambda: [0, 0])
+            for c, (n, bad) in children.items():
+                sums[held[c]][0] += n
+                sums[held[c]][1] += bad
+            moved = {}
+            for c, (n, bad) in children.items():
+                rest, rest_bad = sums[held[c]][0] - n, sums[held[c]][1] - bad
+                pooled = (bad + rest_bad) / (n + rest) if n + rest else 0
+                if n >= u.LEAST and rest >= u.LEAST and 0 < pooled < 1:
+                    z = (bad / n - rest_bad / rest) / (pooled * (1 - pooled) * (1 / n + 1 / rest)) ** 0.5
+                    if abs(z) > u.Z:
+                        moved[c] = held[c] + ("+" if z > 0 else "-")
+            if not moved:
+                return held
+            held |= moved
+
+    template = {}
+
+    def grow(members, t, level):
+        n, bad = (sum(leaves[m][k] for m in members) for k in (0, 1))
+        if n < 2 * u.LEAST or not 0 < bad < n or not any(len(f) > level for _, f in members):
+            template.update({m: t + ("/**" if len(m[1]) > level else "") for m in members})
+            return
+        by = defaultdict(list)
+        for m in members:
+            by[m[1][level] if len(m[1]) > level else ""].append(m)
+        held = classes({c: tuple(sum(leaves[m][k] for m in ms) for k in (0, 1)) for c, ms in by.items()})
+        for k in set(held.values()):
+            some = [c for c in by if held[c] == k]
+            token = "/*" + k if len(some) > 1 else "/" + some[0] if some[0] else ""
+            grow([m for c in some for m in by[c]], t + token, level + 1)
+
+    for host in {h for h, _ in leaves}:
+        grow([m for m in leaves if m[0] == host], "", 0)
+    n, bad = (sum(x[k] for x in leaves.values()) for k in (0, 1))
+    base = bad / n if n else 0
+    sums = defaultdict(lambda: [0, 0])
+    for m, x in leaves.items():
+        for k in (0, 1):
+            sums[m[0], template[m]][k] += x[k]
+    pure = {k: (b + u.SMOOTH * base) / (n + u.SMOOTH) if n >= u.LEAST else 0 for k, (n, b) in sums.items()}
+    return {i: (template[h, form(p)], "block" if pure[h, template[h, form(p)]] >= u.REJECT else "allow") for i, h, p in pages}
+
+
+def same_as_brute_tree(spark, pages, labels):
+    df = spark.createDataFrame([(*p, "x", "y") for p in pages], "id long, url string, host string, form string")
+    out = url_filter.judge_urls(df, spark.createDataFrame(labels, "id long, bad boolean"), []).collect()
+    assert len(out) == len(pages)
+    brute = brute_tree([(r["id"], r["host"], r["path"]) for r in out], labels)
+    assert {r["id"]: (r["template"], r["verdict"]) for r in out} == brute
+    return {r["id"]: r for r in out}
+
+
 def test_url_templates(spark):
     pages = [(i, f"http://h.net/{kind}/{i}") for i, kind in enumerate(["spam"] * 40 + ["news"] * 60 + ["blog"] * 60)] + [(900, "http://h.net/spam/1234"), (901, "http://h.net/news/77"), (902, None), (902, None)]
     labels = [(i, i < 38) for i in range(160)]
-    out = url_filter.judge_urls(spark.createDataFrame(pages, "id long, url string"), spark.createDataFrame(labels, "id long, bad boolean"), []).collect()
-    by = {r["id"]: r for r in out}
-    assert len(out) == len(pages) and by[900]["verdict"] == "block" and by[901]["verdict"] == "allow" and by[902]["verdict"] == "allow"
-    assert by[900]["template"] == "/spam/{n}" and by[901]["template"] == "/*/{n}"
-    none = url_filter.judge_urls(spark.createDataFrame(pages, "id long, url string"), spark.createDataFrame([], "id long, bad boolean"), [])
-    assert {r["verdict"] for r in none.collect()} == {"allow"}
+    by = same_as_brute_tree(spark, pages, labels)
+    assert by[900]["verdict"] == "block" and by[901]["verdict"] == "allow" and by[902]["verdict"] == "allow"
+    assert by[900]["template"].startswith("/spam") and by[901]["template"].startswith("/*-/")  # news and blog are alike
+    assert {r["verdict"] for r in same_as_brute_tree(spark, pages, []).values()} == {"allow"}
+    assert url_filter.judge_urls(spark.createDataFrame([], "id long, url string"), spark.createDataFrame(labels, "id long, bad boolean"), URL_RULES).count() == 0
+
+
+def test_url_templates_of_any_depth(spark):
+    """Branches that part at the fifth segment, and similar ones that merge with each other: two bad, two good, one between."""
+    pages = [(i, f"http://h.net/a/b/c/d/{'bad' if i < 60 else 'good'}/{i}") for i in range(120)]
+    pages += [(1000 + i, f"http://g.net/{'abcde'[i % 5]}/" + "deep/" * 300 + f"p{'q' * (i % 3)}") for i in range(500)]
+    labels = [(i, i < 60) for i in range(120)] + [(1000 + i, i % 5 < 2 or (i % 5 == 4 and i % 2 == 0)) for i in range(500)]
+    by = same_as_brute_tree(spark, pages, labels)
+    assert all(by[i]["verdict"] == ("block" if i < 60 else "allow") for i in range(120))
+    assert by[1000]["template"].split("/")[1] == by[1001]["template"].split("/")[1] != by[1002]["template"].split("/")[1] == by[1003]["template"].split("/")[1] != by[1004]["template"].split("/")[1]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_url_templates_at_random(spark, seed):
+    rng = random.Random(seed)
+    words = ["en", "de", "x1", "12", "2024-01-02", "deadbeef01", "7.html", "item5555", "tag"]
+    pages = [(i, f"http://{rng.choice(['a.net', 'b.org'])}/" + "/".join(rng.choice(words) for _ in range(rng.randrange(6))) + rng.choice(["", "/", "?q=1", "#top"])) for i in range(1500)]
+    labels = [(i, rng.random() < (0.9 if "/de" in u else 0.5 if "/12" in u else 0.05)) for i, u in pages if rng.random() < 0.8] + [(3, True), (4, None)]
+    same_as_brute_tree(spark, pages, labels)
+
+
+def test_url_filter_query(spark):
+    """The registered query over whole tables against the plain-Python tree and rules."""
+    sf = "/root/testdata/sf0.01"
+    urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    labels = [(r["doc_id"], r["quality"] == 0 or r["toxic"] == 1) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    rows = {r["page_id"]: r for r in QUERIES["op4_url_filter"](spark, sf).collect()}
+    assert rows.keys() == urls.keys()
+    for i, r in rows.items():
+        rest = urls[i].split("://", 1)[1]
+        assert (r["host"], r["path"]) == (re.match(r"[^/?#]*", rest)[0].lower(), re.match(r"[^/?#]*([^?#]*)", rest)[1])
+    tree = brute_tree([(i, r["host"], r["path"]) for i, r in rows.items()], labels)
+    for i, r in rows.items():
+        fits = [(len(h + p), h + p, kind) for kind, h, p in URL_RULES if (r["host"] == h or r["host"].endswith("." + h)) and r["path"].startswith(p)]
+        assert (r["rule"], r["verdict"]) == (max(fits)[1:] if fits else (None, tree[i][1]))
 
 
 # ---- 5 and 7
