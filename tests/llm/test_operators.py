@@ -148,15 +148,7 @@ def brute_lines(rows, t, least):
     import itertools
 
     def close(a, b):
-        if abs(len(a) - len(b)) > t:
-            return False
-        prev = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            cur = [i]
-            for j, y in enumerate(b, 1):
-                cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
-            prev = cur
-        return prev[-1] <= t
+        return abs(len(a) - len(b)) <= t and distance(a, b) <= t
 
     first = {}
     for d, x in rows:
@@ -194,6 +186,59 @@ def test_line_dedup(spark, threshold):
     assert got == brute_lines(list(enumerate(texts)), threshold, 6)
 
 
+def distance(a, b):
+    prev = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        cur = [i]
+        for j, y in enumerate(b, 1):
+            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
+        prev = cur
+    return prev[-1]
+
+
+@pytest.mark.parametrize("threshold", [0, 1, 2, 3])
+def test_bit_parallel_distance(spark, threshold):
+    rng = random.Random(threshold)
+    rows = [("", ""), ("", "a"), ("abc", ""), ("\U0001f600\U0001f601x", "\U0001f601\U0001f600x")]
+    for _ in range(400):
+        a = [rng.choice("ab\u00e9\U0001f600") for _ in range(rng.randrange(9))]
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = rng.choice(["", "a", "\U0001f601", "b"])
+        rows.append(("".join(a), "".join(b)))
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", lines.within(F.col("a"), F.col("b"), threshold).alias("near")).collect()
+    assert all(r["near"] == (distance(r["a"], r["b"]) <= threshold) for r in got) and len({r["near"] for r in got}) == 2
+
+
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    """Each row keeps its own lines: only what an earlier row, or the one with the smaller hash, holds goes; equal rows lose the same."""
+    rows = [(2, "common line of some length 1\nfirst row has this other text"), (2, "common line of some length 2\nanother unique row text kept"), (2, "common line of some length 2\nanother unique row text kept"), (1, "nothing like it in any way at all"), (None, "common line of some length 1\nx\nx"), (5, "first row has this other test\nand the last unique one of all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    mark = dict(docs.filter("doc_id = 2").select("text", F.xxhash64("text")).collect())
+    order = sorted({r for r in rows if r[0] == 2}, key=lambda r: mark[r[1]])
+    keep = {order[0][1]: order[0][1], order[1][1]: order[1][1].split("\n")[1]}
+    expected = [(i, keep.get(t, t)) for i, t in rows[:5]] + [(5, "and the last unique one of all")]
+    got = [(r["doc_id"], r["text"]) for r in lines.dedup_lines(docs).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    report = {(r["doc_id"], r["n_lines"], r["n_removed"]) for r in lines.line_report(docs).collect()}
+    assert report == {(1, 1, 0), (2, 2, 0), (2, 2, 1), (None, 3, 0), (5, 2, 1)}
+
+
+@pytest.mark.parametrize("kind", ["letters", "numbers"])
+def test_line_dedup_of_common_beginnings(spark, monkeypatch, kind):
+    """Many lines with one long beginning, far apart behind it or near each other throughout: as by brute force."""
+    monkeypatch.setattr(lines, "HOT", 5)
+    monkeypatch.setattr(lines, "PIVOTS", 4)
+    rng = random.Random(9)
+    rest = (lambda: "".join(rng.choice("abcdefghijkl") for _ in range(8))) if kind == "letters" else (lambda: f"{rng.randrange(3000):04d}")
+    texts = ["\n".join("the same beginning of every line " + rest() for _ in range(rng.randrange(1, 4))) for _ in range(110)]
+    texts += [t.replace("beginning", "begining") for t in texts[::9]] + [t + rng.choice("xy") for t in texts[::7]]
+    docs = docs_of(spark, texts)
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in lines.line_report(docs).collect()}
+    assert got == brute_lines(list(enumerate(texts)), 2, 20)
+
+
 def test_line_dedup_texts(spark):
     texts = ["a line of some length\nunique to the first", "a line of some length\nnew and different here", "a line of some lengths", None, "", "ok"]
     out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, texts)).collect()}
