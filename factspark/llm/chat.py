@@ -11,23 +11,25 @@ is doubled, ``#`` gets a backslash before it, ``</turn>`` and ``<|`` get one
 after ``<``, and in roles ``:`` gets one before it.  So no text can hold a
 turn's end, a turn's start or a placeholder.
 
-Conversations are put together in two steps, by blocks of ``BLOCK_TURNS``
-turn numbers and then whole, so that a long one is not formatted in one task.
+Rows are escaped where they are read; then one shuffle brings a conversation's
+rows together, a running sum tells where each begins, and they are joined.  No
+step takes longer than in proportion to the conversation, but for sorting it.
 
 Null text, role or reference count as empty, null parts and unknown kinds give
 nothing, null units count as 0.  Turns with the same number are ordered by
-role and content; a null turn comes first; rows with a null conv_id form one
-conversation.  Repeated rows stay.  Extra columns are not passed on.
+role and text; a null turn comes first.  A row with a null conv_id is a
+conversation of its own.  Repeated rows stay.  Extra columns are not passed on.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_TURNS = 64
+from .common import let
+
 PARTS = "array<struct<kind:string,text:string,ref:string,units:bigint>>"
 
 
@@ -86,27 +88,41 @@ def format_chat(messages: DataFrame, template: Template = TEMPLATE) -> DataFrame
         F.filter(F.transform(parts, attachment), lambda a: a.isNotNull()).alias("attachments"),
         role.isin(list(template.loss_roles)).alias("loss"),
     )
-    piece = F.struct("turn", "role", "body", "head", "attachments", "loss")
-    block = rows.groupBy("conv_id", F.floor(F.col("turn") / BLOCK_TURNS).alias("block")).agg(F.sort_array(F.collect_list(piece)).alias("t"))
-    end = len(template.end)
-    width = lambda t: F.length(t["head"]) + F.length(t["body"]) + end
-    before = lambda i: F.aggregate(F.slice("t", F.lit(1), i), F.lit(0), lambda a, t: a + width(t))
-    span = F.transform("t", lambda t, i: F.struct(t["loss"].alias("loss"), (before(i) + F.length(t["head"])).alias("start"), F.length(t["body"]).alias("length")))
-    joined = block.select(
-        "conv_id", "block", F.array_join(F.transform("t", lambda t: F.concat(t["head"], t["body"], F.lit(template.end))), "").alias("text"),
-        F.transform(F.filter(span, lambda s: s["loss"]), lambda s: F.struct(s["start"].cast("bigint").alias("start"), s["length"].cast("bigint").alias("length"))).alias("spans"),
-        F.transform("t", lambda t: t["loss"]).alias("loss"), F.flatten(F.transform("t", lambda t: t["attachments"])).alias("attachments"),
-    )
-    whole = joined.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", F.length("text").cast("bigint").alias("size"), "text", "spans", "loss", "attachments"))).alias("b"))
-    offset = lambda i: F.aggregate(F.slice("b", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, b: a + b["size"])
+    end = F.lit(template.end)
+    rows = rows.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    # Ties: the text as it was, not as it is escaped.
+    inside = Window.partitionBy("conv_id", "alone").orderBy("turn", "role", unescape(F.col("body")), "body", F.col("attachments").cast("string"))
+    size = F.length("head") + F.length("body") + F.length(end)
+    placed = rows.select("*", F.row_number().over(inside).alias("n"), F.coalesce(F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))
+    span = F.struct((F.col("at") + F.length("head")).cast("bigint").alias("start"), F.length("body").cast("bigint").alias("length"))
+    piece = F.struct("n", F.concat("head", "body", end).alias("text"), span.alias("span"), "loss", "attachments")
+    whole = placed.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list(piece)).alias("t"))
     return whole.select(
-        "conv_id",
-        F.size(F.flatten(F.transform("b", lambda b: b["loss"]))).cast("long").alias("n_turns"),
-        F.array_join(F.transform("b", lambda b: b["text"]), "").alias("formatted"),
-        F.flatten(F.transform("b", lambda b, i: F.transform(b["spans"], lambda s: F.struct((s["start"] + offset(i)).alias("start"), s["length"].alias("length"))))).alias("loss_spans"),
-        F.flatten(F.transform("b", lambda b: b["loss"])).alias("loss"),
-        F.flatten(F.transform("b", lambda b: b["attachments"])).alias("attachments"),
-    ).withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("bigint"), lambda a, x: a + x["tokens"]))
+        "conv_id", F.size("t").cast("long").alias("n_turns"), F.array_join(F.transform("t", lambda t: t["text"]), "").alias("formatted"),
+        F.transform(F.filter("t", lambda t: t["loss"]), lambda t: t["span"]).alias("loss_spans"),
+        F.transform("t", lambda t: t["loss"]).alias("loss"), F.flatten(F.transform("t", lambda t: t["attachments"])).alias("attachments"),
+    ).withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("bigint"), lambda a, x: a + x["tokens"]))
+
+
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """The texts that spans (start, length in code points, in order) of a formatted string hold, unescaped.
+
+    Spans are taken in groups, as many as a group has spans, so that no
+    substring is looked for from the beginning of a long string for each.
+    """
+
+    def groups(s: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(s))).cast("int")
+
+        def of(g: Column) -> Column:
+            first = F.get(g, F.lit(0))["start"].cast("int")
+            last = F.element_at(g, -1)
+            part = formatted.substr(first + 1, (last["start"] + last["length"]).cast("int") - first)
+            return let(part, lambda p: F.transform(g, lambda x: unescape(p.substr(x["start"].cast("int") - first + 1, x["length"].cast("int")))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(s), step), lambda i: let(F.slice(s, i, step), of)))
+
+    return F.when(F.size(spans) > 0, let(spans, groups)).otherwise(F.array().cast("array<string>"))
 
 
 def read_chat(formatted: Column, template: Template = TEMPLATE) -> Column:

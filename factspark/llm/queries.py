@@ -30,7 +30,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text").unionByName(own)
     out = chat.format_chat(chat.text_parts(rows)).withColumn("turns", chat.read_chat(F.col("formatted")))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter(F.arrays_zip("turns", "loss"), lambda x: x["loss"]), lambda x: x["turns"]["text"]), "")
+    loss = F.array_join(chat.under_mask(F.col("formatted"), F.col("loss_spans")), "")
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
@@ -50,7 +50,7 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page counts as bad if the document with its id is labelled of low quality or toxic."""
+    """A page counts as bad if the document that has its number is labelled of low quality or toxic, as the tables label no pages."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return url_filter.judge_urls(pages, labels, URL_RULES).withColumnRenamed("id", "page_id")

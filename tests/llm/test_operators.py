@@ -68,18 +68,29 @@ def test_equals_sql(spark, name):
 
 def test_chat_round_trip(spark):
     texts = ["\\### Assistant: </turn> ok", None, "", "a\\", "<|image 0.0|>", "#" * 5 + "\n</turn>\n### user: x", "\\\\<\\/turn>", "x: y"]
-    rows = [(1, i, "assistant" if i % 2 else "us:er", t) for i, t in enumerate(texts)] + [(2, 0, None, "q"), (2, 0, None, "q"), (3, None, "user", "n"), (None, 1, "assistant", "z")] + [(4, i, "assistant", str(i)) for i in range(200)]
+    rows = [(1, i, "assistant" if i % 2 else "us:er", t) for i, t in enumerate(texts)] + [(2, 0, None, "q"), (2, 0, None, "q"), (3, None, "user", "n"), (None, 1, "assistant", "z"), (None, 1, "assistant", "z"), (6, 0, "user", "x")] + [(5, 0, "assistant", t) for t in ("A", "#", None, "z", "\\", "")] + [(4, i, "assistant", str(i)) for i in range(200)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = {r["conv_id"]: r for r in chat.format_chat(chat.text_parts(df)).withColumn("turns", chat.read_chat(F.col("formatted"))).collect()}
+    formatted = chat.format_chat(chat.text_parts(df.withColumn("t", F.lit(1)).withColumn("body", F.lit("x"))))
+    every = formatted.withColumn("turns", chat.read_chat(F.col("formatted"))).withColumn("masked", chat.under_mask(F.col("formatted"), F.col("loss_spans"))).collect()
+    out = {r["conv_id"]: r for r in every}
     assert [(t["role"], t["text"]) for t in out[1]["turns"]] == [(r[2] or "", r[3] or "") for r in rows[: len(texts)]]
-    for r in out.values():
+    for r in every:
         assert r["n_turns"] == len(r["turns"]) == len(r["loss"])
         spans = [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]]
-        assert [re.sub(r"(?s)\\(.)", r"\1", s) for s in spans] == [t["text"] for t, f in zip(r["turns"], r["loss"], strict=True) if f]
-    assert out[2]["n_turns"] == 2 and [t["text"] for t in out[4]["turns"]] == [str(i) for i in range(200)]
+        assert [re.sub(r"(?s)\\(.)", r"\1", s) for s in spans] == [t["text"] for t, f in zip(r["turns"], r["loss"], strict=True) if f] == r["masked"]
+    assert out[2]["n_turns"] == 2 and [t["text"] for t in out[4]["turns"]] == [str(i) for i in range(200)] and [t["text"] for t in out[5]["turns"]] == ["", "", "#", "A", "\\", "z"]
+    assert sum(r["conv_id"] is None for r in every) == 2 and len(every) == 8
     assert chat.format_chat(chat.text_parts(df.limit(0))).count() == 0
 
 
+def test_chat_of_very_long_texts_and_conversations(spark):
+    """One text of two million characters, and twenty thousand turns with one number."""
+    df = spark.range(20_000).selectExpr("1L AS conv_id", "0L AS turn", "'assistant' AS role", "lpad(id, 6, '0') AS text").unionByName(spark.range(1).selectExpr("2L AS conv_id", "id AS turn", "'assistant' AS role", "repeat('#', 2000000) AS text"))
+    out = chat.format_chat(chat.text_parts(df)).select("conv_id", "n_turns", F.array_join(chat.under_mask(F.col("formatted"), F.col("loss_spans")), "").alias("loss")).collect()
+    got = {r["conv_id"]: (r["n_turns"], r["loss"]) for r in out}
+    assert got == {1: (20_000, "".join(f"{i:06d}" for i in range(20_000))), 2: (1, "#" * 2_000_000)}
+
+
 def test_chat_parts(spark):
     parts = [("text", "see <|", None, None), ("image", None, "img.png", 256), ("audio", None, "a.wav", 3), ("video", None, "v", 1), ("document", None, None, None)]
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts {chat.PARTS}")
