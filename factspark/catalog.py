@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .db import DatomSource
 from .edn import Keyword
+from .facts import Facts, clashes, from_lines, init_facts
 from .operators.pull import pull_df
 from .query import q_df
 from .sources import tpch_tables
@@ -61,8 +62,7 @@ datalog("with_clause", '[:find ?st ?pr :with ?o :where [?o :orders/o_orderstatus
 datalog("pred", '[:find ?k ?q :where [?p :part/p_partkey ?k] [?p :part/p_size ?q] [(< 10 ?q 20)]]', "SELECT DISTINCT p_partkey AS k, p_size AS q FROM part WHERE p_size > 10 AND p_size < 20")
 datalog("pred_multi_rel", '[:find ?a ?b :where [?x :nation/n_name ?a] [?y :region/r_name ?b] [(not= ?a ?b)] [(compare ?a ?b) ?c] [(!= ?c 0)]]', "SELECT DISTINCT n_name AS a, r_name AS b FROM nation, region WHERE n_name <> r_name")
 datalog("cross_join", '[:find ?a ?b :where [?x :nation/n_name ?a] [?y :region/r_name ?b]]', "SELECT DISTINCT n_name AS a, r_name AS b FROM nation, region")
-datalog("theta_join", '[:find ?a ?b :where [?x :supplier/s_suppkey ?a] [?x :supplier/s_acctbal ?p] [?y :customer/c_custkey ?b] [?y :customer/c_acctbal ?q] [(> ?p ?q)] [(< ?a 5)]]', "SELECT s_suppkey AS a, c_custkey AS b FROM supplier, customer WHERE s_acctbal > c_acctbal AND s_suppkey < 5")
-datalog("theta_join_all", '[:find ?a ?b :where [?x :supplier/s_suppkey ?a] [?x :supplier/s_nationkey ?n] [?x :supplier/s_acctbal ?p] [?y :customer/c_nationkey ?n] [?y :customer/c_custkey ?b] [?y :customer/c_acctbal ?q] [(> ?p ?q)]]', "SELECT s_suppkey AS a, c_custkey AS b FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_acctbal > c_acctbal")
+datalog("theta_join", '[:find ?a ?b :where [?x :supplier/s_suppkey ?a] [?x :supplier/s_nationkey ?n] [?x :supplier/s_acctbal ?p] [?y :customer/c_nationkey ?n] [?y :customer/c_custkey ?b] [?y :customer/c_acctbal ?q] [(> ?p ?q)]]', "SELECT s_suppkey AS a, c_custkey AS b FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_acctbal > c_acctbal")
 datalog("graph_join", '[:find ?r (count ?o) :where [?o :orders/o_custkey ?c] [?c :customer/c_nationkey ?n] [?n :nation/n_regionkey ?g] [?g :region/r_name ?r]]', "SELECT r_name AS r, count(*) AS count_o FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 datalog("hash_join", '[:find ?k ?d :where [?l :lineitem/l_orderkey ?o] [?o :orders/o_orderkey ?k] [?o :orders/o_orderdate ?d] [?l :lineitem/l_quantity 1.0]]', "SELECT DISTINCT o_orderkey AS k, o_orderdate AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 1.0")
 datalog("left_join_default", '[:find ?k ?q :where [?d :documents/doc_id ?k] [(get-else $ ?d :documents/lang "none") ?q]]', "SELECT doc_id AS k, coalesce(lang, 'none') AS q FROM documents")
@@ -154,64 +154,36 @@ datalog("nested_not", '[:find ?k :where [?p :part/p_partkey ?k] (not [?p :part/p
 datalog("anti_join", '[:find ?k :where [?s :supplier/s_suppkey ?k] (not [?l :lineitem/l_suppkey ?s] [?l :lineitem/l_returnflag "R"] [?l :lineitem/l_quantity 50.0])]', "SELECT s_suppkey AS k FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50)")
 datalog("semi_join", '[:find ?k :where [?p :part/p_partkey ?k] (or-join [?p] (and [?l :lineitem/l_partkey ?p] [?l :lineitem/l_quantity 50.0]))]', "SELECT p_partkey AS k FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
 
-# ---- rules over a graph of parts: part k leads to 2 k + 1, by number of parts
+# ---- rules over a graph of all parts: part k div 2 leads to k, so that reach grows with the table
 
 
-@late
-def edges(db: Any, spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey < 200")
-    return p.select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") * 2 + 1) % 200).alias("b"))
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr("p_partkey div 2").alias("a"), F.col("p_partkey").cast("long").alias("b"))
 
 
-EDGES = "e AS (SELECT p_partkey AS a, (p_partkey * 2 + 1) % 200 AS b FROM part WHERE p_partkey < 200)"
+EDGES = "e AS (SELECT (p_partkey // 2)::BIGINT AS a, p_partkey::BIGINT AS b FROM part)"
 CLOSURE = f"WITH RECURSIVE {EDGES}, t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a)"
+_REACH = "[[(reach ?a ?b) [?a ?b]] [(reach ?a ?b) [?a ?t] (reach ?t ?b)]]"
 for _name, _q, _sql, _rules, _more in (
     ("rule_simple", "[:find ?x ?y :in $ % :where (step ?x ?y)]", f"WITH {EDGES} SELECT a AS x, b AS y FROM e", "[[(step ?a ?b) [?a ?b]]]", ()),
     ("rule_branches", "[:find ?x ?y :in $ % :where (near ?x ?y)]", f"WITH {EDGES} SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e", "[[(near ?a ?b) [?a ?b]] [(near ?a ?b) [?b ?a]]]", ()),
-    ("rule_recursive", "[:find ?x ?y :in $ % :where (reach ?x ?y)]", f"{CLOSURE} SELECT a AS x, b AS y FROM t", "[[(reach ?a ?b) [?a ?b]] [(reach ?a ?b) [?a ?t] (reach ?t ?b)]]", ()),
-    ("rule_const_arg", "[:find ?y :in $ % :where (reach 3 ?y)]", f"{CLOSURE} SELECT b AS y FROM t WHERE a = 3", "[[(reach ?a ?b) [?a ?b]] [(reach ?a ?b) [?a ?t] (reach ?t ?b)]]", ()),
+    ("rule_recursive", "[:find ?x ?y :in $ % :where (reach ?x ?y)]", f"{CLOSURE} SELECT a AS x, b AS y FROM t", _REACH, ()),
+    ("rule_const_arg", "[:find ?y :in $ % :where (reach 3 ?y)]", f"{CLOSURE} SELECT b AS y FROM t WHERE a = 3", _REACH, ()),
+    ("rule_bound_var", "[:find ?x ?y :in $ % [?x ...] :where (reach ?x ?y)]", f"{CLOSURE} SELECT a AS x, b AS y FROM t WHERE a IN (3, 5, 8)", _REACH, ([3, 5, 8],)),
+    ("rule_bound_end", "[:find ?x :in $ % :where (reach ?x 150)]", f"{CLOSURE} SELECT a AS x FROM t WHERE b = 150", _REACH, ()),
     ("rule_mutual", "[:find ?x ?y :in $ % :where (odd ?x ?y)]", f"WITH RECURSIVE {EDGES}, t(a, b, p) AS (SELECT a, b, 1 FROM e UNION SELECT t.a, e.b, 1 - t.p FROM t JOIN e ON t.b = e.a) SELECT DISTINCT a AS x, b AS y FROM t WHERE p = 1",
      "[[(odd ?a ?b) [?a ?b]] [(odd ?a ?b) [?a ?t] (even ?t ?b)] [(even ?a ?b) [?a ?t] (odd ?t ?b)]]", ()),
-    ("rule_pred_arg", "[:find ?x :in $ % ?p :where (pick ?p ?x)]", f"WITH {EDGES} SELECT a AS x FROM e WHERE a % 3 = 0", "[[(pick ?p ?a) [?a _] [(?p ?a)]]]", (lambda c: c % 3 == 0,)),
+    ("rule_pred_arg", "[:find ?x :in $ % ?p :where (pick ?p ?x)]", f"WITH {EDGES} SELECT DISTINCT a AS x FROM e WHERE a % 3 = 0", "[[(pick ?p ?a) [?a _] [(?p ?a)]]]", (lambda c: c % 3 == 0,)),
 ):
-    datalog(_name, _q, _sql, _rules, *_more)
-    QUERIES[_name] = (lambda q, rules, more: lambda spark, d: q_df(q, edges(None, spark, d), rules, *more, spark=spark))(_q, _rules, _more)
+    plain(_name, (lambda q, rules, more: lambda spark, d: q_df(q, edges(spark, d), rules, *more, spark=spark))(_q, _rules, _more), _sql)
 
 
 def rule_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q_df("[:find ?x ?n :in $ $g % :where ($g step ?x ?y) [?p :part/p_partkey ?y] [?p :part/p_name ?n]]", tpch_tables(spark, sf_dir), edges(None, spark, sf_dir), "[[(step ?a ?b) [?a ?b]]]", spark=spark)
+    return q_df("[:find ?x ?n :in $ $g % :where ($g step ?x ?y) [?p :part/p_partkey ?y] [?p :part/p_name ?n]]", tpch_tables(spark, sf_dir), edges(spark, sf_dir), "[[(step ?a ?b) [?a ?b]]]", spark=spark)
 
 
 plain("rule_source", rule_source, f"WITH {EDGES} SELECT DISTINCT a AS x, p_name AS n FROM e JOIN part ON p_partkey = b")
 
-# ---- the same rules over a graph of all parts: part k div 2 leads to k, so that reach grows with the table
-
-
-def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr("p_partkey div 2").alias("a"), F.col("p_partkey").cast("long").alias("b"))
-
-
-ALL_EDGES = "e AS (SELECT (p_partkey // 2)::BIGINT AS a, p_partkey::BIGINT AS b FROM part)"
-ALL_CLOSURE = f"WITH RECURSIVE {ALL_EDGES}, t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a)"
-_REACH = "[[(reach ?a ?b) [?a ?b]] [(reach ?a ?b) [?a ?t] (reach ?t ?b)]]"
-for _name, _q, _sql, _rules, _more in (
-    ("rule_simple_all", "[:find ?x ?y :in $ % :where (step ?x ?y)]", f"WITH {ALL_EDGES} SELECT a AS x, b AS y FROM e", "[[(step ?a ?b) [?a ?b]]]", ()),
-    ("rule_branches_all", "[:find ?x ?y :in $ % :where (near ?x ?y)]", f"WITH {ALL_EDGES} SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e", "[[(near ?a ?b) [?a ?b]] [(near ?a ?b) [?b ?a]]]", ()),
-    ("rule_recursive_all", "[:find ?x ?y :in $ % :where (reach ?x ?y)]", f"{ALL_CLOSURE} SELECT a AS x, b AS y FROM t", _REACH, ()),
-    ("rule_const_arg_all", "[:find ?y :in $ % :where (reach 3 ?y)]", f"{ALL_CLOSURE} SELECT b AS y FROM t WHERE a = 3", _REACH, ()),
-    ("rule_mutual_all", "[:find ?x ?y :in $ % :where (odd ?x ?y)]", f"WITH RECURSIVE {ALL_EDGES}, t(a, b, p) AS (SELECT a, b, 1 FROM e UNION SELECT t.a, e.b, 1 - t.p FROM t JOIN e ON t.b = e.a) SELECT DISTINCT a AS x, b AS y FROM t WHERE p = 1",
-     "[[(odd ?a ?b) [?a ?b]] [(odd ?a ?b) [?a ?t] (even ?t ?b)] [(even ?a ?b) [?a ?t] (odd ?t ?b)]]", ()),
-    ("rule_pred_arg_all", "[:find ?x :in $ % ?p :where (pick ?p ?x)]", f"WITH {ALL_EDGES} SELECT DISTINCT a AS x FROM e WHERE a % 3 = 0", "[[(pick ?p ?a) [?a _] [(?p ?a)]]]", (lambda c: c % 3 == 0,)),
-):
-    plain(_name, (lambda q, rules, more: lambda spark, d: q_df(q, all_edges(spark, d), rules, *more, spark=spark))(_q, _rules, _more), _sql)
-
-
-def rule_source_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q_df("[:find ?x ?n :in $ $g % :where ($g step ?x ?y) [?p :part/p_partkey ?y] [?p :part/p_name ?n]]", tpch_tables(spark, sf_dir), all_edges(spark, sf_dir), "[[(step ?a ?b) [?a ?b]]]", spark=spark)
-
-
-plain("rule_source_all", rule_source_all, f"WITH {ALL_EDGES} SELECT DISTINCT a AS x, p_name AS n FROM e JOIN part ON p_partkey = b")
-
 # ---- functions: over parts (?k key, ?s size, ?n name, ?r price) unless they need others
 
 def fn(name: str, clauses: str, sql: str, find: str = "?k ?o") -> None:
@@ -241,6 +213,7 @@ fn("fn_and_or", "[(> ?s 25) ?a] [(< ?s 30) ?b] [(and ?a ?b) ?o]", "(p_size > 25
 fn("fn_identity", "[(identity ?s) ?o]", "p_size AS o FROM part")
 fn("fn_identical", "[(identical? ?s 5)]", "p_size AS s FROM part WHERE p_size = 5", "?k ?s")
 fn("fn_keyword", '[(keyword ?n) ?w] [(name ?w) ?o]', "regexp_extract(p_name, '([^/]*)$', 1) AS o FROM part")
+fn("fn_name", '[(str ":" ?n "/" ?s) ?w] [(name ?w) ?o]', "p_size::VARCHAR AS o FROM part")
 fn("fn_namespace", '[(str ":" ?n "/" ?s) ?w] [(namespace ?w) ?o]', "p_name AS o FROM part")
 fn("fn_type", "[(type ?s) ?o]", "':long' AS o FROM part")
 fn("fn_vector", "[(vector ?k ?s) ?v] [(untuple ?v) [?a ?o]]", "p_size::BIGINT AS o FROM part")
@@ -252,13 +225,14 @@ fn("fn_contains", "[(contains? #{1 2 3} ?s)]", "p_size AS s FROM part WHERE p_si
 fn("fn_str", '[(str ?n "-" ?s) ?o]', "p_name || '-' || p_size AS o FROM part")
 fn("fn_subs", "[(subs ?n 1 3) ?o]", "substr(p_name, 2, 2) AS o FROM part")
 fn("fn_get", '[(get {1 "one", 2 "two"} ?s) ?o]', "CASE p_size WHEN 1 THEN 'one' ELSE 'two' END AS o FROM part WHERE p_size IN (1, 2)")
-fn("fn_print", '[(pr-str ?n) ?o]', "'\"' || p_name || '\"' AS o FROM part")
+fn("fn_print", '[(print-str ?n) ?a] [(println-str ?n) ?b] [(prn-str ?n) ?c] [(pr-str ?n) ?d] [(str ?a ?b ?c ?d) ?o]', "p_name || p_name || chr(10) || '\"' || p_name || '\"' || chr(10) || '\"' || p_name || '\"' AS o FROM part")
 fn("fn_re_find", '[(re-find "[aeiou].." ?n) ?o]', "regexp_extract(p_name, '[aeiou]..') AS o FROM part WHERE regexp_matches(p_name, '[aeiou]..')")
+fn("fn_re_pattern", '[(re-pattern "[aeiou]..") ?w] [(re-find ?w ?n) ?o]', "regexp_extract(p_name, '[aeiou]..') AS o FROM part WHERE regexp_matches(p_name, '[aeiou]..')")
 fn("fn_re_matches", '[(re-matches ".*[a-m]" ?n) ?o]', "p_name AS o FROM part WHERE regexp_full_match(p_name, '.*[a-m]')")
 fn("fn_re_seq", '[(re-seq "[0-9]" ?n) ?v] [(count ?v) ?o]', "len(regexp_extract_all(p_name, '[0-9]'))::BIGINT AS o FROM part")
 fn("fn_differ", "[(-differ? ?s 5)]", "p_size AS s FROM part WHERE p_size <> 5", "?k ?s")
 fn("fn_ground", "[(ground [1 2]) [?o ...]] [(< ?s 3)]", "o FROM part, (VALUES (1::BIGINT), (2)) t(o) WHERE p_size < 3")
-fn("fn_blank", '[(subs ?n 0 0) ?e] [(clojure.string/blank? ?e)]', "p_size AS s FROM part", "?k ?s")
+fn("fn_blank", '[(get {1 "", 2 " ", 3 "x"} ?s) ?e] [(clojure.string/blank? ?e)]', "p_size AS s FROM part WHERE p_size IN (1, 2)", "?k ?s")
 fn("fn_includes", '[(clojure.string/includes? ?n "re")]', "p_size AS s FROM part WHERE contains(p_name, 're')", "?k ?s")
 fn("fn_starts", '[(clojure.string/starts-with? ?n "b")]', "p_size AS s FROM part WHERE starts_with(p_name, 'b')", "?k ?s")
 fn("fn_ends", '[(clojure.string/ends-with? ?n "e")]', "p_size AS s FROM part WHERE ends_with(p_name, 'e')", "?k ?s")
@@ -296,22 +270,24 @@ def few(spark: SparkSession, d: str) -> DataFrame:
 plain("scan_eav", lambda s, d: q_df("[:find ?e ?v :where [?e :name ?v] [?e :nationkey 5]]", DatomSource.of_frame(s, facts(s, d)), spark=s), "SELECT c_custkey + 1 AS e, c_name AS v FROM customer WHERE c_nationkey = 5")
 
 
+def rows_of(df: DataFrame, e: Column, **attrs: tuple[Column, str]) -> DataFrame:
+    """Facts (e, a, v, tx) of a table: a column and its kind for each attribute."""
+    values = F.array(*[F.struct(F.lit(f":{n}").alias("a"), to_any(c, k).cast(ANY).alias("v")) for n, (c, k) in attrs.items()])
+    return df.select(e.cast("long").alias("e"), F.explode(values).alias("x")).select("e", "x.a", "x.v", F.lit(536870913).cast("long").alias("tx"))
+
+
 def ident_const(spark: SparkSession, d: str) -> DataFrame:
     """Regions as named entities that nations refer to by name."""
-    from .conn import create_conn
-    from .edn import read
-
-    conn = create_conn(read("{:region {:db/valueType :db.type/ref}}"))
-    rows = spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").collect()
-    keys = sorted({r["n_regionkey"] for r in rows})
-    conn.transact([{":db/ident": Keyword(f":region/r{k}")} for k in keys])
-    conn.transact([{":name": r["n_name"], ":region": Keyword(f":region/r{r['n_regionkey']}")} for r in rows])
-    return q_df("[:find ?n :where [?e :region :region/r1] [?e :name ?n]]", conn.db, spark=spark)
+    regions = rows_of(spark.read.parquet(f"{d}/region.parquet"), F.col("r_regionkey") + 1000, **{"db/ident": (F.concat(F.lit(":region/r"), F.col("r_regionkey")), "keyword")})
+    nations = rows_of(spark.read.parquet(f"{d}/nation.parquet"), F.col("n_nationkey"), name=(F.col("n_name"), "string"))
+    links = rows_of(spark.read.parquet(f"{d}/nation.parquet"), F.col("n_nationkey"), region=((F.col("n_regionkey") + 1000).cast("long"), "long"))
+    source = DatomSource.of_frame(spark, regions.unionByName(nations).unionByName(links), {":region": {":db/valueType": ":db.type/ref"}})
+    return q_df("[:find ?n :where [?e :region :region/r1] [?e :name ?n]]", source, spark=spark)
 
 
 plain("ident_const", ident_const, "SELECT n_name AS n FROM nation WHERE n_regionkey = 1")
 plain("pattern_tx", lambda s, d: q_df("[:find ?e ?tx :where [?e :nationkey 5 ?tx]]", DatomSource.of_frame(s, facts(s, d)), spark=s), "SELECT c_custkey + 1 AS e, 536870913::BIGINT AS tx FROM customer WHERE c_nationkey = 5")
-plain("init_db", lambda s, d: facts(s, d).groupBy("a").agg(F.count("*").alias("n"), F.max("e").alias("max_eid")), "SELECT a, count(*) AS n, max(c_custkey + 1) AS max_eid FROM customer, (VALUES (':name'), (':acctbal'), (':nationkey')) t(a) GROUP BY a")
+plain("init_db", lambda s, d: init_facts(facts(s, d).unionByName(facts(s, d))).stats(), "SELECT a, count(*) AS n, max(c_custkey + 1) AS max_eid FROM customer, (VALUES (':name'), (':acctbal'), (':nationkey')) t(a) GROUP BY a")
 
 
 def _index(name: str, sql: str, *args: Any) -> None:
@@ -329,16 +305,6 @@ plain("filter_db", lambda s, d: q_df("[:find ?e ?v :where [?e :name ?v]]", Datom
 
 
 def db_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .operators.index import diff
-
-    a, b = few(spark, sf_dir).filter("e <= 120"), few(spark, sf_dir).filter("e > 100 and e <= 130")
-    return diff(a, b).groupBy("side").agg(F.count("*").alias("n"))
-
-
-plain("db_diff", db_diff, f"WITH {FACTS} SELECT CASE WHEN e <= 100 THEN 'a' WHEN e <= 120 THEN 'both' ELSE 'b' END AS side, count(*) AS n FROM f WHERE e <= 130 GROUP BY 1")
-
-
-def db_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All facts against a version without the nation 5 and with 99 for the nation 7."""
     from .operators.index import diff
 
@@ -350,94 +316,116 @@ def db_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("side", "e", "a", F.coalesce("v.str", F.col("v.lng").cast("string")).alias("v"))
 
 
-plain("db_diff_all", db_diff_all, f"WITH {FACTS} SELECT CASE WHEN a = ':nationkey' AND v IN ('5', '7') THEN 'a' ELSE 'both' END AS side, e, a, v FROM f UNION ALL SELECT 'b', e, a, '99' FROM f WHERE a = ':nationkey' AND v = '7'")
+plain("db_diff", db_diff, f"WITH {FACTS} SELECT CASE WHEN a = ':nationkey' AND v IN ('5', '7') THEN 'a' ELSE 'both' END AS side, e, a, v FROM f UNION ALL SELECT 'b', e, a, '99' FROM f WHERE a = ':nationkey' AND v = '7'")
 
 
-def changed(f: Callable[[SparkSession, DataFrame, DataFrame], DataFrame]) -> Run:
+def changed(f: Callable[[Facts, DataFrame], Facts], schema: dict | None = None) -> Run:
+    """f of the names and nations of all customers, and the nations that are 5; the facts after it."""
+
     def run(spark: SparkSession, d: str) -> DataFrame:
         base = few(spark, d)
-        return shown(f(spark, base, base.filter("a = ':nationkey' and e <= 50")))
+        return shown(f(init_facts(base, schema), base.filter("a = ':nationkey' and v.lng = 5")).df)
 
     return run
 
 
-def _set_nation(df: DataFrame, to: int) -> DataFrame:
-    return df.withColumn("v", to_any(F.lit(to).cast("long"), "long").cast(ANY)).withColumn("tx", F.col("tx") + 1)
+def _lng(x: Any) -> Column:
+    return to_any(F.lit(x).cast("long"), "long").cast(ANY)
 
 
-def _bulk() -> Any:
-    from . import tx
+def _set_nation(df: DataFrame, to: int) -> DataFrame:
+    return df.withColumn("v", _lng(to)).withColumn("tx", F.col("tx") + 1)
 
-    return tx
 
+NAME_ID = {":name": {":db/unique": ":db.unique/identity"}}
+TAGS = {":tag": {":db/cardinality": ":db.cardinality/many"}}
+MANY = {":nationkey": {":db/cardinality": ":db.cardinality/many"}}
+FIVE = "a = ':nationkey' AND v = '5'"
+plain("tx_add", changed(lambda b, x: b.add(_set_nation(x, 99))), f"WITH {FACTS} SELECT e, a, CASE WHEN {FIVE} THEN '99' ELSE v END AS v FROM f")
+plain("tx_retract", changed(lambda b, x: b.retract(x.select("e", "a", "v"))), f"WITH {FACTS} SELECT e, a, v FROM f WHERE NOT ({FIVE})")
+plain("tx_retract_attr", changed(lambda b, x: b.retract(x.select("e", "a"))), f"WITH {FACTS} SELECT e, a, v FROM f WHERE NOT ({FIVE})")
+plain("tx_many", changed(lambda b, x: b.add(_set_nation(x, 99)), MANY), f"WITH {FACTS} SELECT e, a, v FROM f UNION SELECT e, a, '99' FROM f WHERE {FIVE}")
 
-plain("tx_add", changed(lambda s, b, x: _bulk().bulk_add(b, _set_nation(x, 99), {})), f"WITH {FACTS} SELECT e, a, CASE WHEN a = ':nationkey' AND e <= 50 THEN '99' ELSE v END AS v FROM f")
-plain("tx_retract", changed(lambda s, b, x: _bulk().bulk_retract(b, x)), f"WITH {FACTS} SELECT e, a, v FROM f WHERE NOT (a = ':nationkey' AND e <= 50)")
-plain("tx_retract_attr", changed(lambda s, b, x: _bulk().bulk_retract(b, x.select("e", "a"))), f"WITH {FACTS} SELECT e, a, v FROM f WHERE NOT (a = ':nationkey' AND e <= 50)")
-plain("tx_retract_entity", changed(lambda s, b, x: _bulk().bulk_retract(b, x.select("e"))), f"WITH {FACTS} SELECT e, a, v FROM f WHERE e > 50")
-plain("tx_many", changed(lambda s, b, x: _bulk().bulk_add(b, _set_nation(x, 99), {":nationkey": {":db/cardinality": ":db.cardinality/many"}})), f"WITH {FACTS} SELECT e, a, v FROM f UNION SELECT e, a, '99' FROM f WHERE a = ':nationkey' AND e <= 50")
 
+def tx_cas(b: Facts, x: DataFrame) -> Facts:
+    """The nation 5 becomes 50, and who has no rank gets one."""
+    none = F.lit(None).cast(ANY)
+    return b.cas(x.select("e", "a", F.col("v").alias("old"), _lng(50).alias("new")).unionByName(x.select("e", F.lit(":rank").alias("a"), none.alias("old"), _lng(1).alias("new"))))
 
-def _transacted(ops: Any) -> Run:
-    """Nations as entities changed by a transaction on the driver; the result is the facts after it."""
 
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        from .conn import create_conn
-        from .edn import read
+plain("tx_cas", changed(tx_cas), f"WITH {FACTS} SELECT e, a, CASE WHEN {FIVE} THEN '50' ELSE v END AS v FROM f UNION ALL SELECT e, ':rank', '1' FROM f WHERE {FIVE}")
 
-        conn = create_conn(read("{:name {:db/unique :db.unique/identity} :key {:db/unique :db.unique/value} :tag {:db/cardinality :db.cardinality/many} :n+k {:db/tupleAttrs [:name :size]}}"))
-        rows = spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").collect()
-        conn.transact([{":db/id": r["n_nationkey"] + 1, ":name": r["n_name"], ":size": r["n_regionkey"]} for r in rows])
-        conn.transact(read(ops) if isinstance(ops, str) else ops)
-        df = conn.db.frame(spark)
-        return df.select("e", "a", F.coalesce("v.str", F.col("v.lng").cast("string")).alias("v")).filter("a != ':n+k'")
 
-    return run
+def tx_map(b: Facts, x: DataFrame) -> Facts:
+    """Maps of known entities: a new nation and two tags for each."""
+    tag = lambda t: to_any(F.lit(t), "string").cast(ANY)
+    values = F.array(F.struct(F.lit(":nationkey").alias("a"), _lng(77).alias("v")), *[F.struct(F.lit(":tag").alias("a"), tag(t).alias("v")) for t in "xy"])
+    return b.upsert(x.select(F.col("e").alias("t"), F.explode(values).alias("m")).select("t", "m.*"))[0]
 
 
-NATION = "n AS (SELECT n_nationkey + 1 AS e, ':name' AS a, n_name AS v FROM nation UNION ALL SELECT n_nationkey + 1, ':size', n_regionkey::VARCHAR FROM nation)"
-plain("tx_map", _transacted('[{:db/id 3 :size 77 :tag ["x" "y"]}]'), f"WITH {NATION} SELECT e::BIGINT AS e, a, CASE WHEN e = 3 AND a = ':size' THEN '77' ELSE v END AS v FROM n UNION ALL SELECT 3, ':tag', unnest(['x', 'y'])")
-plain("tx_cas", _transacted("[[:db.fn/cas 1 :size 0 50]]"), f"WITH {NATION} SELECT e::BIGINT AS e, a, CASE WHEN e = 1 AND a = ':size' THEN '50' ELSE v END AS v FROM n")
+plain("tx_map", changed(tx_map, TAGS), f"WITH {FACTS} SELECT e, a, CASE WHEN {FIVE} THEN '77' ELSE v END AS v FROM f UNION ALL SELECT e, ':tag', unnest(['x', 'y']) FROM f WHERE {FIVE}")
 
 
 def tx_upsert(spark: SparkSession, d: str) -> DataFrame:
-    name = spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").first()["n_name"]
-    return _transacted([{":name": name, ":size": 60}])(spark, d)
+    """Maps named by tempids: customers of the nation 5, known by name, move to 60; suppliers are new entities."""
+    base = few(spark, d)
+    c, s = spark.read.parquet(f"{d}/customer.parquet").filter("c_nationkey = 5"), spark.read.parquet(f"{d}/supplier.parquet")
+    maps = rows_of(c, -1 - F.col("c_custkey"), name=(F.col("c_name"), "string")).unionByName(rows_of(c, -1 - F.col("c_custkey"), nationkey=(F.lit(60), "long")))
+    new = -(10**12) - F.col("s_suppkey")
+    maps = maps.unionByName(rows_of(s, new, name=(F.col("s_name"), "string"))).unionByName(rows_of(s, new, nationkey=(F.col("s_nationkey"), "long")))
+    return shown(init_facts(base, NAME_ID).upsert(maps.withColumnRenamed("e", "t"))[0].df)
 
 
-plain("tx_upsert", tx_upsert, f"WITH {NATION} SELECT e::BIGINT AS e, a, CASE WHEN e = 1 AND a = ':size' THEN '60' ELSE v END AS v FROM n")
+NEW = "n AS (SELECT (SELECT max(c_custkey + 1) FROM customer) + row_number() OVER (ORDER BY s_suppkey) AS e, s_name, s_nationkey FROM supplier)"
+plain("tx_upsert", tx_upsert, f"WITH {FACTS}, {NEW} SELECT e, a, CASE WHEN {FIVE} THEN '60' ELSE v END AS v FROM f UNION ALL SELECT e, ':name', s_name FROM n UNION ALL SELECT e, ':nationkey', s_nationkey::VARCHAR FROM n")
 
 
-def tx_unique(spark: SparkSession, d: str) -> DataFrame:
-    """Unique values that would clash: found before facts are changed."""
-    f = few(spark, d)
-    return f.filter("a = ':nationkey'").groupBy("v").agg(F.count_distinct("e").alias("n")).filter("n > 1").select(F.col("v.lng").alias("v"), "n")
+def orders_of_customers(spark: SparkSession, d: str) -> Facts:
+    """Customers with their orders as components, and suppliers that refer to the customer with their number."""
+    c, o, s = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "orders", "supplier"))
+    order = F.col("o_orderkey") + 10**10
+    rows = rows_of(c, F.col("c_custkey"), name=(F.col("c_name"), "string")).unionByName(rows_of(c, F.col("c_custkey"), nationkey=(F.col("c_nationkey"), "long")))
+    rows = rows.unionByName(rows_of(o, F.col("o_custkey"), order=(order, "long"))).unionByName(rows_of(o, order, status=(F.col("o_orderstatus"), "string")))
+    rows = rows.unionByName(rows_of(s, F.col("s_suppkey") + 10**11, client=(F.col("s_suppkey"), "long")))
+    many = {":db/valueType": ":db.type/ref", ":db/cardinality": ":db.cardinality/many", ":db/isComponent": True}
+    return init_facts(rows, {":order": many, ":client": {":db/valueType": ":db.type/ref"}})
 
 
-plain("tx_unique", tx_unique, "SELECT c_nationkey::BIGINT AS v, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
+ORDERS = """f AS (SELECT c_custkey::BIGINT AS e, ':name' AS a, c_name AS v, c_custkey AS c FROM customer UNION ALL SELECT c_custkey, ':nationkey', c_nationkey::VARCHAR, c_custkey FROM customer
+  UNION ALL SELECT o_custkey, ':order', (o_orderkey + 10000000000)::VARCHAR, o_custkey FROM orders UNION ALL SELECT o_orderkey + 10000000000, ':status', o_orderstatus, o_custkey FROM orders
+  UNION ALL SELECT s_suppkey + 100000000000, ':client', s_suppkey::VARCHAR, s_suppkey FROM supplier)"""
 
 
-def tx_tuple(spark: SparkSession, d: str) -> DataFrame:
-    from .operators.index import composite
+def tx_retract_entity(spark: SparkSession, d: str) -> DataFrame:
+    """Without the customers of the nation 5, their orders, and what refers to them."""
+    f = orders_of_customers(spark, d)
+    return shown(f.retract(f.df.filter("a = ':nationkey' and v.lng = 5").select("e")).df)
 
-    return composite(few(spark, d), [":name", ":nationkey"]).select("e", F.col("parts")[0]["str"].alias("name"), F.col("parts")[1]["lng"].alias("nation"))
 
+plain("tx_retract_entity", tx_retract_entity, f"WITH {ORDERS} SELECT e, a, v FROM f WHERE c NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 5)")
 
-plain("tx_tuple", tx_tuple, "SELECT c_custkey + 1 AS e, c_name AS name, c_nationkey::BIGINT AS nation FROM customer")
 
+def tx_unique(spark: SparkSession, d: str) -> DataFrame:
+    """What the check of unique attributes finds, were nations unique: the transaction that adds them is refused with its first row."""
+    f = init_facts(few(spark, d), {":nationkey": {":db/unique": ":db.unique/value"}})
+    return clashes(f.df, [":nationkey"]).select(F.col("v.lng").alias("v"), "n")
+
+
+plain("tx_unique", tx_unique, "SELECT c_nationkey::BIGINT AS v, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
 
-def serializable(spark: SparkSession, d: str) -> DataFrame:
-    """Facts written as a dump and read back."""
-    from .conn import conn_from_datoms
-    from .serialize import from_serializable, to_serializable
 
-    rows = spark.read.parquet(f"{d}/nation.parquet").collect()
-    db = conn_from_datoms([(r["n_nationkey"] + 1, ":name", r["n_name"]) for r in rows]).db
-    return from_serializable(to_serializable(db)).frame(spark).select("e", F.col("v.str").alias("v"))
+def tx_tuple(spark: SparkSession, d: str) -> DataFrame:
+    """The composites that follow as the nation 5 becomes 99, and those of the others, from adding all nations."""
+    base = few(spark, d)
+    f = init_facts(base.filter("a = ':name'"), {":name+nation": {":db/tupleAttrs": [":name", ":nationkey"]}})
+    f = f.add(base.filter("a = ':nationkey'")).add(_set_nation(base.filter("a = ':nationkey' and v.lng = 5"), 99))
+    return f.df.filter("a = ':name+nation'").select("e", F.col("v.str").alias("v"))
 
 
-plain("serializable", serializable, "SELECT (n_nationkey + 1)::BIGINT AS e, n_name AS v FROM nation")
-plain("from_serializable", serializable, ORACLE_SQL["serializable"])
+plain("tx_tuple", tx_tuple, """SELECT c_custkey + 1 AS e, '00000002[{"v":"' || c_name || '"} {"v":' || CASE WHEN c_nationkey = 5 THEN 99 ELSE c_nationkey END || '.0}]' AS v FROM customer""")
+LINE = """'{"e":' || e || ',"a":"' || a || '","v":{' || CASE WHEN a = ':name' THEN '"rank":5,"str":"' || v || '"' ELSE '"rank":4,"num":' || v || '.0,"lng":' || v END || '},"tx":536870913}'"""
+plain("serializable", lambda s, d: init_facts(few(s, d)).to_lines(), f"WITH {FACTS} SELECT {LINE} AS line FROM f")
+plain("from_serializable", lambda s, d: shown(from_lines(init_facts(few(s, d)).to_lines()).df), f"WITH {FACTS} SELECT e, a, v FROM f")
 
 # ---- pull
 
@@ -456,7 +444,16 @@ pulled("pull_many", "nation", "[:nation/n_name]", ["id", "n_name"], "SELECT n_na
 pulled("pull_nested", "customer", "[:customer/c_name {:customer/c_nationkey [:nation/n_name {:nation/n_regionkey [:region/r_name]}]}]", ["id", "c_name", "c_nationkey.n_name as n_name", "c_nationkey.n_regionkey.r_name as r_name"], "SELECT c_custkey AS id, c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 pulled("pull_reverse", "region", "[:region/r_name {:nation/_n_regionkey [:nation/n_name]}]", ["id", "r_name", "transform(n_regionkey, x -> x.n_name) as nations"], "SELECT r_regionkey AS id, r_name, list(n_name ORDER BY n_nationkey) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
 pulled("pull_limit", "region", "[{(limit :nation/_n_regionkey 2) [:nation/n_name]}]", ["id", "transform(n_regionkey, x -> x.n_name) as nations"], "SELECT n_regionkey AS id, list(n_name ORDER BY n_nationkey)[1:2] AS nations FROM nation GROUP BY 1")
-pulled("pull_multival", "region", "[{:nation/_n_regionkey [:nation/n_nationkey]}]", ["id", "transform(n_regionkey, x -> x.n_nationkey) as keys"], "SELECT n_regionkey AS id, list(n_nationkey ORDER BY n_nationkey) AS keys FROM nation GROUP BY 1")
+
+
+def pull_multival(spark: SparkSession, d: str) -> DataFrame:
+    """An attribute with many values: the names of each region's nations, as facts of the region."""
+    rows = rows_of(spark.read.parquet(f"{d}/nation.parquet"), F.col("n_regionkey"), nation=(F.col("n_name"), "string"))
+    source = DatomSource.of_frame(spark, rows, {":nation": {":db/cardinality": ":db.cardinality/many"}})
+    return pull_df(source, rows.select(F.col("e").alias("id")).distinct(), "[(limit :nation 3)]").select("id", F.col("nation").alias("names"))
+
+
+plain("pull_multival", pull_multival, "SELECT n_regionkey::BIGINT AS id, list(n_name ORDER BY n_name)[1:3] AS names FROM nation GROUP BY 1")
 pulled("pull_default", "documents", '[(default :documents/lang "none") :documents/n_chars]', ["id", "lang", "n_chars"], "SELECT doc_id AS id, coalesce(lang, 'none') AS lang, n_chars FROM documents")
 pulled("pull_as", "nation", "[[:nation/n_name :as :label]]", ["id", "label"], "SELECT n_nationkey AS id, n_name AS label FROM nation")
 pulled("pull_wildcard", "nation", "[*]", ["id", "n_nationkey", "n_name", "n_regionkey"], "SELECT n_nationkey AS id, n_nationkey, n_name, n_regionkey FROM nation")
@@ -470,49 +467,33 @@ def pull_xform(spark: SparkSession, d: str) -> DataFrame:
 plain("pull_xform", pull_xform, "SELECT n_nationkey AS id, upper(n_name) AS n_name FROM nation")
 
 
-def pull_recursion(depth: Any) -> Run:
+def pull_recursion(depth: int | None) -> Run:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        """Chains of nations (each friend of the next) pulled to a depth, as paths of names."""
-        from .conn import create_conn
-        from .edn import read
-        from .operators.pull import pull_many
-
-        rows = spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").collect()
-        conn = create_conn(read("{:friend {:db/valueType :db.type/ref}}"))
-        conn.transact([{":db/id": r["n_nationkey"] + 1, ":name": r["n_name"]} | ({":friend": r["n_nationkey"] + 2} if r["n_nationkey"] + 1 < len(rows) else {}) for r in rows])
-        out = []
-        for i, x in enumerate(pull_many(conn.db, [Keyword(":name"), {Keyword(":friend"): depth}], [r["n_nationkey"] + 1 for r in rows])):
-            names = []
-            while x:
-                names.append(x[":name"])
-                x = x.get(":friend")  # noqa: PLW2901
-            out.append((i, "/".join(names)))
-        return spark.createDataFrame(out, "id long, path string")
+        """Customers whose superior is the one with half their number, pulled to a depth, as paths of names."""
+        c = spark.read.parquet(f"{d}/customer.parquet")
+        above = c.filter("c_custkey > 1")
+        rows = rows_of(c, F.col("c_custkey"), name=(F.col("c_name"), "string")).unionByName(rows_of(above, F.col("c_custkey"), boss=(F.expr("c_custkey div 2"), "long")))
+        f = init_facts(rows, {":boss": {":db/valueType": ":db.type/ref"}})
+        met = f.pull_rows(c.select(F.col("c_custkey").cast("long").alias("id")), [":name"], [":boss"], depth)
+        names = F.sort_array(F.collect_list(F.struct(F.size("path"), F.col("v.str").alias("name"))))
+        return met.groupBy(F.col("root").alias("id")).agg(F.array_join(F.transform(names, lambda x: x["name"]), "/").alias("path"))
 
     return run
 
 
-plain("pull_recursion_n", pull_recursion(2), "SELECT a.n_nationkey::BIGINT AS id, string_agg(b.n_name, '/' ORDER BY b.n_nationkey) AS path FROM nation a JOIN nation b ON b.n_nationkey BETWEEN a.n_nationkey AND a.n_nationkey + 2 GROUP BY 1")
-plain("pull_recursion_inf", pull_recursion("..."), "SELECT a.n_nationkey::BIGINT AS id, string_agg(b.n_name, '/' ORDER BY b.n_nationkey) AS path FROM nation a JOIN nation b ON b.n_nationkey >= a.n_nationkey GROUP BY 1")
+CHAIN = "WITH RECURSIVE t(id, e, n) AS (SELECT c_custkey::BIGINT, c_custkey::BIGINT, 0 FROM customer UNION ALL SELECT id, e // 2, n + 1 FROM t WHERE e > 1)"
+plain("pull_recursion_n", pull_recursion(2), f"{CHAIN} SELECT id, string_agg(c_name, '/' ORDER BY n) AS path FROM t JOIN customer ON e = c_custkey WHERE n <= 2 GROUP BY 1")
+plain("pull_recursion_inf", pull_recursion(None), f"{CHAIN} SELECT id, string_agg(c_name, '/' ORDER BY n) AS path FROM t JOIN customer ON e = c_custkey GROUP BY 1")
 
 
 def pull_component(spark: SparkSession, d: str) -> DataFrame:
-    """Regions with their nations as components: a wildcard expands them."""
-    from .conn import create_conn
-    from .edn import read
-    from .operators.pull import pull
-
-    conn = create_conn(read("{:part {:db/valueType :db.type/ref :db/isComponent true :db/cardinality :db.cardinality/many}}"))
-    rows = spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").collect()
-    by: dict[int, list[str]] = {}
-    for r in rows:
-        by.setdefault(r["n_regionkey"], []).append(r["n_name"])
-    conn.transact([{":db/id": k + 1, ":region": k} for k in by])
-    conn.transact([{":db/id": k + 1, ":part": [{":name": n} for n in names]} for k, names in sorted(by.items())])
-    return spark.createDataFrame([(k, ",".join(x[":name"] for x in pull(conn.db, "[*]", k + 1)[":part"])) for k in sorted(by)], "id long, parts string")
-
-
-plain("pull_component", pull_component, "SELECT n_regionkey::BIGINT AS id, string_agg(n_name, ',' ORDER BY n_nationkey) AS parts FROM nation GROUP BY 1")
+    """Customers with all their attributes, and those of their components."""
+    f = orders_of_customers(spark, d)
+    met = f.pull_rows(f.df.filter("a = ':name'").select(F.col("e").alias("id")))
+    return met.select("root", "e", "a", F.coalesce("v.str", F.col("v.lng").cast("string")).alias("v"))
+
+
+plain("pull_component", pull_component, f"WITH {ORDERS} SELECT c::BIGINT AS root, e, a, v FROM f WHERE a != ':client'")
 
 
 def find_pull(spark: SparkSession, d: str) -> DataFrame:

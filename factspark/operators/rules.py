@@ -4,6 +4,10 @@ A rule that does not reach itself is put in place, as a disjunction over its
 head variables.  A recursive one is evaluated with all rules that it reaches
 and that reach it, semi-naively: each round joins what the last round added,
 and stops when nothing is new.  Rounds are written to the shared folder.
+
+What a call binds reaches the first round: a transitive closure starts from
+the edges at the bound end only, and other rules start from the bound values
+of arguments that they hand on unchanged.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 from dataclasses import replace
 from typing import Any
 
+from ..functions.builtins import Arg, constant, equal
 from ..plans.compile import Context, Known, check_order, disjunction, product, resolve
 from ..plans.syntax import And, Blank, Branch, Const, Function, Not, Or, Pattern, Plain, Predicate, QueryError, RuleCall, Src, Var, vars_of
 from ..sources.base import Rel, join, materialise, union
@@ -178,7 +183,16 @@ def _fixpoint(name: str, ctx: Context, args: tuple) -> Rel:
     if not total:
         raise QueryError(f"rule '{name}' has no branch to start from")
     if _is_closure(name, rules, group):
+        for i in (0, 1):
+            seeds = _bound(total[name], f"h{i}", args[i], ctx)
+            if seeds is not None:
+                return _paths_from(seeds, total[name], i)
         return _closure(total[name])
+    for i, a in enumerate(args):
+        if group == {name} and _handed_on(rules[name], name, i) and f"h{i}" in total[name].kinds:
+            seeds = _bound(total[name], f"h{i}", a, ctx)
+            if seeds is not None:
+                total[name] = Rel(materialise(seeds.df), seeds.kinds, seeds.unique)
     delta = dict(total)
     while delta:
         found: dict[str, Rel] = {}
@@ -225,6 +239,43 @@ def _is_closure(name: str, rules: dict[str, list[Branch]], group: set[str]) -> b
     return False
 
 
+def _bound(rel: Rel, h: str, a: Any, ctx: Context) -> Rel | None:
+    """The rows of rel whose column h has the value, or one of the values, that the call gives it; None if it gives none."""
+    if isinstance(a, Const) or (isinstance(a, Var) and a.name in ctx.fixed and not callable(ctx.fixed[a.name])):
+        value = a.value if isinstance(a, Const) else ctx.fixed[a.name]
+        return rel.filter(equal(Arg(rel.col(h), rel.kinds[h]), constant(value)))
+    for held in ctx.rels:
+        if isinstance(a, Var) and a.name in held.kinds:
+            values = Rel(held.df.select(held.col(a.name).alias(h)), {h: held.kinds[a.name]}).distinct()
+            kept = join(rel, values, "left_semi")
+            return Rel(kept.df, kept.kinds, rel.unique)
+    return None
+
+
+def _handed_on(branches: list[Branch], name: str, i: int) -> bool:
+    """Whether every call of the rule to itself has the rule's own i-th argument in the i-th place."""
+    return all(c.args[i] == [*b.required, *b.free][i] for b in branches for c in calls_in(b.clauses) if c.name == name)
+
+
+def _paths_from(seeds: Rel, edges: Rel, end: int) -> Rel:
+    """Paths of any length that begin (end 0) or stop (end 1) with an edge of seeds: each round is one edge longer."""
+    from ..sources.base import common_kind
+
+    if common_kind(edges.kinds["h0"], edges.kinds["h1"]) is None:
+        return seeds
+    total = new = Rel(materialise(seeds.df), seeds.kinds, frozenset(seeds.kinds))
+    grows, stays = ("h1", "h0") if end == 0 else ("h0", "h1")
+    step = Rel(edges.df.select(edges.col("h0").alias("t" if end == 0 else "h0"), edges.col("h1").alias("h1" if end == 0 else "t")), {"t": edges.kinds[stays], grows: edges.kinds[grows]})
+    while True:
+        at = Rel(new.df.select(new.col(stays), new.col(grows).alias("t")), {stays: new.kinds[stays], "t": new.kinds[grows]})
+        found = join(join(at, step).project(["h0", "h1"]).distinct(), total, "left_anti")
+        new = Rel(materialise(found.df), found.kinds, frozenset(found.kinds))
+        if new.df.isEmpty():
+            return total
+        both = union(total, new)
+        total = Rel(both.df, both.kinds, frozenset(both.kinds))
+
+
 def _closure(edges: Rel) -> Rel:
     """Paths of any length, doubling the length that is covered each round."""
     from ..sources.base import common_kind

@@ -320,7 +320,7 @@ def function(c: Function, ctx: Context) -> Context:
     ctx, rel = ctx.together(set(vars_of(c.args)))
     fn = function_of(ctx, c.fn, "function")
     args = [argument(ctx, rel, a) for a in c.args]
-    if all(a.fixed for a in args) and isinstance(c.fn, Plain) and c.fn.name in ("ground", "identity", "untuple"):
+    if all(a.fixed for a in args) and isinstance(c.fn, Plain) and c.fn.name in ("ground", "identity", "untuple", "re-pattern"):
         value = args[0].value
         if isinstance(c.binding, BindScalar) and c.binding.var.name not in ctx.bound():
             return ctx.with_(fixed=ctx.fixed | {c.binding.var.name: value})

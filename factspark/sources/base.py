@@ -131,17 +131,27 @@ class Source:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on a local master, where it is unset, one of this machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise QueryError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="factspark-"))
         found = sc.getCheckpointDir()
     return found
 
 
+def until_exit(spark: SparkSession, path: str) -> str:
+    """path, which is deleted when the driver ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, which ends its lineage."""
+    """df written to the shared folder and read back, which ends its lineage; the driver deletes it when it ends."""
     path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

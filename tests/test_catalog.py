@@ -56,14 +56,14 @@ def test_rules_on_all_parts(spark, tmp_path):
     """The closure of a table beyond 200 parts, against brute force."""
     spark.range(1, 701).selectExpr("id AS p_partkey").write.parquet(str(tmp_path / "part.parquet"))
     reach = {(k >> i, k) for k in range(1, 701) for i in range(1, k.bit_length() + 1)}
-    assert {tuple(r) for r in QUERIES["rule_recursive_all"](spark, str(tmp_path)).collect()} == reach
-    assert {r[0] for r in QUERIES["rule_const_arg_all"](spark, str(tmp_path)).collect()} == {b for a, b in reach if a == 3}
+    assert {tuple(r) for r in QUERIES["rule_recursive"](spark, str(tmp_path)).collect()} == reach
+    assert {r[0] for r in QUERIES["rule_const_arg"](spark, str(tmp_path)).collect()} == {b for a, b in reach if a == 3}
 
 
 def test_whole_tables_take_part(spark):
     """Not only the first suppliers are joined, nor the first customers compared."""
-    below = {r["a"] for r in QUERIES["theta_join_all"](spark, "/root/testdata/sf0.01").select("a").distinct().collect()}
+    below = {r["a"] for r in QUERIES["theta_join"](spark, "/root/testdata/sf0.01").select("a").distinct().collect()}
     assert len(below) > 50
-    sides = QUERIES["db_diff_all"](spark, SF).groupBy("side").count().collect()
+    sides = QUERIES["db_diff"](spark, SF).groupBy("side").count().collect()
     facts = 2 * spark.read.parquet(f"{SF}/customer.parquet").count()
     assert {r["side"] for r in sides} == {"a", "b", "both"} and sum(r["count"] for r in sides if r["side"] != "b") == facts
