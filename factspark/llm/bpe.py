@@ -13,6 +13,7 @@ give repeated results.  Extra columns of the input are not passed on.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -24,8 +25,10 @@ from pyspark.sql import DataFrame
 
 from .common import blocks, map_batches, small_batches
 
-#: Words kept encoded in each worker; beyond that the cache starts anew.
-CACHE_WORDS = 400_000
+#: Words kept encoded in each worker, and the longest one kept; beyond that number the cache starts anew.
+CACHE_WORDS, CACHE_BYTES = 400_000, 256
+#: Symbols of a word beyond which it is merged by itself, from a queue of pairs: rounds over it would take as many passes as it has ranks.
+LONG_WORD = 1000
 #: How the vocabulary's pre-tokenizer splits texts.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _SHIFT = 20
@@ -67,8 +70,11 @@ class Codec:
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
         if not words:
             return out
-        symbols = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
+        for i in set(range(len(words))) - set(short):
+            out[i] = self.encode_long(words[i])
+        symbols = self.of_byte[np.frombuffer(b"".join([words[i] for i in short]), np.uint8)]
+        word = np.repeat(np.array(short, np.int64), [len(words[i]) for i in short])
         while len(symbols):
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             rank = np.full(len(symbols), _NONE)
@@ -95,6 +101,38 @@ class Codec:
             symbols, word = symbols[keep], word[keep]
         return out
 
+    def encode_long(self, word: bytes) -> np.ndarray:
+        """The ids of one long word: pairs wait in a heap by rank and place, and each merge looks at its two new neighbours only."""
+        symbols = self.of_byte[np.frombuffer(word, np.uint8)].tolist()
+        n = len(symbols)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        found: dict[int, tuple[int, int] | None] = {}
+
+        def rule(i: int) -> tuple[int, int] | None:
+            """Rank and result of the pair that begins at i."""
+            key = (symbols[i] << _SHIFT) | symbols[after[i]]
+            if key not in found:
+                at = int(np.searchsorted(self.keys, key))
+                found[key] = (int(self.ranks[at]), int(self.merged[at])) if at < len(self.keys) and self.keys[at] == key else None
+            return found[key]
+
+        waiting = [(r[0], i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rule(i))]
+        heapq.heapify(waiting)
+        while waiting:
+            _, i, x, y = heapq.heappop(waiting)
+            j = after[i]
+            if symbols[i] != x or j < 0 or symbols[j] != y:
+                continue  # a merge has changed the pair
+            symbols[i] = rule(i)[1]
+            symbols[j] = -1
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] >= 0 and (r := rule(k)):
+                    heapq.heappush(waiting, (r[0], k, symbols[k], symbols[after[k]]))
+        return np.array([x for x in symbols if x >= 0], np.int64)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         parts = [self.cut(t) if self.cut and any(s in t for s in self.special) else [t] for t in texts]
@@ -105,10 +143,13 @@ class Codec:
                 self.cache.clear()
                 new = {w for ps in split for words in ps if not isinstance(words, int) for w in words}
             fresh = list(new)
-            for w, ids in zip(fresh, self.encode_words([w.encode() for w in fresh]), strict=True):
-                self.cache[w] = ids.astype("<u4").tobytes()
+            coded = dict(zip(fresh, (ids.astype("<u4").tobytes() for ids in self.encode_words([w.encode() for w in fresh])), strict=True))
+            self.cache |= coded
         get = self.cache.__getitem__
-        return [b"".join(words.to_bytes(4, "little") if isinstance(words, int) else b"".join(map(get, words)) for words in ps) for ps in split]
+        out = [b"".join(words.to_bytes(4, "little") if isinstance(words, int) else b"".join(map(get, words)) for words in ps) for ps in split]
+        for w in [w for w in new if len(w) > CACHE_BYTES]:
+            del self.cache[w]
+        return out
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")

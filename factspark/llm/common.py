@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.base import shared_dir as shared_dir
+from ..sources.base import until_exit
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bytes of text that a Python worker holds in numpy form at once.
 BLOCK_BYTES = 1 << 18
 
@@ -19,48 +25,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="factspark-"))
-        found = sc.getCheckpointDir()
-    return found
-
-
-_written: list[str] = []
 _CLEANUP = ("spark.sql.shuffleDependency.fileCleanup.enabled", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+_cutting: dict[int, tuple[int, dict[str, str | None]]] = {}  # by session: cuts under way, and the options before the first
+_lock = threading.Lock()
+_collecting: ContextVar[list[str] | None] = ContextVar("_collecting", default=None)
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go once the table behind them is written; the options are put back after the last of several cuts at a time."""
+    with _lock:
+        n, before = _cutting.get(id(spark), (0, {}))
+        if not n:
+            before = {k: spark.conf.get(k, None) for k in _CLEANUP}
+            for k in _CLEANUP:
+                spark.conf.set(k, "true")
+        _cutting[id(spark)] = n + 1, before
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _cutting[id(spark)]
+            _cutting[id(spark)] = n - 1, before
+            if n == 1:
+                for k, v in before.items():
+                    spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
+    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation.
+
+    The driver deletes the table when it ends, if nobody has before.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    # The shuffle files behind the table are of no use once it is written.
-    before = {k: spark.conf.get(k, None) for k in _CLEANUP}
-    for k in _CLEANUP:
-        spark.conf.set(k, "true")
-    try:
+    with _cleaning(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    _written.append(path)
+    until_exit(spark, path)
+    if (paths := _collecting.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written() -> list[str]:
-    """The tables that cut() wrote and drop() did not delete."""
-    return list(_written)
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """A list that gets the tables which cut() writes meanwhile, in this thread."""
+    paths: list[str] = []
+    token = _collecting.set(paths)
+    try:
+        yield paths
+    finally:
+        _collecting.reset(token)
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes tables of cut() whose readers have finished."""
+    """Deletes tables whose readers have finished."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
-        if path in _written:
-            _written.remove(path)
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
 
@@ -71,8 +92,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches to Python hold so many rows at most, so that long texts do not pile up in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    """Arrow batches to Python hold so many rows at most, so that long texts do not pile up in one batch.
+
+    The option is read when a query runs, so it stays; a session that has a
+    value of its own keeps it.
+    """
+    if spark.conf.get(_BATCH) in ("10000", str(rows)):
+        spark.conf.set(_BATCH, rows)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

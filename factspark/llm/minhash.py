@@ -121,10 +121,10 @@ def _linked(x: Column, y: Column, percent: int) -> Column:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are within the threshold."""
+    """The pairs (a, b) whose full sets are within the threshold; of repeated rows each counts.  No aggregation follows, so that a hub's join can be split."""
     one, two = sets.select(F.col("id").alias("a"), F.col("sh").alias("x")), sets.select(F.col("id").alias("b"), F.col("sh").alias("y"))
     # The join's own condition verifies, so that only links leave it.
-    return pairs.join(one, "a").join(two, (pairs["b"] == two["b"]) & _linked(F.col("x"), F.col("y"), percent)).select("a", pairs["b"]).distinct()
+    return pairs.join(one, "a").join(two, (pairs["b"] == two["b"]) & _linked(F.col("x"), F.col("y"), percent)).select("a", pairs["b"])
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
