@@ -12,5 +12,5 @@ _PLAIN: dict[str, Callable[..., Any]] = {
 
 def python_builtin(name: str) -> Callable[..., Any]:
     if name not in _PLAIN:
-        raise ValueError(f"Can't resolve symbol {name}")
+        raise ValueError(f"nothing is named {name}")
     return _PLAIN[name]

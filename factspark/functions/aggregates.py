@@ -66,7 +66,7 @@ def aggregate(rel: Rel, keys: list[str], aggregates: list[Aggregate], ctx: Any)
                 module, _, attr = f.fn.name.rpartition("/")
                 fn = getattr(importlib.import_module(module), attr)
             if fn is None:
-                raise QueryError(f"Unknown aggregate '{f.fn.name}'")
+                raise QueryError(f"no aggregate {f.fn.name}")
             more = [F.lit(_value(a, ctx)) for a in f.args[:-1]]
             cols.append(fn(*more, c).alias(f"__a{i}"))
             kinds.append(getattr(fn, "kind", kind))

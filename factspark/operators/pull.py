@@ -51,7 +51,7 @@ class Wildcard:
 def parse_pattern(p: Any) -> tuple:
     p = read(p) if isinstance(p, str) else p
     if not isinstance(p, list | tuple) or isinstance(p, Form):
-        raise QueryError(f"Expected pull pattern as a sequence, got {p!r}")
+        raise QueryError(f"a pull pattern is a sequence, not {p!r}")
     out: dict[Any, Any] = {}
     for x in p:
         for s in _specs(x):
@@ -80,7 +80,7 @@ def _attr(x: Any) -> Spec:
         spec = _attr(x[0])
         opts = list(x[1:])
         if len(opts) % 2:
-            raise QueryError(f"Expected even number of opts in pull attribute: {x!r}")
+            raise QueryError(f"an option of a pulled attribute has no value: {x!r}")
         for k, v in zip(map(str, opts[::2]), opts[1::2], strict=True):
             if k == ":limit":
                 spec = _limited(spec, v)
@@ -91,9 +91,9 @@ def _attr(x: Any) -> Spec:
             elif k == ":xform":
                 spec = _with(spec, xform=_xform(v))
             else:
-                raise QueryError(f"Unknown pull option {k}")
+                raise QueryError(f"no option of pull is {k}")
         return spec
-    raise QueryError(f"Expected pull attribute, got {x!r}")
+    raise QueryError(f"nothing to pull: {x!r}")
 
 
 def _with(s: Spec, **changes: Any) -> Spec:
@@ -104,7 +104,7 @@ def _with(s: Spec, **changes: Any) -> Spec:
 
 def _limited(s: Spec, n: Any) -> Spec:
     if n is not None and (not isinstance(n, int) or n <= 0):
-        raise QueryError(f"Expected limit to be a positive number or nil, got {n!r}")
+        raise QueryError(f"a limit is positive or nil, not {n!r}")
     return _with(s, limit=n)
 
 
@@ -117,7 +117,7 @@ def _specs(x: Any) -> list:
             s = _attr(list(k) if isinstance(k, tuple) and not isinstance(k, Form) else k)
             if v == "..." or (isinstance(v, int) and not isinstance(v, bool)):
                 if not v == "..." and v <= 0:
-                    raise QueryError(f"Expected recursion limit to be positive, got {v}")
+                    raise QueryError(f"a depth is positive, not {v}")
                 out.append(_with(s, depth=float("inf") if v == "..." else v))
             else:
                 out.append(_with(s, nested=parse_pattern(v)))

@@ -84,14 +84,14 @@ def fresh(branch: Branch, heads: list[Any], target: list[Var]) -> Branch:
 def call(c: RuleCall, ctx: Context) -> Context:
     branches = ctx.rules.get(c.name)
     if branches is None:
-        raise QueryError(f"Unknown rule '{c.name}' in {c}")
+        raise QueryError(f"no rule {c.name} for {c}")
     head = [*branches[0].required, *branches[0].free]
     if len(c.args) != len(head):
-        raise QueryError(f"Wrong number of arguments to rule '{c.name}': {len(c.args)}")
+        raise QueryError(f"the rule {c.name} does not take {len(c.args)} arguments")
     args = tuple(Var(a.name) if isinstance(a, Plain) else a for a in c.args)
     for a in args[: len(branches[0].required)]:
         if isinstance(a, Var) and a.name not in ctx.bound():
-            raise QueryError(f"Insufficient bindings: #{{{a.name}}} not bound in {c}")
+            raise QueryError(f"unbound: {a.name} in {c}")
     scoped = ctx.with_(sources=ctx.sources | {"$": ctx.source(c.src)}) if c.src.name != "$" else ctx
     if c.name in reach(ctx.rules, c.name):
         return _back(ctx, _fixpoint(c.name, scoped, args), args)

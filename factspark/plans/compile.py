@@ -54,7 +54,7 @@ class Context:
 
     def source(self, src: Src) -> Source:
         if src.name not in self.sources:
-            raise QueryError(f"Where uses unknown source vars: [{src.name}]")
+            raise QueryError(f"no input for the source {src.name}")
         return self.sources[src.name]
 
     def add(self, rel: Rel) -> Context:
@@ -96,9 +96,9 @@ def one_row(spark: SparkSession) -> Rel:
 
 def bind_inputs(q: Query, inputs: tuple, spark: SparkSession) -> Context:
     if len(inputs) > len(q.inputs):
-        raise QueryError(f"Extra inputs passed, expected: {len(q.inputs)}, got: {len(inputs)}")
+        raise QueryError(f"the query takes {len(q.inputs)} inputs, {len(inputs)} were given: too many")
     if len(inputs) < len(q.inputs):
-        raise QueryError(f"Too few inputs passed, expected: {len(q.inputs)}, got: {len(inputs)}")
+        raise QueryError(f"the query takes {len(q.inputs)} inputs, {len(inputs)} were given: not enough")
     from .parse import parse_rules
 
     ctx = Context(spark, {})
@@ -130,15 +130,15 @@ def flatten(b: Any, x: Any) -> list[dict[str, Any]]:
         return [{b.var.name: x}]
     if isinstance(b, BindTuple):
         if not isinstance(x, list | tuple):
-            raise QueryError(f"Cannot bind value {x!r} to tuple")
+            raise QueryError(f"no tuple to bind: {x!r}")
         if len(x) < len(b.parts):
-            raise QueryError(f"Not enough elements in a collection {x!r} to bind tuple")
+            raise QueryError(f"too short for the tuple that it is bound to: {x!r}")
         rows: list[dict[str, Any]] = [{}]
         for p, y in zip(b.parts, x, strict=False):
             rows = [r | s for r in rows for s in flatten(p, y)]
         return rows
     if isinstance(x, str | int | float) or x is None:
-        raise QueryError(f"Cannot bind value {x!r} to collection")
+        raise QueryError(f"no collection to bind: {x!r}")
     items = x.items() if isinstance(x, dict) else x
     return [r for y in items for r in flatten(b.inner, y)]
 
@@ -165,34 +165,34 @@ def check_order(clauses: tuple, bound: set[str], rules: dict) -> set[str]:
         if isinstance(c, Predicate | Function):
             needs = set(vars_of(c.args)) | set(vars_of(c.fn))
             if needs - bound:
-                raise QueryError(f"Insufficient bindings: #{{{' '.join(sorted(needs - bound))}}} not bound in {c}")
+                raise QueryError(f"unbound: {' '.join(sorted(needs - bound))} in {c}")
             bound |= set(vars_of(c.binding)) if isinstance(c, Function) else set()
         elif isinstance(c, Not):
             names = set(vars_of(c))
             if c.vars is not None:
                 if missing := {v.name for v in c.vars} - bound:
-                    raise QueryError(f"Insufficient bindings: #{{{' '.join(sorted(missing))}}} not bound in {c}")
+                    raise QueryError(f"unbound: {' '.join(sorted(missing))} in {c}")
                 check_order(c.clauses, {v.name for v in c.vars}, rules)
             else:
                 if not names & bound:
-                    raise QueryError(f"Insufficient bindings: none of #{{{' '.join(sorted(names))}}} is bound in {c}")
+                    raise QueryError(f"unbound: each of {' '.join(sorted(names))} in {c}")
                 check_order(c.clauses, bound, rules)
         elif isinstance(c, Or):
             if c.free is None:
                 free = [set(vars_of(b)) - bound for b in c.branches]
                 if any(f != free[0] for f in free):
-                    raise QueryError(f"All clauses in 'or' must use same set of free vars, had {[sorted(f) for f in free]} in {c}")
+                    raise QueryError(f"branches of or bind different variables, {[sorted(f) for f in free]}, in {c}")
                 for b in c.branches:
                     check_order((b,), bound, rules)
                 bound |= free[0]
             else:
                 if missing := {v.name for v in c.required} - bound:
-                    raise QueryError(f"Insufficient bindings: #{{{' '.join(sorted(missing))}}} not bound in {c}")
+                    raise QueryError(f"unbound: {' '.join(sorted(missing))} in {c}")
                 given = {v.name for v in c.required} | ({v.name for v in c.free} & bound)
                 for b in c.branches:
                     after = check_order((b,), given, rules)
                     if lost := {v.name for v in c.free} - after:
-                        raise QueryError(f"All clauses in 'or' must use same set of free vars, {sorted(lost)} not bound in {b}")
+                        raise QueryError(f"branches of or bind different variables: {sorted(lost)} not in {b}")
                 bound |= {v.name for v in c.free}
         elif isinstance(c, And):
             bound = check_order(c.clauses, bound, rules)
@@ -276,7 +276,7 @@ def function_of(ctx: Context, fn: Any, what: str) -> Callable[[list[Arg]], Arg]:
         except (ImportError, AttributeError):
             f = None
     if f is None:
-        raise QueryError(f"Unknown {what} '{name}'")
+        raise QueryError(f"no {what} {name}")
     return lambda args: _call(f, args)
 
 
@@ -303,7 +303,7 @@ def predicate(c: Predicate, ctx: Context) -> Context:
     if any(isinstance(a, Src) for a in c.args):
         f = ctx.fixed.get(c.fn.name)
         if f is None:
-            raise QueryError(f"Unknown predicate '{c.fn.name}'")
+            raise QueryError(f"no predicate {c.fn.name}")
         args = [ctx.source(a) if isinstance(a, Src) else argument(ctx, rel, a).col for a in c.args]
         cond = f(*args)
     else:
@@ -381,7 +381,7 @@ def _get_else(c: Function, ctx: Context) -> Context:
     ctx, rel = ctx.together(set(vars_of((e, default))))
     d = argument(ctx, rel, default)
     if d.kind == "nil":
-        raise QueryError("get-else: nil default value is not supported")
+        raise QueryError("get-else needs a default that is a value")
     facts = _facts(ctx, src, rel, e, attr, "__v")
     kind = facts.kinds["__v"]
     if kind != d.kind:

@@ -37,7 +37,7 @@ class Schema:
             for part in x.tuple_attrs:
                 if part in self.attrs and (self.attrs[part].many or self.attrs[part].tuple_attrs):
                     what = "tuple" if self.attrs[part].tuple_attrs else "multi-cardinality"
-                    raise SchemaError(f"{a} :db/tupleAttrs can't depend on {what} attribute: {part}")
+                    raise SchemaError(f"{a} is composed of {part}, a {what} attribute")
                 self.tuples_of.setdefault(part, []).append(a)
 
     @staticmethod
@@ -45,19 +45,19 @@ class Schema:
         allowed = {":db/valueType": {":db.type/ref", ":db.type/tuple"}, ":db/cardinality": {":db.cardinality/one", ":db.cardinality/many"}, ":db/unique": {":db.unique/value", ":db.unique/identity"}}
         for key, values in allowed.items():
             if p.get(key) is not None and str(p[key]) not in values:
-                raise SchemaError(f"Bad attribute specification for {{{a} {{{key} {p[key]}}}}}, expected one of {' '.join(sorted(values))}")
+                raise SchemaError(f"{key} of {a} is {p[key]}, not one of {' '.join(sorted(values))}")
         ref, many = str(p.get(":db/valueType")) == ":db.type/ref", str(p.get(":db/cardinality")) == ":db.cardinality/many"
         component = bool(p.get(":db/isComponent"))
         if component and not ref:
-            raise SchemaError(f"Bad attribute specification for {a}: {{:db/isComponent true}} should also have {{:db/valueType :db.type/ref}}")
+            raise SchemaError(f"{a} is a component but no reference")
         tuple_attrs = p.get(":db/tupleAttrs")
         if str(p.get(":db/valueType")) == ":db.type/tuple" and tuple_attrs is None:
-            raise SchemaError(f"Bad attribute specification for {a}: {{:db/valueType :db.type/tuple}} should also have :db/tupleAttrs")
+            raise SchemaError(f"{a} is a tuple of nothing: it has no :db/tupleAttrs")
         if tuple_attrs is not None:
             if not isinstance(tuple_attrs, list | tuple) or not tuple_attrs:
-                raise SchemaError(f"{a} :db/tupleAttrs must be a non-empty sequential collection")
+                raise SchemaError(f":db/tupleAttrs of {a} is no list of attributes")
             if many:
-                raise SchemaError(f"{a} has :db/tupleAttrs, must be :db.cardinality/one")
+                raise SchemaError(f"{a} is composed of others and has one value only")
         unique = {":db.unique/value": "value", ":db.unique/identity": "identity"}.get(str(p.get(":db/unique")))
         return Attr(many, unique, ref, component, bool(p.get(":db/index")) or unique is not None or ref or tuple_attrs is not None, tuple(map(str, tuple_attrs or ())))
 

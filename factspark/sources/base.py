@@ -108,7 +108,7 @@ def join(a: Rel, b: Rel, how: str = "inner") -> Rel:
 def union(a: Rel, b: Rel) -> Rel:
     """Rows of both, with the same variables."""
     if set(a.kinds) != set(b.kinds):
-        raise QueryError(f"Can't sum relations with different attrs: {sorted(a.kinds)} and {sorted(b.kinds)}")
+        raise QueryError(f"rows of different variables cannot be united: {sorted(a.kinds)} and {sorted(b.kinds)}")
     for v in a.kinds:
         if a.kinds[v] != b.kinds[v]:
             kind = common_kind(a.kinds[v], b.kinds[v]) or ("gid" if "eid:" in a.kinds[v] and "eid:" in b.kinds[v] else "any")

@@ -81,7 +81,7 @@ class MappedSource(Source):
             return ref[1]
         found = self.rows(table).filter(F.col(c) == literal(ref[1])).select(self.table(table).key).limit(2).collect()
         if not found:
-            raise QueryError(f"Nothing found for entity id [{ref[0]} {ref[1]!r}]")
+            raise QueryError(f"no entity is [{ref[0]} {ref[1]!r}]")
         return found[0][0]
 
     def _fixed(self, table: str, column: str, value: Any) -> Column:

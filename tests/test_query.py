@@ -1,7 +1,9 @@
-"""Queries over small collections and fact databases."""
+"""Queries over a small fleet, as facts, as a database and as tables; expectations are worked out in plain Python."""
 
 from __future__ import annotations
 
+import statistics
+
 import pytest
 
 from factspark.conn import conn_from_datoms, create_conn
@@ -10,165 +12,167 @@ from factspark.edn import read
 from factspark.plans.syntax import QueryError
 from factspark.query import q, q_df
 
-
-def facts(*maps):
-    return [(i, K(a), v) for i, m in enumerate(maps, 1) for a, v in m.items()]
+#: number -> hull, crew, harbour; crew or harbour may lack.
+FLEET = {11: ("brig", 24, 71), 12: ("sloop", 9, 71), 13: ("brig", 40, 72), 14: ("yawl", 4, None), 15: ("sloop", None, 72), 16: ("brig", 24, 73)}
+HARBOURS = {71: "Aber", 72: "Brest", 73: "Cork"}
+HULL = {n: h for n, (h, _, _) in FLEET.items()}
+CREW = {n: c for n, (_, c, _) in FLEET.items() if c is not None}
+HOME = {n: p for n, (_, _, p) in FLEET.items() if p is not None}
+FACTS = [(n, K(f":{a}"), v) for a, d in (("hull", HULL), ("crew", CREW), ("home", HOME), ("port", HARBOURS)) for n, v in d.items()]
+
+
+@pytest.fixture(scope="module")
+def ask(spark):
+    return lambda text, *more: q(text, FACTS, *more, spark=spark)
+
+
+def test_patterns_and_joins(ask):
+    assert ask("[:find ?s :where [?s :crew]]") == {(n,) for n in CREW}
+    assert ask('[:find ?s ?c :where [?s :hull "brig"] [?s :crew ?c]]') == {(n, CREW[n]) for n in CREW if HULL[n] == "brig"}
+    assert ask("[:find ?s ?p :where [?s :home ?h] [?h :port ?p]]") == {(n, HARBOURS[h]) for n, h in HOME.items()}
+    assert ask("[:find ?s ?t :where [?s :home ?h] [?t :home ?h] [(< ?s ?t)]]") == {(s, t) for s in HOME for t in HOME if HOME[s] == HOME[t] and s < t}
+    assert ask("[:find ?s ?t :where [?s :crew ?c] [?t :crew ?d] [(< ?c ?d)]]") == {(s, t) for s in CREW for t in CREW if CREW[s] < CREW[t]}
+    assert ask("[:find ?a ?v :where [14 ?a ?v]]") == {(K(":hull"), "yawl"), (K(":crew"), 4)}
+
+
+def test_inputs(ask, spark):
+    assert ask("[:find ?s :in $ ?h ?c :where [?s :hull ?h] [?s :crew ?c]]", "brig", 24) == {(11,), (16,)}
+    assert ask("[:find ?s :in $ [?h ...] :where [?s :hull ?h]]", ["yawl", "raft"]) == {(14,)}
+    assert ask("[:find ?s :in $ [?h ...] :where [?s :hull ?h]]", []) == set()
+    assert ask("[:find ?s ?fee :in $ [[?h ?fee]] :where [?s :hull ?h]]", [["sloop", 5], ["yawl", 2]]) == {(12, 5), (15, 5), (14, 2)}
+    limits = {K(":small"): [1, 10], K(":large"): [30, 99]}
+    assert ask("[:find ?k ?s :in $ [[?k [?lo ?hi]] ...] :where [?s :crew ?c] [(<= ?lo ?c ?hi)]]", limits) == {(K(":small"), 12), (K(":small"), 14), (K(":large"), 13)}
+    assert q("[:find ?x ?y :in [?x ...] [?y ...] :where [(< ?x ?y)]]", [4, 6], [5, 7], spark=spark) == {(4, 5), (4, 7), (6, 7)}
+    assert q("[:find ?z :in ?x :where [(* ?x 3 2) ?z]]", 7, spark=spark) == {(42,)}
+    assert q("[:find ?n :where [(ground [8 9]) [?n ...]] [(odd? ?n)]]", spark=spark) == {(9,)}
+    assert q("[:find ?x :in [[_ ?x]]]", [[1, "a"], [2, "a"]], spark=spark) == {("a",)}
+
+
+def test_negation_and_choice(ask):
+    assert ask("[:find ?s :where [?s :hull] (not [?s :home _])]") == {(14,)}
+    assert ask("[:find ?s :where [?s :hull] (not [?s :crew ?c] [(> ?c 20)])]") == {(12,), (14,), (15,)}
+    assert ask('[:find ?h :where [?h :port] (not-join [?h] [?s :home ?h] [?s :hull "brig"] [?s :crew 24])]') == {(72,)}
+    assert ask('[:find ?s :where (or [?s :hull "yawl"] [?s :crew 9])]') == {(12,), (14,)}
+    assert ask('[:find ?s :where (or (and [?s :hull "brig"] [?s :crew 40]) (and [?s :hull "sloop"] [?s :home 72]))]') == {(13,), (15,)}
+    assert ask('[:find ?s :where [?s :crew ?c] (or-join [?s] (and [?s :home ?h] [?h :port "Aber"]))]') == {(11,), (12,)}
+    assert ask("[:find ?s :where [?s :hull] [(missing? $ ?s :crew)]]") == {(15,)}
+    assert ask("[:find ?s ?c :where [?s :hull] [(get-else $ ?s :crew 0) ?c]]") == {(n, CREW.get(n, 0)) for n in HULL}
 
 
-PEOPLE = facts({":name": "Ivan", ":age": 15}, {":name": "Petr", ":age": 37}, {":name": "Ivan", ":age": 37}, {":age": 15})
-SIX = facts(*[{":name": n, ":age": a} for n, a in (("Ivan", 10), ("Ivan", 20), ("Oleg", 10), ("Oleg", 20), ("Ivan", 10), ("Ivan", 20))])
+def test_types_differ(spark):
+    rows = [(i, K(":load"), v) for i, v in enumerate((7, 7.0, "7", True, K(":seven")))]
+    for i, value in enumerate((7, 7.0, "7", True, K(":seven"))):
+        assert q("[:find ?e :in $ ?v :where [?e :load ?v]]", rows, value, spark=spark) == {(i,)}
+    assert q("[:find ?a ?b :in [?a ...] [?b ...] :where [(= ?a ?b)]]", [7], [7.0], spark=spark) == set()
+    assert q("[:find ?a :in [[?a]] :where [(< 5 ?a)]]", [[6], ["six"], [-6]], spark=spark) == {(6,), ("six",)}
 
 
 @pytest.mark.parametrize(
-    ("query", "inputs", "expected"),
+    ("query", "inputs", "message"),
     [
-        ("[:find ?e :where [?e :name]]", (PEOPLE,), {(1,), (2,), (3,)}),
-        ('[:find ?e ?v :where [?e :name "Ivan"] [?e :age ?v]]', (PEOPLE,), {(1, 15), (3, 37)}),
-        ("[:find ?a ?b :where [?a :age ?v] [?b :age ?v] [(< ?a ?b)]]", (PEOPLE,), {(1, 4), (2, 3)}),
-        ("[:find ?e :in $ ?n ?a :where [?e :name ?n] [?e :age ?a]]", (PEOPLE, "Ivan", 37), {(3,)}),
-        ("[:find ?e :in $ [?n ...] :where [?e :name ?n]]", (PEOPLE, ["Petr", "No"]), {(2,)}),
-        ("[:find ?e :in $ [?n ...] :where [?e :name ?n]]", (PEOPLE, []), set()),
-        ("[:find ?e ?x :in $ [[?n ?x]] :where [?e :name ?n]]", (PEOPLE, [["Ivan", 1], ["Petr", 2]]), {(1, 1), (3, 1), (2, 2)}),
-        ("[:find ?k ?x :in [[?k [?lo ?hi]] ...] :where [(range ?lo ?hi) [?x ...]] [(even? ?x)]]", ({K(":a"): [1, 7], K(":b"): [2, 4]},), {(K(":a"), 2), (K(":a"), 4), (K(":a"), 6), (K(":b"), 2)}),
-        ("[:find ?e :where [?e :age 15] (not [?e :name _])]", (PEOPLE,), {(4,)}),
-        ("[:find ?e :where [?e :name] (not [?e :age ?a] [(> ?a 20)])]", (PEOPLE,), {(1,)}),
-        ('[:find ?e :where [?e :name "Ivan"] (not [?e :age 10])]', (SIX,), {(2,), (6,)}),
-        ('[:find ?e :where [?e :age 20] (not-join [?e] [?e :name ?n] [(= ?n "Oleg")])]', (SIX,), {(2,), (6,)}),
-        ('[:find ?e :where (or [?e :name "Oleg"] [?e :age 10])]', (SIX,), {(1,), (3,), (4,), (5,)}),
-        ('[:find ?e :where (or (and [?e :age 10] [?e :name "Oleg"]) (and [?e :age 20] [?e :name "Ivan"]))]', (SIX,), {(3,), (2,), (6,)}),
-        ('[:find ?e :where [?e :age ?a] (or-join [?e] (and [?e :name ?n] [(= ?n "Oleg")]))]', (SIX,), {(3,), (4,)}),
-        ('[:find ?e ?n :where [?e :age 15] [(get-else $ ?e :name "none") ?n]]', (PEOPLE,), {(1, "Ivan"), (4, "none")}),
-        ("[:find ?e :where [?e :age ?a] [(missing? $ ?e :name)]]", (PEOPLE,), {(4,)}),
-        ("[:find ?x :in [?x ...] :where [(= ?x 1)]]", ([1, 2],), {(1,)}),
-        ("[:find ?y :in ?x :where [(+ ?x 2 3) ?y]]", (1,), {(6,)}),
-        ("[:find ?x ?y :in [?x ...] [?y ...] :where [(< ?x ?y)]]", ([1, 2], [2, 3]), {(1, 2), (1, 3), (2, 3)}),
-        ("[:find ?x :where [(ground [1 2 3]) [?x ...]]]", (), {(1,), (2,), (3,)}),
+        ("[:find ?s :where [?s :crew] [(> ?c 1)] [?s :crew ?c]]", (), "unbound"),
+        ("[:find ?s :where (not [?s :crew 4]) [?s :hull]]", (), "unbound"),
+        ("[:find ?s :where [?s :crew ?c] [(sinks ?c)]]", (), "no predicate"),
+        ("[:find ?s ?d :where [?s :crew ?c] [(sink ?c) ?d]]", (), "no function"),
+        ("[:find ?s :where (or [?s :crew ?c] [?s :hull ?h])]", (), "different variables"),
+        ("[:find ?s :in $ ?z :where [?s :crew]]", (), "not enough"),
+        ("[:find ?s :where [?s :crew]]", (1,), "too many"),
+        ("[:find ?s :in $ % :where (sinks ?s)]", ("[[(sails ?s) [?s :crew]]]",), "no rule"),
+        ("[:find ?lost :where [?s :crew]]", (), "nothing binds"),
+        ("[:find ?s :keys a b :where [?s :crew]]", (), "differ in number"),
+        ("[:find ?s :where (not)]", (), "no clauses"),
     ],
 )
-def test_sets(spark, query, inputs, expected):
-    assert q(query, *inputs, spark=spark) == expected
+def test_refused(ask, query, inputs, message):
+    with pytest.raises(QueryError, match=message):
+        ask(query, *inputs)
+
+
+def test_aggregates(ask, spark):
+    crews = sorted(set(CREW.values()))
+    assert ask("[:find (sum ?c) . :where [?s :crew ?c]]") == sum(crews)  # as sets: 24 counts once
+    assert ask("[:find (sum ?c) . :with ?s :where [?s :crew ?c]]") == sum(CREW.values())
+    assert ask("[:find (min ?c) (max ?c) (count ?c) :where [?s :crew ?c]]") == [(4, 40, 4)]
+    (median, mean, var, dev), = ask("[:find (median ?c) (avg ?c) (variance ?c) (stddev ?c) :with ?s :where [?s :crew ?c]]")
+    assert (median, mean) == (statistics.median(CREW.values()), statistics.mean(CREW.values()))
+    assert (var, dev) == pytest.approx((statistics.pvariance(CREW.values()), statistics.pstdev(CREW.values())))
+    assert sorted(ask("[:find ?h (max 2 ?s) (min 1 ?s) (count ?s) :where [?s :home ?h]]")) == [(71, (11, 12), (11,), 2), (72, (13, 15), (13,), 2), (73, (16,), (16,), 1)]
+    assert ask("[:find (sum ?c) :where [?s :crew ?c] [(> ?c 99)]]") == [] and ask("[:find (sum ?c) . :where [?s :crew ?c] [(> ?c 99)]]") is None
+    import pyspark.sql.functions as F
 
+    assert ask("[:find (aggregate ?f ?c) . :in $ ?f :where [?s :crew ?c]]", lambda c: F.sum(c * c)) == sum(c * c for c in crews)
 
-def test_attribute_variable(spark):
-    assert q("[:find ?a ?v :where [?e ?a ?v] [?e :age 15] [?e :name _]]", PEOPLE, spark=spark) == {(K(":name"), "Ivan"), (K(":age"), 15)}
 
+def test_shapes(ask, spark):
+    assert sorted(ask("[:find [?p ...] :where [_ :port ?p]]")) == sorted(HARBOURS.values())
+    assert ask('[:find [?s ?c] :where [?s :hull "yawl"] [?s :crew ?c]]') == [14, 4]
+    assert ask("[:find ?h . :where [14 :hull ?h]]") == "yawl" and ask("[:find ?h . :where [99 :hull ?h]]") is None
+    assert ask("[:find ?s ?h :keys ship at :where [?s :home ?h] [?s :crew 40]]") == [{"ship": 13, "at": 72}]
+    assert q_df('[:find ?s ?h :strs "s" "h" :where [?s :home ?h]]', FACTS, spark=spark).columns == ["s", "h"]
 
-def test_types_differ(spark):
-    rows = [(1, K(":v"), 1), (2, K(":v"), 1.0), (3, K(":v"), "1"), (4, K(":v"), True), (5, K(":v"), K(":one"))]
-    for value, e in ((1, 1), (1.0, 2), ("1", 3), (True, 4), (K(":one"), 5)):
-        assert q("[:find ?e :in $ ?v :where [?e :v ?v]]", rows, value, spark=spark) == {(e,)}
-    assert q("[:find ?a ?b :in [?a ...] [?b ...] :where [(= ?a ?b)]]", [1, 2], [1.0, 2.0], spark=spark) == set()
-    assert q("[:find ?a :in [[?a]] :where [(< 0 ?a)]]", [[1], ["x"], [-1]], spark=spark) == {(1,), ("x",)}
 
+#: Channels from lock to lock, with a loop at the end.
+CHANNELS = [("a", "b"), ("b", "c"), ("b", "d"), ("d", "e"), ("e", "f"), ("f", "d"), ("x", "y")]
 
-@pytest.mark.parametrize(
-    ("query", "message"),
-    [
-        ("[:find ?e :in $ :where [?e :a] [(> ?x 1)] [?e :b ?x]]", "Insufficient bindings"),
-        ("[:find ?e :in $ :where (not [?e :a 1]) [?e :a]]", "Insufficient bindings"),
-        ("[:find ?e :in $ :where [?e :a ?x] [(nope ?x)]]", "Unknown predicate"),
-        ("[:find ?e ?y :in $ :where [?e :a ?x] [(nope ?x) ?y]]", "Unknown function"),
-        ("[:find ?e :in $ :where (or [?e :a ?x] [?e :b ?y])]", "same set of free vars"),
-        ("[:find ?e :in $ ?z :where [?e :a]]", "Too few inputs"),
-    ],
-)
-def test_errors(spark, query, message):
-    with pytest.raises(QueryError, match=message):
-        q(query, PEOPLE, spark=spark)
 
+def closure(pairs):
+    out = set(pairs)
+    while more := {(a, d) for a, b in out for c, d in pairs if b == c} - out:
+        out |= more
+    return out
 
-def test_extra_inputs(spark):
-    with pytest.raises(QueryError, match="Extra inputs"):
-        q("[:find ?e :where [?e :a]]", PEOPLE, 1, spark=spark)
 
+@pytest.mark.parametrize("rule", ["[[(way ?a ?b) [?a ?b]] [(way ?a ?b) [?a ?t] (way ?t ?b)]]", "[[(way ?a ?b) [?a ?b]] [(way ?a ?b) (way ?a ?t) [?t ?b]]]", "[[(way ?a ?b) [?a ?b]] [(way ?a ?b) (way ?a ?t) (way ?t ?b)]]"])
+def test_recursion(spark, rule):
+    """Right, left and doubly recursive; free, and bound at either end by a constant, an input, a collection or another clause."""
+    run = lambda text, *more: q(text, CHANNELS, rule, *more, spark=spark)
+    every = closure(CHANNELS)
+    assert run("[:find ?a ?b :in $ % :where (way ?a ?b)]") == every
+    assert run('[:find ?b :in $ % :where (way "d" ?b)]') == {(b,) for a, b in every if a == "d"}
+    assert run("[:find ?a :in $ % ?to :where (way ?a ?to)]", "e") == {(a,) for a, b in every if b == "e"}
+    assert run("[:find ?a ?b :in $ % [?a ...] :where (way ?a ?b)]", ["a", "x", "no"]) == {(a, b) for a, b in every if a in "ax"}
+    assert run('[:find ?a ?b :in $ % :where [?a "y"] (way ?a ?b)]') == {("x", "y")}
 
-MONSTERS = [["Cerberus", 3], ["Medusa", 1], ["Cyclops", 1], ["Chimera", 1]]
 
+def test_rules_in_turn(spark):
+    """Two rules that call each other: an even and an odd number of steps."""
+    rules = "[[(odd ?a ?b) [?a ?b]] [(odd ?a ?b) [?a ?t] (even ?t ?b)] [(even ?a ?b) [?a ?t] (odd ?t ?b)]]"
+    line = [(i, i + 1) for i in range(12)]
+    assert q("[:find ?a ?b :in $ % :where (odd ?a ?b)]", line, rules, spark=spark) == {(a, b) for a in range(13) for b in range(a + 1, 13) if (b - a) % 2}
+    assert q("[:find ?b :in $ % :where (even 3 ?b)]", line, rules, spark=spark) == {(b,) for b in range(5, 13, 2)}
+
+
+def test_rules_over_sources(spark):
+    crew = [(n, c) for n, c in CREW.items()]
+    got = q("[:find ?s :in $ $c % :where [?s :hull _] ($c full ?s)]", FACTS, crew, "[[(full ?s) [?s ?c] [(>= ?c 24)]]]", spark=spark)
+    assert got == {(n,) for n, c in CREW.items() if c >= 24}
+    assert q("[:find ?a ?b :in $ % :where (linked ?a ?b)]", CHANNELS[:1], "[[(linked ?a ?b) [?a ?b]] [(linked ?a ?b) [?b ?a]]]", spark=spark) == {("a", "b"), ("b", "a")}
+
+
+def test_long_chain(spark):
+    rule = "[[(way ?a ?b) [?a ?b]] [(way ?a ?b) (way ?a ?t) [?t ?b]]]"
+    line = [(i, i + 1) for i in range(45)]
+    assert len(q("[:find ?a ?b :in $ % :where (way ?a ?b)]", line, rule, spark=spark)) == 46 * 45 // 2
 
-def test_aggregates(spark):
-    run = lambda text, *x: q(text, *x, spark=spark)
-    assert run("[:find (sum ?h) . :in [[_ ?h]]]", MONSTERS) == 4
-    assert run("[:find (sum ?h) . :with ?m :in [[?m ?h]]]", MONSTERS) == 6
-    assert run("[:find (max ?x) (min ?x) (count ?x) :in [?x ...]]", [5, 1, 3]) == [(5, 1, 3)]
-    assert run("[:find (median ?x) (avg ?x) (variance ?x) (stddev ?x) :in [?x ...]]", [10, 15, 20, 35, 75]) == [(20.0, 31.0, 554.0, 23.53720459187964)]
-    colors = [["red", i] for i in range(1, 6)] + [["blue", 7], ["blue", 8]]
-    assert sorted(run("[:find ?c (max 3 ?x) (min 3 ?x) :in [[?c ?x]]]", colors)) == [("blue", (7, 8), (7, 8)), ("red", (3, 4, 5), (1, 2, 3))]
-    assert run("[:find (sum ?x) :in [?x ...] :where [(> ?x 9)]]", [1]) == []
-    assert run("[:find (sum ?x) . :in [?x ...] :where [(> ?x 9)]]", [1]) is None
-    import pyspark.sql.functions as F
 
-    assert run("[:find (aggregate ?f ?x) . :in [?x ...] ?f]", [1, 2, 3], lambda c: F.sum(c * c)) == 14
-
-
-def test_shapes(spark):
-    run = lambda text: q(text, PEOPLE, spark=spark)
-    assert sorted(run("[:find [?n ...] :where [_ :name ?n]]")) == ["Ivan", "Petr"]
-    assert run('[:find [?e ?a] :where [?e :name "Petr"] [?e :age ?a]]') == [2, 37]
-    assert run('[:find ?a . :where [?e :name "Petr"] [?e :age ?a]]') == 37
-    assert run('[:find ?a . :where [?e :name "Nobody"] [?e :age ?a]]') is None
-    assert run('[:find ?n ?a :keys name age :where [?e :name ?n] [(= ?n "Petr")] [?e :age ?a]]') == [{"name": "Petr", "age": 37}]
-    assert q_df('[:find ?n ?a :strs "n" "a" :where [?e :name ?n] [?e :age ?a]]', PEOPLE, spark=spark).columns == ["n", "a"]
-
-
-FOLLOW = [(5, K(":follow"), 3), (1, K(":follow"), 2), (2, K(":follow"), 3), (3, K(":follow"), 4), (4, K(":follow"), 6), (2, K(":follow"), 4)]
-RULE = "[[(follow ?a ?b) [?a :follow ?b]] [(follow ?a ?b) [?a :follow ?t] (follow ?t ?b)]]"
-
-
-def test_rules(spark):
-    run = lambda text, *x: q(text, *x, spark=spark)
-    assert run("[:find ?b :in $ % ?a :where (follow ?a ?b)]", FOLLOW, RULE, 1) == {(2,), (3,), (4,), (6,)}
-    assert run("[:find ?b :in $ % :where (follow 1 ?b)]", FOLLOW, RULE) == {(2,), (3,), (4,), (6,)}
-    cycle = [(1, K(":follow"), 2), (2, K(":follow"), 3), (3, K(":follow"), 1)]
-    assert run("[:find ?a ?b :in $ % :where (follow ?a ?b)]", cycle, RULE) == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3)}
-    chain = [(i, K(f":f{i % 2 + 1}"), i + 1) for i in range(6)]
-    mutual = "[[(f1 ?a ?b) [?a :f1 ?b]] [(f1 ?a ?b) [?t :f1 ?b] (f2 ?a ?t)] [(f2 ?a ?b) [?a :f2 ?b]] [(f2 ?a ?b) [?t :f2 ?b] (f1 ?a ?t)]]"
-    assert run("[:find ?a ?b :in $ % :where (f1 ?a ?b)]", chain, mutual) == {(a, b) for a in range(6) for b in range(a + 1, 7) if b % 2 == 1}
-    assert run("[:find ?x ?y :in $ % :where (near ?x ?y)]", cycle[:1], "[[(near ?a ?b) [?a :follow ?b]] [(near ?a ?b) [?b :follow ?a]]]") == {(1, 2), (2, 1)}
-    both = run("[:find ?n :in $1 $2 % :where [$1 ?n ?s] ($2 adult ?n)]", [("Ivan", "m"), ("Igor", "m")], [("Ivan", 30), ("Igor", 7)], "[[(adult ?n) [?n ?a] [(>= ?a 18)]]]")
-    assert both == {("Ivan",)}
-    with pytest.raises(QueryError, match="Unknown rule"):
-        run("[:find ?x :in $ % :where (nope ?x)]", FOLLOW, RULE)
-
-
-def test_left_linear_and_long_chains(spark):
-    left = "[[(follow ?a ?b) [?a :follow ?b]] [(follow ?x ?y) (follow ?x ?t) [?t :follow ?y]]]"
-    chain = [(i, K(":follow"), i + 1) for i in range(1, 40)]
-    assert len(q("[:find ?a ?b :in $ % :where (follow ?a ?b)]", chain, left, spark=spark)) == 40 * 39 // 2
-    assert q("[:find ?b :in $ % :where (follow 37 ?b)]", chain, RULE, spark=spark) == {(38,), (39,), (40,)}
-
-
-def test_rule_equals_inline_on_many_entities(spark):
-    rows = [(i, K(":status"), ("started", "pending", "stopped")[i % 3]) for i in range(1, 3000)]
-    rule = '[[(running ?e) [?e :status "started"]] [(running ?e) [?e :status "pending"]]]'
-    assert len(q("[:find ?e :in $ % :where (running ?e)]", rows, rule, spark=spark)) == 1999
-
-
-def test_databases(spark):
-    conn = create_conn(read("{:name {:db/unique :db.unique/identity} :friend {:db/valueType :db.type/ref} :aka {:db/cardinality :db.cardinality/many}}"))
-    conn.transact(read('[{:db/id 1 :name "Ivan" :age 15 :friend 2 :aka ["a" "b"]} {:db/id 2 :name "Petr" :age 37 :friend 3} {:db/id 3 :name "Oleg" :age 1.5}]'))
-    db = conn.db
-    assert q('[:find ?n :where [[:name "Ivan"] :friend ?f] [?f :name ?n]]', db, spark=spark) == {("Petr",)}
-    assert q('[:find ?n :where [?e :friend [:name "Oleg"]] [?e :name ?n]]', db, spark=spark) == {("Petr",)}
-    assert q("[:find ?a :in $ ?e :where [?e :age ?a]]", db, [K(":name"), "Petr"], spark=spark) == {(37,)}
-    assert q("[:find ?v ?tx :where [1 :aka ?v ?tx]]", db, spark=spark) == {("a", db.max_tx), ("b", db.max_tx)}
-    assert q("[:find ?e ?a :where [?e :age ?a] [(> ?a 10)]]", db, spark=spark) == {(1, 15), (2, 37)}
-    refs = [[K(":name"), "Petr"], [K(":name"), "Ivan"]]
-    assert q("[:find ?e ?a :in $ [?e ...] :where [?e :age ?a]]", db, refs, spark=spark) == {((K(":name"), "Petr"), 37), ((K(":name"), "Ivan"), 15)}
-    young = db.filter(lambda _, d: d.a != ":age" or d.v < 20).filter(lambda _, d: d.e != 3)
-    assert q("[:find ?e :where [?e :age _]]", young, spark=spark) == {(1,)}
-    with pytest.raises(QueryError, match="Nothing found"):
-        q('[:find ?n :where [[:name "Nobody"] :age ?n]]', db, spark=spark)
-
-
-def test_find_pull(spark):
-    conn = create_conn(read("{:value {:db/cardinality :db.cardinality/many}}"))
-    conn.transact(read('[{:db/id 1 :name "Petr" :value [10 20 30 40]} {:db/id 2 :name "Ivan" :value [14 16]} {:db/id 3 :name "Oleg" :value 1}]'))
-    run = lambda text, *x: q(text, conn.db, *x, spark=spark)
-    assert run("[:find (pull ?e [:name]) . :where [?e :value 14]]") == {":name": "Ivan"}
-    assert run("[:find [(pull ?e ?p) ...] :in $ ?p :where [?e :value 1]]", "[*]") == [{":db/id": 3, ":name": "Oleg", ":value": [1]}]
-    assert sorted(run("[:find ?e (pull ?e [:name]) (min ?v) (max ?v) :where [?e :value ?v]]"), key=str) == [(1, {":name": "Petr"}, 10, 40), (2, {":name": "Ivan"}, 14, 16), (3, {":name": "Oleg"}, 1, 1)]
-    df = q_df("[:find (pull ?e [:name (limit :value 2)]) :where [?e :name _]]", conn.db, spark=spark)
-    assert sorted((r[0]["name"], len(r[0]["value"])) for r in df.collect()) == [("Ivan", 2), ("Oleg", 1), ("Petr", 2)]
+def test_database(spark):
+    conn = create_conn(read("{:callsign {:db/unique :db.unique/identity} :tows {:db/valueType :db.type/ref} :cargo {:db/cardinality :db.cardinality/many}}"))
+    conn.transact(read('[{:db/id 21 :callsign "T1" :draught 3 :tows 22 :cargo ["salt" "tar"]} {:db/id 22 :callsign "T2" :draught 5 :tows 23} {:db/id 23 :callsign "T3" :draught 2.5}]'))
+    run = lambda text, *more: q(text, conn.db, *more, spark=spark)
+    assert run('[:find ?c :where [[:callsign "T1"] :tows ?b] [?b :callsign ?c]]') == {("T2",)}
+    assert run('[:find ?c :where [?t :tows [:callsign "T3"]] [?t :callsign ?c]]') == {("T2",)}
+    assert run("[:find ?d :in $ ?t :where [?t :draught ?d]]", [K(":callsign"), "T2"]) == {(5,)}
+    assert run("[:find ?v ?tx :where [21 :cargo ?v ?tx]]") == {("salt", conn.db.max_tx), ("tar", conn.db.max_tx)}
+    refs = [[K(":callsign"), "T1"], [K(":callsign"), "T3"]]
+    assert run("[:find ?t ?d :in $ [?t ...] :where [?t :draught ?d]]", refs) == {((K(":callsign"), "T1"), 3), ((K(":callsign"), "T3"), 2.5)}
+    light = conn.db.filter(lambda _, d: d.a != ":draught" or d.v < 4).filter(lambda _, d: d.e != 23)
+    assert q("[:find ?t :where [?t :draught _]]", light, spark=spark) == {(21,)}
+    with pytest.raises(QueryError, match="no entity"):
+        run('[:find ?d :where [[:callsign "T9"] :draught ?d]]')
+    assert run("[:find (pull ?t [:callsign]) . :where [?t :draught 5]]") == {":callsign": "T2"}
+    assert run("[:find [(pull ?t ?p) ...] :in $ ?p :where [?t :cargo _]]", "[*]") == [{":db/id": 21, ":callsign": "T1", ":draught": 3, ":tows": {":db/id": 22}, ":cargo": ["salt", "tar"]}]
+    df = q_df("[:find (pull ?t [:callsign (limit :cargo 1)]) :where [?t :draught _]]", conn.db, spark=spark)
+    assert sorted((r[0]["callsign"], r[0]["cargo"]) for r in df.collect()) == [("T1", ["salt"]), ("T2", None), ("T3", None)]
 
 
 def test_scans_are_pruned(spark):
@@ -178,14 +182,14 @@ def test_scans_are_pruned(spark):
     assert "PushedFilters: [IsNotNull(c_mktsegment), EqualTo(c_mktsegment,BUILDING)" in plan and plan.count("FileScan") == 1 and "c_acctbal" not in plan.split("FileScan")[1]
 
 
-def test_column_functions(spark):
+def test_functions_as_inputs(ask):
     from factspark.plans.compile import column_function
 
-    double = column_function("long")(lambda c: c * 2)
-    assert q("[:find ?y :in [?x ...] ?f :where [(?f ?x) ?y]]", [1, 2], double, spark=spark) == {(2,), (4,)}
-    assert q("[:find ?x :in [?x ...] ?f :where [(?f ?x)]]", [1, 2], lambda c: c > 1, spark=spark) == {(2,)}
+    halved = column_function("double")(lambda c: c / 2)
+    assert ask("[:find ?s ?d :in $ ?f :where [?s :crew ?c] [(?f ?c) ?d]]", halved) == {(n, c / 2) for n, c in CREW.items()}
+    assert ask("[:find ?s :in $ ?f :where [?s :crew ?c] [(?f ?c)]]", lambda c: c > 20) == {(n,) for n, c in CREW.items() if c > 20}
 
 
-def test_init_from_datoms(spark):
-    db = conn_from_datoms([(1, ":p", (1, 2)), (2, ":p", (1, 2, 3)), (3, ":p", (0, 9))], {":p": {":db/index": True}}).db
-    assert [d.v for d in db.index("avet")] == [(0, 9), (1, 2), (1, 2, 3)]
+def test_order_of_tuples():
+    db = conn_from_datoms([(1, ":at", (5, 6)), (2, ":at", (5, 6, 1)), (3, ":at", (2, 8))], {":at": {":db/index": True}}).db
+    assert [d.v for d in db.index("avet")] == [(2, 8), (5, 6), (5, 6, 1)]
