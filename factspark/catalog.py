@@ -422,7 +422,7 @@ def tx_tuple(spark: SparkSession, d: str) -> DataFrame:
     return f.df.filter("a = ':name+nation'").select("e", F.col("v.str").alias("v"))
 
 
-plain("tx_tuple", tx_tuple, """SELECT c_custkey + 1 AS e, '00000002[{"v":"' || c_name || '"} {"v":' || CASE WHEN c_nationkey = 5 THEN 99 ELSE c_nationkey END || '.0}]' AS v FROM customer""")
+plain("tx_tuple", tx_tuple, """SELECT c_custkey + 1 AS e, '00000002["' || c_name || '" ' || CASE WHEN c_nationkey = 5 THEN 99 ELSE c_nationkey END || ']' AS v FROM customer""")
 LINE = """'{"e":' || e || ',"a":"' || a || '","v":{' || CASE WHEN a = ':name' THEN '"rank":5,"str":"' || v || '"' ELSE '"rank":4,"num":' || v || '.0,"lng":' || v END || '},"tx":536870913}'"""
 plain("serializable", lambda s, d: init_facts(few(s, d)).to_lines(), f"WITH {FACTS} SELECT {LINE} AS line FROM f")
 plain("from_serializable", lambda s, d: shown(from_lines(init_facts(few(s, d)).to_lines()).df), f"WITH {FACTS} SELECT e, a, v FROM f")

@@ -24,9 +24,17 @@ PARTS = ("e", "a", "v", "tx")
 
 
 def composite_value(parts: list[Column]) -> Column:
-    """Tagged values as one tagged value; order is by the parts' texts."""
-    text = lambda v: F.when(v["rank"] == RANKS["string"], F.to_json(F.struct(v["str"].alias("v")))).otherwise(F.to_json(F.struct(v["num"].alias("v"), v["str"].alias("k"), v["bool"].alias("b"), v["ts"].alias("t"))))
-    shown = F.concat(F.lit(f"{len(parts):08d}["), F.concat_ws(" ", *[F.coalesce(text(p), F.lit("nil")) for p in parts]), F.lit("]"))
+    """Tagged values as one tagged value: the EDN text of a vector behind its length, nil for a missing part."""
+
+    def text(v: Column) -> Column:
+        quoted = v["str"]
+        for raw, safe in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+            quoted = F.replace(quoted, F.lit(raw), F.lit(safe))
+        number = F.coalesce(v["lng"].cast("string"), v["num"].cast("string"))
+        instant = F.concat(F.lit('#inst "'), F.date_format(v["ts"], "yyyy-MM-dd'T'HH:mm:ss"), F.lit('"'))
+        return F.when(v["rank"] == RANKS["string"], F.concat(F.lit('"'), quoted, F.lit('"'))).otherwise(F.coalesce(number, v["bool"].cast("string"), instant, v["str"], F.lit("nil")))
+
+    shown = F.concat(F.lit(f"{len(parts):08d}["), F.concat_ws(" ", *[text(p) for p in parts]), F.lit("]"))
     none = lambda t: F.lit(None).cast(t)
     return F.struct(F.lit(RANKS["array"]).cast("tinyint").alias("rank"), none("double").alias("num"), none("bigint").alias("lng"), shown.alias("str"), none("boolean").alias("bool"), none("timestamp_ntz").alias("ts")).cast(ANY)
 
