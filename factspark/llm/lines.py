@@ -16,7 +16,8 @@ places that the multi-match rule leaves.  Only lines whose segment or
 substring meets the other kind from another line have their texts fetched;
 they are joined on it, and the join's condition verifies the edit distance: a
 bit-parallel automaton keeps, for each number of edits, a bit for each diagonal
-of the band, and takes one code point a step.
+of the band, and takes one code point a step.  As its steps are interpreted,
+the engine's compiled banded distance screens the pairs before it.
 
 Pairs stay in proportion to the lines.  Lines with a key that more than ``HOT``
 lines share, such as a long common beginning, are cut again into ``FINE``
@@ -116,14 +117,18 @@ def within(a: Column, b: Column, threshold: int) -> Column:
 
         return let(same, grow)
 
+    def state(x: Column, y: Column) -> Column:
+        """The automaton behind all of x, in y."""
+        chars = lambda c: F.filter(F.split(c, ""), lambda c: c != "")
+        places = F.transform(chars(x), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+        return let(chars(y), lambda others: F.aggregate(places, start, lambda held, at: step(held, at, others)))
+
     def run(p: Column) -> Column:
-        places = F.transform(p["a"], lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-        end = F.aggregate(places, start, lambda state, x: step(state, x, p["b"]))
-        return F.call_function("shiftright", end[f"r{threshold}"], F.size(p["b"]) - F.size(p["a"]) + threshold).bitwiseAND(F.lit(1)) == 1
+        reached = state(p["a"], p["b"])[f"r{threshold}"]
+        return F.call_function("shiftright", reached, F.length(p["b"]) - F.length(p["a"]) + threshold).bitwiseAND(F.lit(1)) == 1
 
-    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    apart = F.abs(F.length(a) - F.length(b)) > threshold
-    return F.when(apart, False).otherwise(let(F.struct(chars(a).alias("a"), chars(b).alias("b")), run))
+    # The engine's banded distance is compiled, the automaton is not: what is further apart does not reach it.
+    return F.when(F.levenshtein(a, b, threshold) < 0, False).otherwise(let(F.struct(a.alias("a"), b.alias("b")), run))
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
