@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import duckdb
@@ -519,6 +520,54 @@ def test_quality(spark):
     assert right[0] > 0.9 and right[1] > 0.97 and all(0 <= r["score"] <= 1 for r in df)
 
 
+def brute_features(text):
+    """The features of one text, byte by byte."""
+    raw = text.encode()
+    kinds = [quality.CLASSES[b] for b in raw]
+    gap = [k in (quality._SPACE, quality._LINE) for k in kinds]
+    start = [not g and (i == 0 or gap[i - 1]) for i, g in enumerate(gap)]
+    ends = [i + 1 < len(raw) and not gap[i] and gap[i + 1] for i in range(len(raw))]
+    n = lambda k: sum(x == k for x in kinds)
+    some, words, letters = max(1, len(raw)), max(1, sum(start)), max(1, n(quality._LOWER) + n(quality._UPPER))
+    twin = [i > 0 and raw[i] == raw[i - 1] for i in range(len(raw))]
+    wide_upper = [i > 0 and raw[i - 1] == 0xC3 and 0x80 <= raw[i] < 0x9F for i in range(len(raw))]
+    symbol = [k == quality._SYMBOL for k in kinds]
+    split = [w for w in re.split(rb"[ \t\n\x0b\x0c\r]+", raw) if w]
+    both = lambda a, b: sum(x and y for x, y in zip(a, b, strict=True))
+    capital = sum(s and (kinds[i] == quality._UPPER or (i + 1 < len(raw) and wide_upper[i + 1])) for i, s in enumerate(start))
+    return [
+        n(quality._UPPER) / letters, sum(wide_upper) / max(1, sum(b & 0xC0 == 0xC0 for b in raw)), n(quality._DIGIT) / some, n(quality._SYMBOL) / some, n(quality._STOP) / some,
+        n(quality._CONTROL) / some, n(quality._WIDE) / some, both(twin, symbol) / words, both(ends, symbol) / words, both(ends, [k == quality._STOP for k in kinds]) / words,
+        capital / words, np.log1p(words), np.log1p(len(raw) / words), np.log1p(n(quality._LINE)) / np.log1p(some), min(3, n(quality._SYMBOL) / words),
+        raw.count(b"!") / words, raw.count(b"$") / words, raw.count(b"&") / words, sum(twin) / some, float(not raw), min(words, 10) / 10, (len(split) - len(set(split))) / max(1, len(split)),
+    ]
+
+
+def test_quality_query_against_a_plain_fit(spark):
+    """The registered query's scores on whole tables: features byte by byte, and a fit of its own by plain gradient steps, rank the same."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    x = {i: np.array(brute_features(t)) for i, t in texts.items() if len(t) < 20_000}
+    off = np.r_[0, np.cumsum([len(texts[i].encode()) for i in x])]
+    assert np.allclose(quality.features(np.frombuffer("".join(texts[i] for i in x).encode(), np.uint8), off), np.stack(list(x.values())))
+    known = [i for i in x if labels.get(i) in (0, 1)]
+    z = np.stack([x[i] for i in known])
+    mean, scale = z.mean(0), np.where(z.std(0) < 1e-9, 1, z.std(0))
+    z, y = np.clip((z - mean) / scale, -6, 6), np.array([labels[i] for i in known])
+    good, bad = z[y == 1], z[y == 0]
+    w = np.zeros(z.shape[1])
+    for step in range(600):  # every pair of a good and a bad text in turn, by shifting one list against the other
+        diff = good - np.resize(np.roll(bad, step, 0), good.shape)
+        w += 0.05 * (diff / (1 + np.exp(np.clip(diff @ w, -30, 30)))[:, None]).mean(0) - 0.05 * 1e-3 * w
+    rows = {r["doc_id"]: r for r in op6_quality_classifier(spark, sf).collect()}
+    assert rows.keys() == texts.keys() and all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.3) for i, r in rows.items())
+    own = np.array([np.clip((x[i] - mean) / scale, -6, 6) @ w for i in x])
+    theirs = np.array([rows[i]["score"] for i in x])
+    place = lambda v: np.argsort(np.argsort(v))
+    assert np.corrcoef(place(own), place(theirs))[0, 1] > 0.95
+
+
 def test_quality_without_labels(spark):
     docs = docs_of(spark, edge_texts(random.Random(5)))
     none = spark.createDataFrame([(0, None)], "doc_id long, quality int")
@@ -666,5 +715,8 @@ def test_bpe_equals_library(spark):
     for r in coded.collect():
         ids = own.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
         assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["ids_sha256"] == sha(np.array(ids, "<u4").tobytes()) and r["decoded_sha256"] == sha(own.decode(ids, skip_special_tokens=False))
+    rng = random.Random(12)
+    long = ["ab" * 3000, "".join(rng.choice("abcdefgh") for _ in range(5000)), "a" * 2001, "\u00e9" * 1500, "".join(rng.choice("\u4e2d\u6587x") for _ in range(1200))]
+    assert [c.tolist() for c in bpe.codec(path).encode_words([w.encode() for w in long])] == [own.encode(w, add_special_tokens=False).ids for w in long]
     back = {r["doc_id"]: r["text"] for r in bpe.bpe_decode(coded, path).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)} and bpe.bpe_encode(docs_of(spark, []), path).count() == 0

@@ -65,3 +65,54 @@ def test_near_duplicates_from_80_percent(spark):
     kept = set(range(len(texts))) - {b for (_, b), s in alike.items() if s >= 0.8}
     out = p.drop_near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), SF)
     assert {r["doc_id"] for r in out.collect()} == kept
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, mark string, component_id long"
+
+
+def edge_rows():
+    """Null and empty texts, null and repeated ids, ties, a very long text, and columns whose names the operators use."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join(f"word{rng.randrange(4000)}" for _ in range(n))
+    same = prose(60)
+    texts = [(1, None), (2, ""), (3, same), (4, same), (4, same), (4, prose(30)), (None, prose(40)), (None, None), (7, prose(60_000)), (8, "a line of text that repeats\n" * 3 + prose(20)), (9, "a line of text that repeats\n" + prose(25))]
+    return [(i, t, "en", "s", len(t or ""), f"m{k}", k) for k, (i, t) in enumerate(texts)]
+
+
+def test_stages_on_edge_rows(spark):
+    """Each stage by itself: rows with nulls stay unless its rule says otherwise, other columns are untouched, and an empty table gives an empty one."""
+    docs = spark.createDataFrame(edge_rows(), SCHEMA)
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        if name == "bpe_encoding":
+            assert len(rows) == docs.count() and {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {0}
+            continue
+        assert out.columns == docs.columns
+        given = {r["mark"]: r for r in docs.collect()}
+        assert all((r["doc_id"], r["lang"], r["component_id"]) == (given[r["mark"]]["doc_id"], given[r["mark"]]["lang"], given[r["mark"]]["component_id"]) for r in rows)
+        kept = {r["mark"]: r["text"] for r in rows}
+        if name == "line_dedup":
+            assert kept.keys() == {f"m{k}" for k in range(11)} - {"m3", "m4"} and kept["m9"].count("a line of text") == 1 and "a line" not in kept["m10"] and kept["m0"] is None and kept["m6"] == given["m6"]["text"]
+            assert all(r["n_chars"] == len(r["text"] or "") for r in rows)
+        elif name == "minhash_near_dedup":
+            assert {"m0", "m1", "m2", "m7", "m8"} <= kept.keys() and "m3" not in kept
+        elif name == "benchmark_decontamination":
+            assert kept.keys() == given.keys()
+
+
+def test_decontamination_without_items(spark, tmp_path):
+    spark.createDataFrame([], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert p.drop_contaminated(spark, spark.createDataFrame(edge_rows(), SCHEMA), str(tmp_path)).count() == 11
+
+
+def test_run_deletes_what_it_wrote(spark):
+    from pathlib import Path
+
+    from factspark.llm.common import shared_dir
+
+    before = {x.name for x in Path(shared_dir(spark)).iterdir()}
+    rows = p.run(spark, SF).count()
+    left = {x.name.split("-")[0] for x in Path(shared_dir(spark)).iterdir() if x.name not in before}
+    assert rows and left <= {"pipeline", "step"}
