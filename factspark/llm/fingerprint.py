@@ -150,9 +150,9 @@ def with_next(docs: DataFrame, carry: Callable[[Column], Column]) -> DataFrame:
     rows = rows.withColumn("bucket", bucket(F.col("id"), F.col("mark")))
     # One light row a bucket, BUCKET_ROWS documents each.
     order = Window.orderBy("bucket")
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = rows.groupBy("bucket").agg(F.max(F.struct("id", (-1 - F.col("mark")).alias("rev"))).alias("h")).select("bucket", F.col("h.id").alias("id"), (-1 - F.col("h.rev")).alias("mark"))
-    last = heads.agg(F.max("bucket").alias("last"))
-    heads = cut(heads.withColumn("target", F.lag("bucket").over(order)).join(F.broadcast(last)).select("id", "mark", F.coalesce("target", "last").alias("bucket")))
+    heads = cut(heads.select("id", "mark", F.coalesce(F.lag("bucket").over(order), F.last("bucket").over(every)).alias("bucket")))
     side = F.broadcast(heads) if heads.count() <= MOST_BROADCAST else heads
     guests = rows.drop("bucket").join(side, ["id", "mark"]).select("doc_id", "id", "text", "mark", "bucket", F.lit(1).alias("guest"))
     dealt = rows.select("doc_id", "id", "text", "mark", "bucket", F.lit(0).alias("guest")).unionAll(guests)

@@ -64,31 +64,34 @@ def transform_and_prefixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray
     m = len(strings)
     transform, common = laid[end], np.zeros(m, np.uint8)
     # Strings whose suffix grows, and its row now.
-    end, length, row = end[length > 0], length[length > 0], np.arange(m)[length > 0]
+    row = np.flatnonzero(length)
+    end, length = end[row], length[row]
     size = 1
     while len(end):
         n = len(transform)
         by_symbol = np.argsort(transform, kind="stable")  # one counting pass: the rows that precede each symbol, in order
-        starts = n - int(np.count_nonzero(transform))  # rows where a string begins stand before
-        rank = np.empty(n, np.int64)
-        rank[by_symbol] = np.arange(m - starts, m - starts + n)
-        new = rank[row]
+        shift = m - n + int(np.count_nonzero(transform))  # from a place there to the row that begins with that symbol
+        grows, which = np.zeros(n, bool), np.empty(n, np.int32)
+        grows[row], which[row] = True, np.arange(len(row), dtype=np.int32)
+        place = np.flatnonzero(grows[by_symbol])
+        order = which[by_symbol[place]]
+        end, length, new = end[order], length[order], place + shift
+        old, touched = np.ones(n + shift, bool), np.zeros(n + shift + 1, bool)
+        old[new] = False
+        touched[new] = touched[new + 1] = True
         # The common prefix of a new row, and of the one behind it: one more than the least between the two symbols.
-        touched = np.unique(np.r_[new, new + 1])
-        touched = touched[touched < m + n - starts]
-        upper = by_symbol[touched - m + starts]
-        lower = by_symbol[np.maximum(touched - 1 - m + starts, 0)]
-        alike = (touched > m) & (transform[upper] == transform[lower])
-        value = np.zeros(len(touched), np.uint8)
-        if alike.any():
-            between = np.stack([lower[alike] + 1, upper[alike] + 1], 1).ravel()
+        at = np.flatnonzero(touched[:-1])
+        upper = by_symbol[at - shift]
+        lower = by_symbol[np.maximum(at - shift - 1, 0)]
+        value = np.zeros(len(at), np.uint8)
+        alike = np.flatnonzero((at > m) & (transform[upper] == transform[lower]))
+        if len(alike):
+            between = np.empty(2 * len(alike), np.int64)
+            between[::2], between[1::2] = lower[alike] + 1, upper[alike] + 1
             value[alike] = np.minimum.reduceat(np.r_[common, np.uint8(0)], between)[::2] + 1
-        old = np.ones(m + n - starts, bool)
-        old[new] = False
         grown, prefixes = np.empty(len(old), transform.dtype), np.empty(len(old), np.uint8)
         grown[old], prefixes[old] = transform, common
-        grown[new] = laid[end - size]
-        prefixes[touched] = value
+        grown[new], prefixes[at] = laid[end - size], value
         transform, common = grown, prefixes
         longer = length > size
         end, length, row = end[longer], length[longer], new[longer]
