@@ -12,7 +12,8 @@ round's own, which guarantees it.
 2. Each class sends its band hashes; in a band's bucket the class with the
    most copies is the hub.  Every class is compared with the hub that it meets
    in most bands: at most one pair a class.  Verified pairs make first
-   components.
+   components.  Some rounds more compare every class that meets a larger
+   component in a band with one of its classes, again one pair a class.
 3. Links that remain can only join classes of different components that meet
    in a band.  The classes in such buckets are joined on rare shingles: with
    shingles ordered by how many classes have them, two sets within the
@@ -45,6 +46,8 @@ from .graph import components
 from .rolling import FOLD_CASE, U, mix, shingle_sets
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 85, 32, 4
+#: Rounds in which classes are compared with a hub of another component, at most one pair a class and round; what they miss, step 3 finds.
+STARS = 3
 _EMPTY = U(2**64 - 1)
 
 
@@ -141,7 +144,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     links = cut(verify(star, sets, percent))
     label = components(links)
 
-    meets = shared.select("band", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    def labelled() -> DataFrame:
+        return shared.select("band", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    for _ in range(STARS):
+        meets = labelled()
+        parts = cut(meets.groupBy("band", "component").agg(F.count("*").alias("n"), F.min("rep").alias("hub")))
+        top = cut(parts.groupBy("band").agg(F.max(F.struct("n", "component", "hub")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1").select("band", F.col("top.component").alias("main"), "top.hub"))
+        other = meets.join(top, "band").filter("component != main").groupBy("rep", "hub").count().groupBy("rep").agg(F.max_by("hub", "count").alias("b"))
+        more = cut(verify(cut(other.withColumnRenamed("rep", "a")), sets, percent))
+        if more.isEmpty():
+            break
+        links = links.unionAll(more)
+        label = components(links)
+    meets = labelled()
     mixed = cut(meets.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("band"))
     open_ = meets.join(mixed, "band", "left_semi").select(F.col("rep").alias("id"), "component").distinct()
     held = sets.join(open_, "id").select("id", "component", F.explode("sh").alias("sh"))
