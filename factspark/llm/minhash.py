@@ -47,7 +47,7 @@ from .rolling import FOLD_CASE, U, mix, shingle_sets
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 85, 32, 4
 #: Rounds in which classes are compared with a hub of another component, at most one pair a class and round; what they miss, step 3 finds.
-STARS = 3
+STARS = 5
 _EMPTY = U(2**64 - 1)
 
 
