@@ -6,6 +6,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from factspark.catalog import ORACLE_SQL, QUERIES
 
@@ -67,3 +68,20 @@ def test_whole_tables_take_part(spark):
     sides = QUERIES["db_diff"](spark, SF).groupBy("side").count().collect()
     facts = 2 * spark.read.parquet(f"{SF}/customer.parquet").count()
     assert {r["side"] for r in sides} == {"a", "b", "both"} and sum(r["count"] for r in sides if r["side"] != "b") == facts
+
+
+def test_theta_join_of_one_nation(spark, tmp_path):
+    """All rows share one value: pairs are dealt out over tasks, and those with both keys are not made distinct again."""
+    spark.range(60).selectExpr("id AS s_suppkey", "'s' AS s_name", "3 AS s_nationkey", "double(id * 37 % 60) AS s_acctbal").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(400).selectExpr("id AS c_custkey", "'c' AS c_name", "3 AS c_nationkey", "double(id * 53 % 400) / 7 AS c_acctbal", "'m' AS c_mktsegment").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    for t in set(TABLES) - {"supplier", "customer"}:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = QUERIES["theta_join"](spark, str(tmp_path))
+        tasks = df.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > 1 and "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
+        expected = sorted((a, b) for a in range(60) for b in range(400) if a * 37 % 60 > b * 53 % 400 / 7)
+        assert sorted(tuple(r) for r in df.collect()) == expected
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
