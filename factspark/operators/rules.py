@@ -18,7 +18,7 @@ from typing import Any
 from ..functions.builtins import Arg, constant, equal
 from ..plans.compile import Context, Known, check_order, disjunction, product, resolve
 from ..plans.syntax import And, Blank, Branch, Const, Function, Not, Or, Pattern, Plain, Predicate, QueryError, RuleCall, Src, Var, vars_of
-from ..sources.base import Rel, join, materialise, union
+from ..sources.base import Rel, dealt, join, materialise, union
 
 _fresh = 0
 
@@ -194,6 +194,7 @@ def _fixpoint(name: str, ctx: Context, args: tuple) -> Rel:
             if seeds is not None:
                 total[name] = Rel(materialise(seeds.df), seeds.kinds, seeds.unique)
     delta = dict(total)
+    rows = {n: rel.df.count() for n, rel in total.items()}
     while delta:
         found: dict[str, Rel] = {}
         for n in group:
@@ -209,11 +210,11 @@ def _fixpoint(name: str, ctx: Context, args: tuple) -> Rel:
             new = rel.distinct()
             if n in total:
                 new = join(new, total[n], "left_anti")
-            new = Rel(materialise(new.df), new.kinds, frozenset(new.kinds))
-            if not new.df.isEmpty():
+            new, more = _round(new, sum(rows.values()))
+            if more:
                 delta[n] = new
-                both = union(total[n], new) if n in total else new
-                total[n] = Rel(both.df, both.kinds, frozenset(both.kinds))
+                total[n] = _grown(total[n], new) if n in total else new
+                rows[n] = rows.get(n, 0) + more
     if name not in total:
         raise QueryError(f"rule '{name}' has no branch to start from")
     return total[name]
@@ -264,31 +265,54 @@ def _paths_from(seeds: Rel, edges: Rel, end: int) -> Rel:
     if common_kind(edges.kinds["h0"], edges.kinds["h1"]) is None:
         return seeds
     total = new = Rel(materialise(seeds.df), seeds.kinds, frozenset(seeds.kinds))
+    rows = total.df.count() + edges.df.count()
     grows, stays = ("h1", "h0") if end == 0 else ("h0", "h1")
     step = Rel(edges.df.select(edges.col("h0").alias("t" if end == 0 else "h0"), edges.col("h1").alias("h1" if end == 0 else "t")), {"t": edges.kinds[stays], grows: edges.kinds[grows]})
     while True:
         at = Rel(new.df.select(new.col(stays), new.col(grows).alias("t")), {stays: new.kinds[stays], "t": new.kinds[grows]})
-        found = join(join(at, step).project(["h0", "h1"]).distinct(), total, "left_anti")
-        new = Rel(materialise(found.df), found.kinds, frozenset(found.kinds))
-        if new.df.isEmpty():
+        new, more = _round(join(join(at, step).project(["h0", "h1"]).distinct(), total, "left_anti"), rows)
+        if not more:
             return total
-        both = union(total, new)
-        total = Rel(both.df, both.kinds, frozenset(both.kinds))
+        total, rows = _grown(total, new), rows + more
+
+
+def _round(found: Rel, rows: int) -> tuple[Rel, int]:
+    """What a round found over so many rows, written, and its number of rows."""
+    with dealt(found.df.sparkSession, rows):
+        new = Rel(materialise(found.df), found.kinds, frozenset(found.kinds))
+    return new, new.df.count()
+
+
+def _grown(total: Rel, new: Rel) -> Rel:
+    """Both, which share no row."""
+    both = union(total, new)
+    return Rel(both.df.hint("merge"), both.kinds, frozenset(both.kinds))
 
 
 def _closure(edges: Rel) -> Rel:
-    """Paths of any length, doubling the length that is covered each round."""
+    """Paths of any length, doubling the length that is covered each round.
+
+    far: pairs whose shortest path has a length of 2 ** k, near: those with a shorter one.  A pair at less than twice that
+    length is one of far behind one of near, so that paths are not put together at each of their inner nodes.
+    """
     from ..sources.base import common_kind
 
     if common_kind(edges.kinds["h0"], edges.kinds["h1"]) is None:
         return edges
-    total = edges
+
+    def behind(a: Rel, b: Rel) -> Rel:
+        left = Rel(a.df.select(a.col("h0"), a.col("h1").alias("t")), {"h0": a.kinds["h0"], "t": a.kinds["h1"]})
+        right = Rel(b.df.select(b.col("h0").alias("t"), b.col("h1")), {"t": b.kinds["h0"], "h1": b.kinds["h1"]})
+        return join(join(left, right).project(["h0", "h1"]).distinct(), total, "left_anti")
+
+    near, far, total = None, edges, edges
+    rows = edges.df.count()
     while True:
-        left = Rel(total.df.select(total.col("h0"), total.col("h1").alias("t")), {"h0": total.kinds["h0"], "t": total.kinds["h1"]})
-        right = Rel(total.df.select(total.col("h0").alias("t"), total.col("h1")), {"t": total.kinds["h0"], "h1": total.kinds["h1"]})
-        new = join(join(left, right).project(["h0", "h1"]).distinct(), total, "left_anti")
-        new = Rel(materialise(new.df), new.kinds, frozenset(new.kinds))
-        if new.df.isEmpty():
+        if near is not None:
+            new, more = _round(behind(near, far), rows)
+            total, rows = _grown(total, new) if more else total, rows + more
+        near = total
+        far, more = _round(behind(far, far), rows)
+        if not more:
             return total
-        both = union(total, new)
-        total = Rel(both.df, both.kinds, frozenset(both.kinds))
+        total, rows = _grown(total, far), rows + more

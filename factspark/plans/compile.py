@@ -507,18 +507,25 @@ def conjunction(c: And, ctx: Context) -> Context:
 def known(c: Known, ctx: Context) -> Context:
     """A relation with columns h0.. under the call's arguments."""
     rel, keep = c.rel, {}
+    unique = rel.unique
     for i, a in enumerate(c.args):
         h = f"h{i}"
         if isinstance(a, Blank):
+            unique = None if unique is not None and h in unique else unique
             continue
         if isinstance(a, Const) or (isinstance(a, Var) and a.name in ctx.fixed):
             value = a.value if isinstance(a, Const) else ctx.fixed[a.name]
             rel = rel.filter(equal(Arg(rel.col(h), rel.kinds[h]), constant(value)))
+            unique = unique - {h} if unique is not None and rel.kinds[h] == constant(value).kind else None
         elif a.name in keep:
+            same = rel.kinds[h] == rel.kinds[keep[a.name]]
             rel = rel.filter(equal(Arg(rel.col(h), rel.kinds[h]), Arg(rel.col(keep[a.name]), rel.kinds[keep[a.name]])))
+            unique = frozenset(keep[a.name] if x == h else x for x in unique) if unique is not None and same else None
         else:
             keep[a.name] = h
-    out = Rel(rel.df.select(*[F.col(h).alias(n) for n, h in keep.items()]), {n: rel.kinds[h] for n, h in keep.items()}).distinct()
+    name_of = {h: n for n, h in keep.items()}
+    unique = frozenset(name_of[h] for h in unique) if unique is not None and unique <= set(name_of) else None
+    out = Rel(rel.df.select(*[F.col(h).alias(n) for n, h in keep.items()]), {n: rel.kinds[h] for n, h in keep.items()}, unique).distinct()
     return _join_or_semi(ctx, out)
 
 

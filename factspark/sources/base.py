@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -175,8 +177,30 @@ def until_exit(spark: SparkSession, path: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, which ends its lineage; the driver deletes it when it ends."""
+    """df written to the shared folder and read back, which ends its lineage; the driver deletes it when it ends.
+
+    Joins do not broadcast it by the size of its files, which compress to a small part of what its rows take.
+    """
     path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     until_exit(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
+
+
+ROWS_A_TASK = 500_000
+
+
+@contextmanager
+def dealt(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs within deals rows to tasks of ROWS_A_TASK, so that a task's memory does not grow with them."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {name: spark.conf.get(name) for name in names}
+    tasks = -(-rows // ROWS_A_TASK)
+    if tasks > int(before[names[0]]):  # not put together again by their compressed size
+        for name, value in zip(names, (str(tasks), "false"), strict=True):
+            spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

@@ -85,3 +85,30 @@ def test_theta_join_of_one_nation(spark, tmp_path):
         assert sorted(tuple(r) for r in df.collect()) == expected
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_closure_rounds(spark, monkeypatch):
+    """Rounds over graphs with cycles and several paths: nothing is broadcast, and more rows go to more tasks."""
+    from factspark.operators import rules
+    from factspark.query import q_df
+    from factspark.sources import base
+
+    seen = []
+
+    def spy(df):
+        seen.append((int(spark.conf.get("spark.sql.shuffle.partitions")), "Broadcast" in df._jdf.queryExecution().executedPlan().toString()))
+        return base.materialise(df)
+
+    monkeypatch.setattr(rules, "materialise", spy)
+    monkeypatch.setattr(base, "ROWS_A_TASK", 20)
+    ring = [(i, (i + 1) % 11) for i in range(11)] + [(i, i + 2) for i in range(20, 40)] + [(3, 21), (5, 5), (30, 29), (29, 30)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for rule in ("[[(reach ?a ?b) [?a ?b]] [(reach ?a ?b) [?a ?t] (reach ?t ?b)]]", "[[(reach ?a ?b) [?a ?b]] [(reach ?a ?b) (reach ?a ?t) (reach ?t ?b)]]"):
+        seen.clear()
+        got = [tuple(r) for r in q_df("[:find ?x ?y :in $ % :where (reach ?x ?y)]", spark.createDataFrame(ring, "a long, b long"), rule, spark=spark).collect()]
+        reach = set(ring)
+        while more := {(a, d) for a, b in reach for c, d in ring if b == c} - reach:
+            reach |= more
+        assert sorted(got) == sorted(reach)
+        assert not any(b for _, b in seen) and max(n for n, _ in seen) >= len(reach) // 40 > int(before)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
