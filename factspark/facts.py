@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .db import TX0
 from .schema import Schema
-from .sources.base import materialise
+from .sources.base import dealt, materialise
 from .tx import TransactionError
 from .values import ANY, RANKS
 
@@ -203,18 +203,25 @@ class Facts:
         links = wanted.filter(F.col("a").isin(follow)).select("e", F.col("v.lng").alias("to"))
         if attrs is not None:
             wanted = wanted.filter(F.col("a").isin(attrs))
+        links = materialise(links)
         frontier = materialise(ids.select(F.col("id").alias("root"), F.array("id").alias("path"), F.col("id").alias("e")))
-        out, step = [], 0
+        out, step, held = [], 0, links.count()
+        rows = more = frontier.count()
         while True:
             out.append(frontier)
-            if step == depth:
+            if step == depth or not held:
                 break
             following = frontier.join(links, "e").filter(~F.array_contains("path", F.col("to")))
-            frontier = materialise(following.select("root", F.concat("path", F.array("to")).alias("path"), F.col("to").alias("e")))
-            if frontier.isEmpty():
+            with dealt(self.df.sparkSession, held + more):
+                frontier = materialise(following.select("root", F.concat("path", F.array("to")).alias("path"), F.col("to").alias("e")))
+            more = frontier.count()
+            if not more:
                 break
-            step += 1
-        return reduce(DataFrame.unionByName, out).join(wanted, "e").select("root", "path", "e", "a", "v")
+            step, rows = step + 1, rows + more
+        # Both sides are as large as the facts, so that neither is broadcast here either.
+        met = reduce(DataFrame.unionByName, out).hint("merge").join(wanted, "e").select("root", "path", "e", "a", "v")
+        with dealt(self.df.sparkSession, rows):
+            return materialise(met)
 
     # -- as text
 

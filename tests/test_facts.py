@@ -12,7 +12,7 @@ from factspark.facts import from_lines, init_facts
 from factspark.operators.pull import pull
 from factspark.query import q
 from factspark.tx import TransactionError
-from factspark.values import ANY, tagged, untagged
+from factspark.values import ANY, tagged, to_any, untagged
 
 from .test_tx import SCHEMA
 
@@ -113,3 +113,36 @@ def test_lines_and_lookups(spark, both):
     empty = init_facts(frame(spark, []), SCHEMA)
     assert empty.max_eid == 0 and empty.add(frame(spark, ROWS[:2])).df.count() == 2 and empty.retract(frame(spark, [(1,)], "e")).df.count() == 0
     assert facts.add(frame(spark, [])).df.agg(F.count("*")).first()[0] == len(ROWS)
+
+
+def test_pull_rows_broadcasts_nothing(spark, monkeypatch):
+    """Levels, links and values are as large as the facts, however well their files compress; chains and a cycle of 30 entities."""
+    from factspark import facts
+    from factspark.sources import base
+
+    seen = []
+
+    def spy(df):
+        seen.append((int(spark.conf.get("spark.sql.shuffle.partitions")), df._jdf.queryExecution().executedPlan().toString()))
+        return base.materialise(df)
+
+    monkeypatch.setattr(facts, "materialise", spy)
+    monkeypatch.setattr(base, "ROWS_A_TASK", 10)
+    boss = {k: k // 2 for k in range(2, 31)} | {1: 3}
+    text, ref = (lambda c: to_any(c, "string").cast(ANY)), (lambda c: to_any(c, "long").cast(ANY))
+    people = spark.range(1, 31).select(F.col("id").alias("e"), F.lit(":name").alias("a"), text(F.concat(F.lit("n"), "id")).alias("v"))
+    over = spark.createDataFrame(sorted(boss.items()), "e long, t long").select("e", F.lit(":boss").alias("a"), ref(F.col("t")).alias("v"))
+    f = init_facts(people.unionByName(over), {":boss": {":db/valueType": ":db.type/ref"}})
+    met = f.pull_rows(f.df.filter("a = ':name'").select(F.col("e").alias("id")), [":name"], [":boss"])
+    got = {(r["root"], tuple(r["path"])): r["name"] for r in met.select("root", "path", F.col("v.str").alias("name")).collect()}
+    expected = {}
+    for k in range(1, 31):
+        path = [k]
+        while True:
+            expected[k, tuple(path)] = f"n{path[-1]}"
+            if boss[path[-1]] in path:
+                break
+            path.append(boss[path[-1]])
+    assert got == expected
+    assert not any("Broadcast" in plan for _, plan in [*seen, (0, met._jdf.queryExecution().executedPlan().toString())])
+    assert max(n for n, _ in seen) >= len(expected) // 10
